@@ -1,0 +1,6 @@
+"""Registered queries of the run-analysis engine and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
