@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from . import exact_dedup
 from .bpe import op3_bpe
+from .exact_dedup import op9_exact_dedup
+from .licenses import op6_license_scan
 from .packing import op4_best_fit_packing
+from .simhash import op2_simhash
 from .token_counts import op1_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op9_exact_dedup": op9_exact_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.SQL}
