@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from . import exact_dedup
 from .bpe import op3_bpe
+from .embeddings import op10_embedding_near_dedup
 from .exact_dedup import op9_exact_dedup
 from .licenses import op6_license_scan
 from .packing import op4_best_fit_packing
 from .simhash import op2_simhash
+from .suffixes import op8_suffix_dedup
 from .token_counts import op1_token_counts
 from .toxicity import op5_toxicity
 
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.SQL}
