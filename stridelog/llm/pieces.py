@@ -15,8 +15,8 @@ from collections.abc import Callable, Iterable
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space next to other white space: there a cut at each single space would not be safe.
 _DOUBLED = re.compile(r"\s\s")
-#: Entries a generation of a memory holds: two of them take some 100 MB.
-REMEMBERED = 250_000
+#: Entries a generation of a memory holds: two of them take some 150 MB.
+REMEMBERED = 400_000
 
 
 def parts(text: str) -> list[str]:
