@@ -3,9 +3,11 @@
 Documents are split by successive runs of bytes, each ``GROWTH`` times as long
 as the one before. A document leaves when its group is a single row, or when its
 bytes have ended: those that end in the same group are equal, byte for byte, and
-no digest takes part. Each pass counts groups with partial aggregates before the
-shuffle and joins the counts back through a table in the shared folder, so the
-join sees two plain exchanges and adaptive execution can split a hot group.
+no digest takes part (the text's hash is a result, and tells rows of one doc_id
+apart). A pass reads only its own run of bytes, so no byte is dealt out by id more
+than once. Each pass counts groups with partial aggregates before the shuffle and
+joins the counts back through a table in the shared folder, so the join sees two
+plain exchanges and adaptive execution can split a hot group.
 
 Defined results: null text counts as empty, empty texts equal each other; of
 equal texts the row with the largest doc_id stays (a null id only if no other
@@ -31,19 +33,26 @@ FROM d JOIN g USING (t)
 
 
 def equal_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, bytes, keep_id, group_size for every row."""
-    left = text_of(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("bytes"), F.lit(0).cast("bigint").alias("path"))
-    out, at, width = [], 0, first
+    """doc_id, text_sha256, keep_id, group_size for every row."""
+    text = F.col("text").cast("binary")
+    rows = text_of(docs, id_col, text_col).select("doc_id", F.sha2(text, 256).alias("text_sha256"), text.alias("bytes"))
+    out, left, at, width = [], None, 0, first
     while True:
+        digit = rows.where(F.octet_length("bytes") > at) if at else rows
+        digit = digit.select("doc_id", "text_sha256", F.substring("bytes", at + 1, width).alias("digit"), (F.octet_length("bytes") <= at + width).alias("ended"))
+        if left is None:
+            digit = digit.withColumn("path", F.lit(0).cast("bigint"))
+        else:
+            own = left.select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"), F.col("next").alias("path")).distinct()
+            digit = materialize(digit.join(own.hint("merge"), digit["doc_id"].eqNullSafe(own["i"]) & (digit["text_sha256"] == own["s"])).drop("i", "s"))
         keys = ["path", "digit", "ended"]
-        digit = left.select("doc_id", "bytes", "path", F.substring("bytes", at + 1, width).alias("digit"), (F.octet_length("bytes") <= at + width).alias("ended"))
-        groups = digit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("most"))
+        groups = digit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("most")).where("n > 1")
         # a group of one row needs no join back: only the others are written
-        shared = materialize(groups.where("n > 1").withColumn("next", F.monotonically_increasing_id()))
-        seen = materialize(digit.join(shared, keys, "left").drop("digit", "path"))
+        shared = materialize(groups.withColumn("next", F.monotonically_increasing_id()))
+        seen = materialize(digit.join(shared.hint("merge"), keys, "left").select("doc_id", "text_sha256", "ended", "n", "most", "next"))
         more = F.col("n").isNotNull() & ~F.col("ended")
-        out.append(seen.where(~more).select("doc_id", "bytes", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size")))
-        left = seen.where(more).select("doc_id", "bytes", F.col("next").alias("path"))
+        out.append(seen.where(~more).select("doc_id", "text_sha256", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size")))
+        left = seen.where(more)
         if left.isEmpty():
             break
         at, width = at + width, width * growth
@@ -55,7 +64,7 @@ def equal_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, id_c
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256."""
-    return equal_groups(docs, id_col=id_col, text_col=text_col).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("bytes", 256).alias("text_sha256"))
+    return equal_groups(docs, id_col=id_col, text_col=text_col).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
