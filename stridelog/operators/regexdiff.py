@@ -23,7 +23,7 @@ def generate_inputs(pattern: str, n: int = 16) -> list[str]:
 def observe(pairs: DataFrame, dialect: str = "python") -> DataFrame:
     """Adds search, full, error to pattern, input. ``python`` asks re; ``native`` stays in the JVM."""
     if dialect == "native":
-        return pairs.withColumn("search", F.col("input").rlike(F.col("pattern"))).withColumn("full", F.col("input").rlike(F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z")))).withColumn("error", F.lit(None).cast("string"))
+        return pairs.withColumn("search", F.regexp_like("input", F.col("pattern"))).withColumn("full", F.regexp_like("input", F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z")))).withColumn("error", F.lit(None).cast("string"))
 
     def run(patterns: pd.Series, inputs: pd.Series) -> pd.DataFrame:
         out = []

@@ -15,7 +15,7 @@ _COMMAND = """CASE k % 8 WHEN 0 THEN 'pytest repo/f1.py -q' WHEN 1 THEN 'cat rep
 _TEXT = """CASE k % 6 WHEN 0 THEN '3 passed in 0.04s' WHEN 1 THEN '2 failed, 1 passed' WHEN 2 THEN 'command completed'
  WHEN 3 THEN 'FAILED tests/x.py::t - AssertionError' WHEN 4 THEN 'test result: ok. 4 passed; 0 failed' ELSE '' END"""
 
-EVENTS = f"""
+_EVENTS = f"""
 SELECT run_id, source, step AS pos, step AS step_index, ts, kind, tool_name,
  CASE WHEN kind IN ('tool_call', 'file_edit') THEN file_path WHEN kind IN ('test_run', 'opaque_shell') THEN 'shell' END AS target,
  CASE WHEN step = 0 OR event_id % 5 = 0 THEN NULL ELSE step - 1 END AS parent_step,
@@ -27,7 +27,7 @@ SELECT run_id, source, step AS pos, step AS step_index, ts, kind, tool_name,
  CASE WHEN kind = 'file_edit' THEN old_string END AS old_string, CASE WHEN kind = 'file_edit' THEN new_string END AS new_string,
  CASE WHEN kind IN ('test_run', 'opaque_shell') THEN command END AS command, write_mode,
  CASE WHEN kind = 'test_run' THEN exit_code END AS exit_code, CASE WHEN kind = 'test_run' THEN test_text END AS test_text
-FROM (SELECT 'user-' || CAST(user_id AS STRING) AS run_id, 'src' || CAST(user_id % 3 AS STRING) AS source, CAST(step AS INT) AS step, CAST(event_id AS STRING) AS ts, event_id,
+FROM (SELECT <run> AS run_id, 'src' || CAST(user_id % 3 AS STRING) AS source, CAST(step AS INT) AS step, CAST(event_id AS STRING) AS ts, event_id,
   CASE event_type WHEN 'signup' THEN 'user_msg' WHEN 'view' THEN 'tool_call' WHEN 'click' THEN 'file_edit' WHEN 'purchase' THEN 'test_run' ELSE 'opaque_shell' END AS kind,
   CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN CASE WHEN k % 3 = 0 THEN 'Write' ELSE 'Edit' END WHEN 'purchase' THEN 'PowerShell' WHEN 'error' THEN 'Bash' END AS tool_name,
   CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'repo/f' || CAST(k % 5 AS STRING) || '.py' END AS file_path,
@@ -35,9 +35,13 @@ FROM (SELECT 'user-' || CAST(user_id AS STRING) AS run_id, 'src' || CAST(user_id
   CASE WHEN k % 3 = 0 THEN 'tok' || CAST(k % 7 AS STRING) || ' tok' || CAST(event_id % 5 AS STRING) || ' end' ELSE 'tok' || CAST((event_id + 1) % 7 AS STRING) END AS new_string,
   event_type = 'click' AND k % 3 = 0 AS write_mode, {_COMMAND} AS command,
   CASE WHEN k % 10 = 0 THEN 1 WHEN k % 10 < 7 THEN 0 END AS exit_code, {_TEXT} AS test_text
- FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM {{events}}) AS e) AS d
+ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, row_number() OVER (PARTITION BY <key> ORDER BY ts, event_id) - 1 AS step FROM {{events}}) AS e) AS d
 """
 
+EVENTS = _EVENTS.replace("<run>", "'user-' || CAST(user_id AS STRING)").replace("<key>", "user_id")
+#: The same events as many short runs, of which most are clean: faults are injected into these.
+SHORT = _EVENTS.replace("<run>", "'user-' || CAST(user_id AS STRING) || '-' || CAST(event_id % 20 AS STRING)").replace("<key>", "user_id, event_id % 20")
+
 #: Chat histories: no speaker names here, so the role decides (human, user: message; terminal: not mapped; others: a call).
 HISTORY = """
 SELECT 'conv-' || CAST(conv_id AS STRING) AS run_id, 'history' AS source, CAST(turn AS INT) AS pos, CAST(turn AS INT) AS step_index, '' AS ts,
@@ -49,6 +53,7 @@ FROM {conversations}
 
 #: As CTE text for an oracle: j is the events' journal, h the histories'.
 J = EVENTS.replace("{events}", "events")
+S = SHORT.replace("{events}", "events")
 H = HISTORY.replace("{conversations}", "conversations")
 
 
@@ -61,5 +66,9 @@ def events_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events", EVENTS)
 
 
+def short_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events", SHORT)
+
+
 def history_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations", HISTORY)
