@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, warc
 from .bpe import op3_bpe
 from .embeddings import op10_embedding_near_dedup
 from .exact_dedup import op9_exact_dedup
@@ -12,6 +12,7 @@ from .simhash import op2_simhash
 from .suffixes import op8_suffix_dedup
 from .token_counts import op1_token_counts
 from .toxicity import op5_toxicity
+from .warc import op7_warc_derivatives
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -20,8 +21,9 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op7_warc_derivatives": warc.SQL, "op9_exact_dedup": exact_dedup.SQL}
