@@ -46,7 +46,7 @@ _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=24)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     up = np.full(n, _BASE, np.uint64)
