@@ -1,0 +1,38 @@
+"""Readings of recorded text as expressions: what readers do for one record, over a column."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def exit_code_of(text: Column) -> Column:
+    """The number after ``Exit code:``, else null."""
+    said = F.regexp_extract(text, r"(?i)\bExit code:\s*(-?\d+)\b", 1)
+    return F.when(said != "", said.cast("int"))
+
+
+def test_signal(text: Column, code: Column) -> Column:
+    """``N passed`` before ``N failed``; a bad exit alone is one failure; else empty."""
+    low = F.lower(text)
+    passed = F.regexp_extract(low, r"\b(\d+)\s+passed\b", 1)
+    failed = F.regexp_extract(low, r"\b(\d+)\s+(?:failed|failures|errors?)\b", 1)
+    return F.when(passed != "", F.concat(passed, F.lit(" passed"))).when(failed != "", F.concat(failed, F.lit(" failed"))).when(F.coalesce(code != 0, F.lit(False)), "1 failed").otherwise("")
+
+
+test_signal.__test__ = False
+
+
+def patch_targets(text: Column) -> Column:
+    """Sorted distinct paths that a patch names."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^\*\*\* (?:Add File|Update File|Delete File|Move to): ([^\r\n]*)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != "")))
+
+
+def source_of(path: Column) -> Column:
+    """Where a recording is from, by its path: made by hand, or else its folder."""
+    return F.when(path.rlike("(?i)(^|/)(fixtures?|demo|tests?)/"), "fixture").otherwise(F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), F.lit("")), F.lit("local")))
+
+
+def safe_name(name: Column) -> Column:
+    return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")

@@ -71,3 +71,9 @@ def run_key(activities: DataFrame) -> DataFrame:
     rows = with_content_hash(activities)
     runs = rows.groupBy("run_id").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.min_by("content_hash", "pos").alias("first"))
     return runs.select("run_id", F.substring(F.sha2(F.concat_ws(":", "source", "run_id", F.col("n").cast("string"), "first"), 256), 1, 16).alias("run_key"))
+
+
+def manifest_fingerprint(manifest: DataFrame, *columns: str) -> DataFrame:
+    """One digest of a manifest's rows, whatever their order: their JSON, sorted."""
+    rows = manifest.select(F.to_json(F.struct(*columns)).alias("r"))
+    return rows.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("r"))), 256).alias("fingerprint"))

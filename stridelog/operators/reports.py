@@ -100,3 +100,18 @@ def sweep(activities: DataFrame, localizations: DataFrame) -> DataFrame:
     runs = activities.join(first, "run_id", "left").groupBy("run_id").agg(F.count(F.lit(1)).alias("activities"), F.count_if(action & F.col("parent_step").isNull() & (F.col("step_index") != F.col("first_action"))).alias("unlinked_actions"), F.count_if(F.col("kind") == "unmapped").alias("unmapped"))
     sure = localizations.groupBy("run_id").agg(F.sum(F.when(F.col("confidence") == "HIGH", F.size("cascade") + 1).otherwise(0)).alias("high_steps"), F.sum(F.when(F.col("confidence") == "LOW", F.size("cascade") + 1).otherwise(0)).alias("low_steps"))
     return runs.join(sure, "run_id", "left").fillna(0)
+
+
+def source_counts(activities: DataFrame, results: DataFrame) -> DataFrame:
+    """Per source: steps, structured share of actions, and edits that G2 could judge."""
+    judged = results.where("gate = 'G2' AND status <> 'NA'").select("run_id", "pos", F.lit(1).alias("judged"))
+    rows = activities.join(judged, ["run_id", "pos"], "left")
+    action, structured, is_edit = F.col("kind").isin(*ACTION_KINDS), F.col("kind").isin(*STRUCTURED), F.col("kind") == "file_edit"
+    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("steps"), F.count_if(action).alias("actions"), F.count_if(structured).alias("structured"), F.count_if(is_edit).alias("edits"), F.count("judged").alias("judged_edits"))
+    return out.withColumn("structured_fraction", F.try_divide("structured", "actions")).withColumn("judged_fraction", F.try_divide("judged_edits", "edits"))
+
+
+def sweep_by(swept: DataFrame, runs: DataFrame, *keys: str) -> DataFrame:
+    """A sweep's totals by keys that ``runs`` (run_id and keys) gives, and the share of failing steps of high confidence."""
+    out = swept.join(runs, "run_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), *[F.sum(c).alias(c) for c in ("activities", "unlinked_actions", "unmapped", "high_steps", "low_steps")])
+    return out.withColumn("high_share", F.try_divide("high_steps", F.col("high_steps") + F.col("low_steps")))

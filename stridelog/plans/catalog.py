@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import gates, graph, hashing, inject, labels, localize, regexdiff, reports
 from . import journal
 from . import oracle as o
@@ -332,3 +333,42 @@ def turn_parent(j: DataFrame) -> DataFrame:
     rows = j.withColumn("turn", F.col("ts").cast("bigint") % 4)
     run, turn = Window.partitionBy("run_id").orderBy("pos"), Window.partitionBy("run_id", "turn").orderBy("pos")
     return rows.select("run_id", "step_index", F.coalesce(F.lag("step_index").over(turn), F.lag("step_index").over(run)).alias("parent"))
+
+
+_CALLED = "SELECT run_id, step_index, CASE WHEN exit_code IS NULL THEN test_text ELSE 'Exit code: ' || exit_code || chr(10) || test_text END AS said FROM j WHERE kind = 'test_run'"
+_CODE = "TRY_CAST(regexp_extract(said, '(?i)\\bExit code:\\s*(-?\\d+)\\b', 1) AS INT)"
+
+
+def _called(j: DataFrame) -> DataFrame:
+    return j.where("kind = 'test_run'").select("run_id", "step_index", F.when(F.col("exit_code").isNull(), F.col("test_text")).otherwise(F.concat(F.lit("Exit code: "), F.col("exit_code").cast("string"), F.lit("\n"), F.col("test_text"))).alias("said"))
+
+
+@query(o.with_(f"SELECT run_id, step_index, {_CODE} AS exit_code FROM x", False, **_J, x=_CALLED))
+def exit_text(j: DataFrame) -> DataFrame:
+    return _called(j).select("run_id", "step_index", text.exit_code_of(F.col("said")).alias("exit_code"))
+
+
+@query(o.with_(f"SELECT run_id, step_index, CASE WHEN regexp_matches(lower(said), '\\b\\d+\\s+passed\\b') THEN regexp_extract(lower(said), '\\b(\\d+)\\s+passed\\b', 1) || ' passed' WHEN regexp_matches(lower(said), '\\b\\d+\\s+(failed|failures|errors?)\\b') THEN regexp_extract(lower(said), '\\b(\\d+)\\s+(?:failed|failures|errors?)\\b', 1) || ' failed' WHEN coalesce({_CODE}, 0) <> 0 THEN '1 failed' ELSE '' END AS signal FROM x", False, **_J, x=_CALLED))
+def test_signal(j: DataFrame) -> DataFrame:
+    return _called(j).select("run_id", "step_index", text.test_signal(F.col("said"), text.exit_code_of(F.col("said"))).alias("signal"))
+
+
+test_signal.__test__ = False
+_PATCH = "SELECT run_id, step_index, '*** Begin' || chr(10) || '*** Update File: ' || coalesce(file_path, '') || chr(10) || old_string || chr(10) || '*** Move to: repo/' || step_index % 3 || '.py' AS patch FROM j WHERE kind = 'file_edit'"
+
+
+@query(o.with_("SELECT run_id, step_index, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(patch, '(?m)^\\*\\*\\* (?:Add File|Update File|Delete File|Move to): ([^\\r\\n]*)', 1), lambda y: y <> ''))), ',') AS targets FROM x", False, **_J, x=_PATCH))
+def patch_targets(j: DataFrame) -> DataFrame:
+    patch = F.concat(F.lit("*** Begin\n*** Update File: "), F.coalesce("file_path", F.lit("")), F.lit("\n"), "old_string", F.lit("\n*** Move to: repo/"), (F.col("step_index") % 3).cast("string"), F.lit(".py"))
+    return j.where("kind = 'file_edit'").select("run_id", "step_index", F.array_join(text.patch_targets(patch), ",").alias("targets"))
+
+
+@query(_gates(f"SELECT source, count(*) AS steps, count(*) FILTER (kind IN {ACTIONS}) AS actions, count(*) FILTER (kind IN ('tool_call','file_edit','test_run')) AS structured, count(*) FILTER (kind = 'file_edit') AS edits, count(*) FILTER (r.status <> 'NA') AS judged_edits, count(*) FILTER (kind IN ('tool_call','file_edit','test_run')) / count(*) FILTER (kind IN {ACTIONS}) AS structured_fraction, count(*) FILTER (r.status <> 'NA') / count(*) FILTER (kind = 'file_edit') AS judged_fraction FROM j JOIN r ON r.run_id = j.run_id AND r.pos = j.pos AND r.gate = 'G2' GROUP BY source"))
+def source_counts(j: DataFrame) -> DataFrame:
+    return reports.source_counts(j, gates.gate_results(j))
+
+
+@query(o.with_(f"SELECT source, count(*) AS runs, sum(activities) AS activities, sum(u) AS unlinked_actions FROM (SELECT run_id, any_value(source) AS source, count(*) AS activities, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NULL AND step_index <> first) AS u FROM j JOIN (SELECT run_id, min(step_index) FILTER (kind IN {ACTIONS}) AS first FROM j GROUP BY run_id) USING (run_id) GROUP BY run_id) GROUP BY source", False, **_J))
+def sweep_by_source(j: DataFrame) -> DataFrame:
+    runs = j.groupBy("run_id").agg(F.first("source").alias("source"))
+    return reports.sweep_by(reports.sweep(j, localize.localize(j)), runs, "source").select("source", "runs", "activities", "unlinked_actions")
