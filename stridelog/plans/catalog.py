@@ -126,9 +126,9 @@ def heuristic_edges(j: DataFrame) -> DataFrame:
     return graph.edges(j).where("NOT base").select("run_id", "src", "dst")
 
 
-@query(o.with_("SELECT r.run_id, dst AS step_index, list(src ORDER BY src) AS sources FROM e r GROUP BY r.run_id, dst", **_J, **o.GRAPH))
+@query(o.with_("SELECT r.run_id, dst AS step_index, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS sources FROM e r GROUP BY r.run_id, dst", **_J, **o.GRAPH))
 def reverse_graph(j: DataFrame) -> DataFrame:
-    return graph.edges(j).groupBy("run_id", F.col("dst").alias("step_index")).agg(F.array_sort(F.collect_list("src")).alias("sources"))
+    return graph.edges(j).groupBy("run_id", F.col("dst").alias("step_index")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("src")), lambda x: x.cast("string")), ",").alias("sources"))
 
 
 @query(o.with_("SELECT run_id, count(*) FILTER (kind IN ('opaque_shell','test_run') AND command IS NOT NULL) AS shell_command_steps, count(said) FILTER (kind IN ('opaque_shell','test_run')) AS steps_with_targets, coalesce(any_value(n), 0) AS added_edges FROM j LEFT JOIN t ON command = said LEFT JOIN (SELECT run_id, count(*) AS n FROM e WHERE NOT base GROUP BY run_id) USING (run_id) GROUP BY run_id", **_J, **o.GRAPH))
@@ -164,7 +164,7 @@ def study_by_source(j: DataFrame) -> DataFrame:
     return reports.study(reports.study_runs(j))
 
 
-@query(_gates(f"""SELECT coalesce(source, 'ALL') AS source, count(*) AS runs, sum(n) AS activities, sum(actions) AS actions, sum(linked) AS linked_actions, sum(opaque) AS opaque, sum(failing) AS failing_steps, median(CASE WHEN actions > 0 THEN oa / actions END) AS median_opaque_rate
+@query(_gates(f"""SELECT coalesce(source, 'ALL') AS source, count(*) AS runs, CAST(sum(n) AS BIGINT) AS activities, CAST(sum(actions) AS BIGINT) AS actions, CAST(sum(linked) AS BIGINT) AS linked_actions, CAST(sum(opaque) AS BIGINT) AS opaque, CAST(sum(failing) AS BIGINT) AS failing_steps, median(CASE WHEN actions > 0 THEN oa / actions END) AS median_opaque_rate
  FROM (SELECT j.run_id, any_value(source) AS source, count(*) AS n, count(*) FILTER (kind IN {ACTIONS}) AS actions, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NOT NULL) AS linked, count(*) FILTER (kind IN ('opaque_shell','unmapped')) AS opaque,
  count(*) FILTER (kind IN {ACTIONS} AND kind IN ('opaque_shell','unmapped')) AS oa, count(fl.gate) AS failing FROM j LEFT JOIN fl USING (run_id, step_index) GROUP BY j.run_id) GROUP BY ROLLUP (source)""", fl=o.FAILING))
 def study_median(j: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def study_median(j: DataFrame) -> DataFrame:
 
 
 _COUNTS = ", ".join(f"sum({c}) AS {c}" for c in ("g1_target", "g2_target", "g3_target", "control", "benign"))
-_CENSUS = f"""SELECT coalesce(source, 'ALL') AS source, count(*) AS runs, sum(n) AS activities, count(*) FILTER (NOT dirty) AS clean_runs, {_COUNTS} FROM (SELECT run_id, any_value(source) AS source, count(*) AS n, run_id IN (SELECT run_id FROM r WHERE status = 'FAIL') AS dirty FROM j GROUP BY run_id)
+_CENSUS = f"""SELECT coalesce(source, 'ALL') AS source, count(*) AS runs, CAST(sum(n) AS BIGINT) AS activities, count(*) FILTER (NOT dirty) AS clean_runs, {_COUNTS} FROM (SELECT run_id, any_value(source) AS source, count(*) AS n, run_id IN (SELECT run_id FROM r WHERE status = 'FAIL') AS dirty FROM j GROUP BY run_id)
  LEFT JOIN (SELECT run_id, {", ".join(f"count(*) FILTER (fault_class = '{c.upper()}') AS {c}" for c in ("g1_target", "g2_target", "g3_target", "control", "benign"))} FROM el GROUP BY run_id) USING (run_id) GROUP BY ROLLUP (source)"""
 _CENSUS = _CENSUS.replace(_COUNTS, ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("g1_target", "g2_target", "g3_target", "control", "benign")))
 
@@ -368,7 +368,7 @@ def source_counts(j: DataFrame) -> DataFrame:
     return reports.source_counts(j, gates.gate_results(j))
 
 
-@query(o.with_(f"SELECT source, count(*) AS runs, sum(activities) AS activities, sum(u) AS unlinked_actions FROM (SELECT run_id, any_value(source) AS source, count(*) AS activities, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NULL AND step_index <> first) AS u FROM j JOIN (SELECT run_id, min(step_index) FILTER (kind IN {ACTIONS}) AS first FROM j GROUP BY run_id) USING (run_id) GROUP BY run_id) GROUP BY source", False, **_J))
+@query(o.with_(f"SELECT source, count(*) AS runs, CAST(sum(activities) AS BIGINT) AS activities, CAST(sum(u) AS BIGINT) AS unlinked_actions FROM (SELECT run_id, any_value(source) AS source, count(*) AS activities, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NULL AND step_index <> first) AS u FROM j JOIN (SELECT run_id, min(step_index) FILTER (kind IN {ACTIONS}) AS first FROM j GROUP BY run_id) USING (run_id) GROUP BY run_id) GROUP BY source", False, **_J))
 def sweep_by_source(j: DataFrame) -> DataFrame:
     runs = j.groupBy("run_id").agg(F.first("source").alias("source"))
     return reports.sweep_by(reports.sweep(j, localize.localize(j)), runs, "source").select("source", "runs", "activities", "unlinked_actions")
