@@ -231,5 +231,7 @@ def test_toxicity(spark, docs, none):
     odd = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert len(odd) == len({i for i, *_ in ROWS}) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in odd.values())
     assert odd[2].score == odd[3].score and not odd[None].held_out and toxicity.score(none, model).count() == 0
+    for texts in ([], ["", " "], ["one", "two"]):
+        assert toxicity.train(texts, np.array([0, 1][: len(texts)])).logits(["one"])[0] < -10
     unseen = spark.createDataFrame([(1, "aeion grumbliest torse")], "doc_id long, text string")
     assert toxicity.score(unseen, model).first().predicted == 1
