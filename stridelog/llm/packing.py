@@ -54,7 +54,8 @@ class _Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.simple = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}<|>']*)")
-        self.words, self.other, self.parts = Memory(self._words), Memory(self._each), Memory(self._parts)
+        # words cost a call of the library, parts only their joining: words get the larger memory
+        self.words, self.other, self.parts = Memory(self._words), Memory(self._each, 100_000), Memory(self._parts, 200_000)
 
     def _each(self, keys: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.t.encode_batch_fast(keys, add_special_tokens=False)]
