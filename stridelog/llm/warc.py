@@ -21,34 +21,30 @@ from .shared import table
 #: Pages of this table carry no date of their own.
 DATE = "1970-01-01T00:00:00Z"
 _BLOCK = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: From markup to text, in order.
-STEPS = [
+#: From markup to text, in order; what is plain text is replaced without a regex.
+MARKUP = [
     (r"(?s)<!--.*?-->", ""),
     (r"(?is)<script[^>]*>.*?</script[^>]*>", ""),
     (r"(?is)<style[^>]*>.*?</style[^>]*>", ""),
     (rf"(?i)</?(?:{_BLOCK})(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[/!?A-Za-z][^>]*>", ""),
-    ("&nbsp;|&#160;", " "),
-    ("&lt;|&#60;", "<"),
-    ("&gt;|&#62;", ">"),
-    ("&quot;|&#34;", '"'),
-    ("&#39;|&apos;", "'"),
-    ("&copy;|&#169;", "©"),
-    ("&middot;|&#183;", "·"),
-    ("&amp;|&#38;", "&"),
-    (r"[ \t\r\f]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+|[ \n]+$", ""),
 ]
+ENTITIES = [(e, by) for by, forms in ((" ", ("&nbsp;", "&#160;")), ("<", ("&lt;", "&#60;")), (">", ("&gt;", "&#62;")), ('"', ("&quot;", "&#34;")), ("'", ("&#39;", "&apos;")), ("©", ("&copy;", "&#169;")), ("·", ("&middot;", "&#183;")), ("&", ("&amp;", "&#38;"))) for e in forms]
+#: A single blank is left as it stands.
+BLANKS = [(r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " "), (r" \n[ \n]*|\n[ \n]+", "\n")]
 TITLE, LANGUAGE, CHARSET = r"(?is)<title[^>]*>(.*?)</title", r'(?i)<html[^>]* lang="([^"]*)"', r'(?i)<meta[^>]* charset="?([A-Za-z0-9_-]+)'
 OUTLINK = r'(?i)<a [^>]*href="([^"]*)"'
 _LINE = "\r\n"
 
 
 def text_of_markup(html: Column) -> Column:
-    for pattern, by in STEPS:
-        html = F.regexp_replace(html, pattern, by.replace("$", "\\$"))
-    return html
+    for pattern, by in MARKUP:
+        html = F.regexp_replace(html, pattern, by)
+    for entity, by in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(by))
+    for pattern, by in BLANKS:
+        html = F.regexp_replace(html, pattern, by)
+    return F.btrim(html, F.lit(" \n"))
 
 
 def _id(kind: str, *parts: Column) -> Column:
@@ -106,9 +102,13 @@ def _sql() -> str:
     said = lambda x: "'" + x.replace("'", "''") + "'" if "\n" not in x else "chr(10)"
 
     def text(x: str) -> str:
-        for pattern, by in STEPS:
+        for pattern, by in MARKUP:
             x = f"regexp_replace({x}, {said(pattern)}, {said(by)}, 'g')"
-        return x
+        for entity, by in ENTITIES:
+            x = f"replace({x}, {said(entity)}, {said(by)})"
+        for pattern, by in BLANKS:
+            x = f"regexp_replace({x}, {said(pattern)}, {said(by)}, 'g')"
+        return f"trim({x}, ' ' || chr(10))"
 
     line = "chr(13) || chr(10)"
     one = lambda x: f"regexp_replace({x}, '[\\r\\n]+', ' ', 'g')"
