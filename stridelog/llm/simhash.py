@@ -7,10 +7,15 @@ budget of less than one bit for the first makes it equal, so equal segments are
 the buckets; candidates must then hold the whole chain before the full Hamming
 check. With 64 bits, 5 segments and 4 bits no pair is lost.
 
-The pipeline's stage takes wide fingerprints (``WIDE``): as many bits estimate
-the cosine of shingle sets closely enough to hold pairs to a Jaccard similarity.
-There the first segment's budget exceeds one bit while buckets still ask for
-equality, so chains get some slack and recall is measured, not proven.
+The pipeline's stage (``near_duplicates``) links the pairs whose distinct five-word
+shingles have a Jaccard similarity of at least ``SIMILARITY``, and no others. Equal
+segments of wide fingerprints (``WIDE``) would lose a part of these pairs, so buckets
+are the ``LEAST`` smallest shingle hashes of a document: each of the least hashes of
+a pair's union is shared with a probability of 0.8 or more, so all are missed with
+0.2**16 at most, and never where fewer than 16 shingles are not shared. Fingerprints
+of distinct shingles, over five deviations beyond the worst pair of the similarity,
+then make candidates; groups of these meet with their texts and every pair in them
+that is not connected yet is held to the exact similarity.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a null id has no part in components and keeps a null component unless its
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import deal, in_blocks, linked
+from .buckets import deal, in_blocks, linked, pairs, units
 from .components import components
 from .shared import materialize, table, text_of
 
@@ -47,6 +52,11 @@ NARROW = Scheme(shingle=4, bits=64, segments=5, limit=4)
 #: Five words, similarity 0.8: cosine 0.889 of shingle sets, an angle of 0.151 pi, 77 of 512 bits.
 WIDE = Scheme(shingle=5, bits=512, segments=32, limit=80, slack=5)
 SEED, CAP = 42, 1024
+#: The pipeline's: similarity as a fraction, least hashes, and differing bits of a candidate
+#: (a pair of the similarity expects 77, or 96 if one document has 4 shingles and the other 5).
+SIMILARITY, LEAST, CANDIDATE = (4, 5), 16, 144
+#: Rows of a block whose rows carry texts.
+TEXT_CAP = 4096
 #: Shingles whose bits are added up at once: counts stay within a byte.
 _ROWS = 255
 
@@ -79,7 +89,10 @@ def _widened(h: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(text: str, k: int = NARROW.shingle, bits: int = 64) -> bytes:
     """Big-endian; a bit is set if over half of the shingles' hashes have it."""
-    h = shingle_hashes(text, k)
+    return _majority(shingle_hashes(text, k), bits)
+
+
+def _majority(h: np.ndarray, bits: int) -> bytes:
     ones = np.zeros(bits, np.int64)
     for at in range(0, len(h), 64 * _ROWS):  # bounded memory for very long texts
         raw = _widened(h[at : at + 64 * _ROWS], bits // 64).view(np.uint8).reshape(-1, bits // 8)
@@ -163,5 +176,111 @@ def simhash_groups(docs: DataFrame, scheme: Scheme = NARROW, cap: int = CAP, id_
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest, n, least and fp of each text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, least, fps = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(text, scheme.shingle))
+                digests.append(_digest(h))
+                sizes.append(len(h))
+                least.append(h[:LEAST].tobytes())
+                fps.append(_majority(h, scheme.bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "digest", "n", "least", "fp"])
+
+    return text_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, digest binary, n bigint, least binary, fp binary")
+
+
+def _digest(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes(), SEED)
+
+
+def _by_least(classes: DataFrame) -> DataFrame:
+    """A row per class and least hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(least)), [len(x) for x in least])
+            for at in range(0, len(row), 50_000):
+                own = pa.array(row[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(least)[at : at + 50_000]), *[batch.column(c).take(own) for c in (0, 2, 3)]], ["bucket", "node", "n", "fp"])
+
+    return classes.select("node", "least", "n", "fp").mapInArrow(run, "bucket bigint, node bigint, n bigint, fp binary")
+
+
+def _candidates(scheme: Scheme):
+    above, below = SIMILARITY
+
+    def near(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        fp, n = _words(t.column("fp"), scheme), t.column("n").to_numpy()
+        left = np.flatnonzero(below * np.minimum(n[i], n[j]) >= above * np.maximum(n[i], n[j]))
+        differ = np.zeros(len(left), np.int64)
+        for word in range(scheme.bits // 64):
+            differ = differ + np.bitwise_count(fp[i[left], word] ^ fp[j[left], word])
+            ok = differ <= CANDIDATE
+            left, differ = left[ok], differ[ok]
+        out = np.zeros(len(i), bool)
+        out[left] = True
+        return out
+
+    return near
+
+
+def _similar(dealt: DataFrame, scheme: Scheme) -> DataFrame:
+    """a, b: forests of the pairs of rows with text whose distinct shingles are similar enough."""
+    near, (above, below) = _candidates(scheme), SIMILARITY
+
+    def edges(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.unique(shingle_hashes(x, scheme.shingle)) for x in t.column("text").to_pylist()]
+        # rows that repeat an id meet each other's texts: only a class's own counts
+        own = np.array([_digest(h) == d for h, d in zip(sets, t.column("digest").to_pylist(), strict=True)])
+        n = np.array([len(h) for h in sets])
+        values, rank = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(n)])
+        mark, label = np.zeros(len(values), bool), np.arange(len(sets))
+        for i, j in pairs(t):
+            kept = own[i] & own[j]
+            i, j = i[kept], j[kept]
+            kept = near(t, i, j)
+            i, j = i[kept], j[kept]
+            for a, b in zip(starts := np.flatnonzero(np.diff(i, prepend=-1)), [*starts[1:], len(i)], strict=True):
+                one, others = i[a], j[a:b]
+                others = others[label[others] != label[one]]
+                if not len(others):
+                    continue
+                mark[rank[at[one] : at[one + 1]]] = True
+                shared = np.array([np.count_nonzero(mark[rank[at[x] : at[x + 1]]]) for x in others.tolist()])
+                mark[rank[at[one] : at[one + 1]]] = False
+                yes = others[below * shared >= above * (n[one] + n[others] - shared)]
+                if len(yes):
+                    label[np.isin(label, label[yes])] = label[one]
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return moved, label[moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in units(batches, 1000):
+            node, (a, b) = t.column("node").to_numpy(), edges(t)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, scheme: Scheme = WIDE, cap: int = CAP, text_cap: int = TEXT_CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id for every row: components of the pairs of ``SIMILARITY`` or more."""
+    rows = materialize(shingle_sets(docs, scheme, id_col, text_col))
+    classes = materialize(rows.groupBy("digest", "n", "least", "fp").agg(F.min("doc_id").alias("node")))
+    known = classes.where("node IS NOT NULL")
+    groups = components(linked(deal(in_blocks(_by_least(known), cap)), _candidates(scheme)))
+    members = materialize(known.join(groups, "node").select(F.col("component").alias("bucket"), "node", "digest", "n", "fp"))
+    texts = text_of(docs, id_col, text_col).select(F.col("doc_id").alias("node"), "text")
+    found = components(_similar(deal(in_blocks(members, text_cap).join(texts, "node")), scheme))
+    named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(named, "digest").select("doc_id", "component_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
