@@ -40,6 +40,12 @@ def test_no_similar_pair_is_lost(texts, groups):
     assert len(alike) >= 120 and [i for i in alike if groups[i + 1] != i] == []
 
 
+def test_less_similar_texts_stay(texts, groups):
+    other = {i: round(similarity(texts[i], texts[i + 1]), 3) for i in range(0, 480, 2) if similarity(texts[i], texts[i + 1]) < 0.8}
+    assert len([s for s in other.values() if s >= 0.7]) >= 60
+    assert {i: s for i, s in other.items() if groups[i + 1] != i + 1} == {} and len(groups) == 480
+
+
 def test_groups_in_blocks_and_odd_rows(spark):
     base = [f"w{k}" for k in range(300)]
     chain = [" ".join(base[: 60 + 4 * i]) for i in range(50)]
