@@ -11,7 +11,9 @@ Training reads a bounded sample of labelled documents: those with the smallest
 hash of their id, at most ``TOXIC_DOCS`` and ``CLEAN_DOCS`` of the classes, of at
 most ``TRAIN_CHARS`` characters. N-grams of fewer than ``MIN_DOCS`` of them carry
 no weight, or single documents would be learnt by heart. These bounds are
-parameters. Scoring reads every whole text of every document.
+parameters. Scoring reads every whole text of every document: runs without white
+space of over ``MAX_WORD`` characters are divided at inner punctuation, and what is
+still longer into pieces that overlap by half; each piece is a word.
 
 Defined results: null and empty texts score as a document without words, close
 to 0; null ids stay null and are not held out; labels that are null are not
@@ -21,6 +23,7 @@ repeat; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,14 +44,27 @@ EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~`#|/\\"
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
+_INNER = re.compile(f"[{re.escape(EDGES)}=&%+@$^]+")
+
+
+def _pieces(run: str) -> list[str]:
+    """A long run's parts between punctuation, of ``MAX_WORD`` characters at most."""
+    step = MAX_WORD // 2
+    return [p[k : k + MAX_WORD] for p in _INNER.split(run) for k in range(0, max(1, len(p) - step), step)]
+
+
 def words_of(text: str) -> set[str]:
     """Distinct words, lower case, without outer punctuation."""
-    return {w.strip(EDGES) for w in text.lower().split()} - {""}
+    words = {w.strip(EDGES) for w in text.lower().split()}
+    if long := [w for w in words if len(w) > MAX_WORD]:
+        words.difference_update(long)
+        words.update(p for w in long for p in _pieces(w))
+    return words - {""}
 
 
 def grams_of(word: str, buckets: int = BUCKETS) -> list[int]:
     """Hashed rows of a word: itself and its n-grams, marked at both ends."""
-    raw = f"<{word[:MAX_WORD]}>"
+    raw = f"<{word}>"
     parts = [raw[i : i + n] for n in GRAMS for i in range(len(raw) - n + 1)]
     return [zlib.crc32(p.encode()) % buckets for p in parts] + [zlib.crc32(b"\0" + word.encode()) % buckets]
 
