@@ -1,7 +1,8 @@
 """Operator 6: license scan by ordered signature rules, in DataFrame functions only.
 
 Rules are gated by keyword: a rule's regex is tried only where its keyword occurs
-in the lower-cased text. Detections are character intervals; one that lies within
+in the lower-cased text, whatever stands between its words (line breaks, comment
+marks) as the regexes allow it. Detections are character intervals; one that lies within
 another of higher priority, or of equal priority and greater length, is
 suppressed. Everything happens within the row: no shuffle, no join, no Python.
 
@@ -15,6 +16,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from .shared import table, text_of
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_PRIORITY = 50
+#: What the rules allow between words.
+_BETWEEN = r"[^a-z0-9_]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GROUPS = "array<struct<keyword:string,rules:array<struct<label:string,priority:int,regex:string>>>>"
 
@@ -34,7 +38,7 @@ def rule_groups(own: list[Rule]) -> Column:
     """A constant: keyword -> its rules."""
     groups: dict[str, list[dict]] = {}
     for r in own:
-        groups.setdefault(r.keyword, []).append({"label": r.label, "priority": r.priority, "regex": r.regex})
+        groups.setdefault(re.sub(_BETWEEN, " ", r.keyword), []).append({"label": r.label, "priority": r.priority, "regex": r.regex})
     return F.from_json(F.lit(json.dumps([{"keyword": k, "rules": v} for k, v in groups.items()])), _GROUPS)
 
 
@@ -52,7 +56,10 @@ def _intervals(low: Column, rule: Column) -> Column:
 
 def detections(low: Column, own: list[Rule] | None = None) -> Column:
     """Every rule's matches in a lower-cased text, before suppression."""
-    gated = F.filter(rule_groups(rules() if own is None else own), lambda g: F.contains(low, g["keyword"]))
+    groups = rule_groups(rules() if own is None else own)
+    # an array of one: within a lambda the text would be rewritten for every keyword
+    tight = F.array(F.regexp_replace(low, _BETWEEN, " "))
+    gated = F.flatten(F.transform(tight, lambda t: F.filter(groups, lambda g: F.contains(t, g["keyword"]))))
     return F.flatten(F.transform(gated, lambda g: F.flatten(F.transform(g["rules"], lambda r: _intervals(low, r)))))
 
 
