@@ -7,7 +7,7 @@ feasible functions certifies a partition whose number of bins equals it.
 Partitions with a gap keep their full bins, exchange the documents of the other
 bins, dealt anew into fewer partitions, and rerun; a rerun stands only if it
 saves bins. Rounds end when every partition is certified, when a round saves
-nothing, or after ``rounds``.
+nothing, or when a single partition has rerun.
 
 Defined results: a null or empty text is a document of the single id 0; a null
 id packs like any other and stays null; repeated rows are packed once each; an
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,8 @@ from .shared import materialize, table, text_of
 CAPACITY = 2048
 #: Pieces in a partition: some MB of Python memory.
 PER_PARTITION = 60_000
-ROUNDS = 4
+#: Of a sequence id: bins of a partition, partitions of a round. Rounds have the other 15.
+_BIN_BITS, _PARTITION_BITS = 26, 22
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PLACED = f"{_PIECES}, sequence_id bigint, offset bigint, final boolean, bins bigint"
 
@@ -109,7 +111,11 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     For each threshold e up to half the capacity: sizes over capacity - e count a
     whole bin, sizes below e nothing, others their share.
     """
-    count = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1]
+    return _bound(np.bincount(sizes, minlength=capacity + 1)[: capacity + 1], capacity)
+
+
+def _bound(count: np.ndarray, capacity: int) -> int:
+    """The same from how many pieces there are of each size."""
     if not count.sum():
         return 0
     size = np.arange(capacity + 1)
@@ -160,7 +166,7 @@ def _pack(round_: int, capacity: int):
         bins, offsets, used = best_fit_decreasing(sizes, capacity)
         certified = used == lower_bound(sizes, capacity)
         full = np.bincount(bins, weights=sizes, minlength=used) == capacity
-        base = (round_ * 2**22 + TaskContext.get().partitionId()) * 2**32
+        base = (round_ * 2**_PARTITION_BITS + TaskContext.get().partitionId()) * 2**_BIN_BITS
         pdf["sequence_id"], pdf["offset"] = base + bins, offsets
         pdf["final"] = certified | full[bins]
         pdf["bins"] = (offsets == 0).astype("int64")
@@ -169,11 +175,11 @@ def _pack(round_: int, capacity: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """Adds sequence_id and offset; ``pieces`` must be cheap to read again (a table)."""
     columns = [c.split()[0] for c in _PIECES.split(", ")]
     done, left, open_bins = [], pieces.select(*columns), None
-    for r in range(rounds):
+    for r in count():  # each saves bins, so they end
         n = left.count()
         if not n and r:
             return _union(done, left)
@@ -192,6 +198,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_P
     return _union(done, left)
 
 
+def bins_and_bound(placed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Bins in use and the lower bound of any packing of the same pieces."""
+    sizes = placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    count_of = np.zeros(capacity + 1, np.int64)
+    for s in sizes:
+        count_of[s["length"]] = s["n"]
+    return placed.where("offset = 0").count(), _bound(count_of, capacity)
+
+
 def _union(done: list[DataFrame], empty: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
@@ -208,4 +223,4 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-__all__ = ["best_fit_decreasing", "lower_bound", "op4_best_fit_packing", "pack", "pack_documents", "tokenized_pieces"]
+__all__ = ["best_fit_decreasing", "bins_and_bound", "lower_bound", "op4_best_fit_packing", "pack", "pack_documents", "tokenized_pieces"]
