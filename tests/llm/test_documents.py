@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from stridelog.llm import bpe, exact_dedup, license_rules, licenses, packing, pieces, simhash, suffixes, token_counts, toxicity
+from stridelog.llm import bpe, exact_dedup, licenses, packing, pieces, simhash, suffixes, token_counts, toxicity
 
 random.seed(3)
 LONG = " ".join("".join(random.choice("abcdeé") for _ in range(random.randrange(1, 9))) for _ in range(9000))
@@ -168,15 +168,6 @@ def test_license_scan(docs, none):
     assert licenses.license_scan(none).count() == 0
 
 
-def test_license_detections_against_python(spark):
-    own = license_rules.rules()
-    text = "mit license; licensed under the apache license, version 2.0 and the apache license. spdx-license-identifier: mit\ncc by-nc 4.0 gnu.org/licenses/gpl-3.0 bsd license"
-    hits = {(m.start(), m.end(), r.label, r.priority) for r in own if r.keyword in text for m in re.finditer(r.regex, text)}
-    left = {h for h in hits if not any(g[0] <= h[0] and g[1] >= h[1] and (g[3] > h[3] or (g[3] == h[3] and g[1] - g[0] > h[1] - h[0])) for g in hits)}
-    got = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), own).first()
-    assert {tuple(d) for d in got.detections} == left and len(own) >= 200
-
-
 def repeats(found, depth):
     raws = [(i, (t or "").encode()) for i, t in found]
     seen = Counter(r[s : s + depth] for _, r in raws for s in range(len(r) - depth + 1))
