@@ -16,6 +16,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,7 +46,9 @@ class _Words:
     """Ids of whole texts by the word-level tokenizer, from remembered words.
 
     White space ends every word of this tokenizer, and a run of letters, and what
-    punctuation follows it, encode apart; so parts are encoded once and joined.
+    marks and punctuation follow it, encode apart; so parts are encoded once and
+    joined. Its normalizer composes characters (NFC) before all that: a text that is
+    not composed already goes to the library as a whole.
     """
 
     def __init__(self, name: str):
@@ -55,7 +58,8 @@ class _Words:
         vocab = self.t.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.simple = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}<|>']*)")
+        # U+0130 in lower case is a letter and a mark, which joins what follows
+        self.simple = regex.compile(r"((?:(?!İ)\p{L})+)([^\s\p{L}\p{N}<|>']*)")
         # words cost a call of the library, parts only their joining: words get the larger memory
         self.words, self.other, self.parts = Memory(self._words), Memory(self._each, 100_000), Memory(self._parts, 200_000)
 
@@ -80,6 +84,8 @@ class _Words:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
+        if not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return self._each([text])[0]
         return b"".join(self.parts.of(text.replace("\n", " ").split(" ")))
 
 
