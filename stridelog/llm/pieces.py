@@ -15,8 +15,10 @@ from collections.abc import Callable, Iterable
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space next to other white space: there a cut at each single space would not be safe.
 _DOUBLED = re.compile(r"\s\s")
-#: Entries a generation of a memory holds: two of them take some 150 MB.
+#: What a generation of a memory holds: short entries, longer ones count for each 16 characters. Two take some 150 MB.
 REMEMBERED = 400_000
+#: Longer keys (encoded data, minified code) hardly recur: they are computed each time.
+LONG = 100
 
 
 def parts(text: str) -> list[str]:
@@ -30,28 +32,31 @@ class Memory:
     """part -> result, two generations; unknown parts are computed together by ``many``.
 
     When the young generation is full it becomes the old one, and what was old
-    and not asked for since goes: frequent parts stay, rare ones leave.
+    and not asked for since goes: frequent parts stay, rare ones leave. Results
+    grow with their keys, so what keys cost bounds the memory's bytes.
     """
 
     def __init__(self, many: Callable[[list[str]], Iterable], limit: int = REMEMBERED):
-        self.many, self.limit, self.young, self.old = many, limit, {}, {}
+        self.many, self.limit, self.young, self.old, self.held = many, limit, {}, {}, 0
 
     def of(self, keys: list[str]) -> list:
         """The results, in order; none may be None."""
         out = list(map(self.young.get, keys))
         if None not in out:
             return out
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {k: v for k, v in zip(keys, out, strict=True) if v is not None}
         at = [i for i, v in enumerate(out) if v is None]
-        young, old, new = self.young, self.old, []
+        old, new, again = self.old, [], {}
         for k in {keys[i] for i in at}:
             if (v := old.get(k)) is None:
                 new.append(k)
             else:
-                young[k] = v
-        if new:
-            young.update(zip(new, self.many(new), strict=True))
+                again[k] = v
+        found = again | dict(zip(new, self.many(new), strict=True)) if new else again
         for i in at:
-            out[i] = young[keys[i]]
+            out[i] = found[keys[i]]
+        kept = {k: v for k, v in found.items() if len(k) <= LONG}
+        self.young.update(kept)
+        self.held += sum(1 + len(k) // 16 for k in kept)
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         return out
