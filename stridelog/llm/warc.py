@@ -4,7 +4,9 @@ Each response gets two records that refer to it: metadata (title, language,
 charset, outlinks, the source's HTTP headers and digest) and a plain-text
 conversion. Identifiers are derived from content, so a rerun names records alike,
 and every derived record keeps its source's identifier, target and date.
-Everything is an expression over one row: no shuffle, no Python.
+Everything is an expression over one row: no shuffle, no Python. Character references
+are decoded once each, by number or by name; attributes may be quoted either way or bare.
+The query returns each record as archives hold it, its block included.
 
 Defined results: a null page is an empty one (empty text, no title, no links); a
 null url is an empty target; null ids stay null; repeated rows give repeated
@@ -13,6 +15,9 @@ records; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +34,40 @@ MARKUP = [
     (rf"(?i)</?(?:{_BLOCK})(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[/!?A-Za-z][^>]*>", ""),
 ]
-ENTITIES = [(e, by) for by, forms in ((" ", ("&nbsp;", "&#160;")), ("<", ("&lt;", "&#60;")), (">", ("&gt;", "&#62;")), ('"', ("&quot;", "&#34;")), ("'", ("&#39;", "&apos;")), ("©", ("&copy;", "&#169;")), ("·", ("&middot;", "&#183;")), ("&", ("&amp;", "&#38;"))) for e in forms]
+#: A character reference: decimal, hexadecimal or by name.
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});"
+#: Names of the standard library's table, and what text makes of them.
+NAMED = {name: chr(n) for name, n in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
 #: A single blank is left as it stands.
 BLANKS = [(r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " "), (r" \n[ \n]*|\n[ \n]+", "\n")]
-TITLE, LANGUAGE, CHARSET = r"(?is)<title[^>]*>(.*?)</title", r'(?i)<html[^>]* lang="([^"]*)"', r'(?i)<meta[^>]* charset="?([A-Za-z0-9_-]+)'
-OUTLINK = r'(?i)<a [^>]*href="([^"]*)"'
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+TITLE, LANGUAGE, CHARSET = r"(?is)<title[^>]*>(.*?)</title", rf"(?i)<html[^>]*\slang\s*=\s*{_VALUE}", r"""(?i)<meta[^>]* charset=["']?([A-Za-z0-9_-]+)"""
+OUTLINK = rf"(?i)<a\s[^>]*?\bhref\s*=\s*{_VALUE}"
+_QUOTES = """^["']|["']$"""
 _LINE = "\r\n"
 
 
+def decoded(x: Column) -> Column:
+    """Character references replaced, each once; unknown names and impossible numbers stay."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def character(e: Column) -> Column:
+        digits = F.regexp_replace(e, "[&#xX;]", "")
+        n = F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        n = F.when(n == 160, F.lit(32)).otherwise(n)
+        known = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        number = F.when(known, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(F.substring(e, 2, 1) == "#", number).otherwise(names[F.btrim(e, F.lit("&;"))]), e)
+
+    # arrays of one: their values are computed once
+    both = F.transform(F.array(x), lambda t: F.zip_with(F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), lambda gap, e: F.concat(gap, F.when(e.isNull(), F.lit("")).otherwise(character(e)))))
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.element_at(both, 1), "")).otherwise(x)
+
+
 def text_of_markup(html: Column) -> Column:
     for pattern, by in MARKUP:
         html = F.regexp_replace(html, pattern, by)
-    for entity, by in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(by))
+    html = decoded(html)
     for pattern, by in BLANKS:
         html = F.regexp_replace(html, pattern, by)
     return F.btrim(html, F.lit(" \n"))
@@ -71,9 +97,10 @@ def derive(source: DataFrame) -> DataFrame:
     text = text_of_markup(payload)
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit(_LINE))).otherwise("")
     one_line = lambda c: F.regexp_replace(c, "[\r\n]+", " ")
-    links = F.array_join(F.transform(F.regexp_extract_all(payload, F.lit(OUTLINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), one_line(x), F.lit(" L a/@href" + _LINE))), "")
+    value = lambda c: one_line(decoded(F.regexp_replace(c, _QUOTES, "")))
+    links = F.array_join(F.transform(F.regexp_extract_all(payload, F.lit(OUTLINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), value(x), F.lit(" L a/@href" + _LINE))), "")
     meta = F.concat(
-        field("title", one_line(text_of_markup(F.regexp_extract(payload, TITLE, 1)))), field("language", one_line(F.regexp_extract(payload, LANGUAGE, 1))), field("charset", F.regexp_extract(payload, CHARSET, 1)),
+        field("title", one_line(text_of_markup(F.regexp_extract(payload, TITLE, 1)))), field("language", value(F.regexp_extract(payload, LANGUAGE, 1))), field("charset", F.regexp_extract(payload, CHARSET, 1)),
         F.concat(F.lit("source-digest: "), F.col("payload_digest"), F.lit(_LINE)),
         F.regexp_replace("http_headers", "([^\r\n]+)\r\n", "source-header: $1\r\n"), links,
     )
@@ -95,17 +122,23 @@ def serialized(records: DataFrame) -> DataFrame:
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(responses(table(spark, sf_dir, "pages"))).drop("block")
+    return serialized(derive(responses(table(spark, sf_dir, "pages")))).drop("block")
 
 
 def _sql() -> str:
     said = lambda x: "'" + x.replace("'", "''") + "'" if "\n" not in x else "chr(10)"
 
+    def decoded(x: str) -> str:
+        digits = "regexp_replace(z[2], '[&#xX;]', '', 'g')"
+        n = f"CASE WHEN lower(z[2][3]) = 'x' THEN CAST('0x' || {digits} AS BIGINT) ELSE CAST({digits} AS BIGINT) END"
+        number = f"list_transform([{n}], lambda n: CASE WHEN n = 160 THEN ' ' WHEN n BETWEEN 1 AND 1114111 AND n NOT BETWEEN 55296 AND 57343 THEN chr(CAST(n AS INTEGER)) END)[1]"
+        character = f"CASE WHEN z[2] IS NULL THEN '' WHEN z[2][2] = '#' THEN coalesce({number}, z[2]) ELSE coalesce(names[trim(z[2], '&;')], z[2]) END"
+        return f"list_transform([{x}], lambda t: array_to_string(list_transform(list_zip(string_split_regex(t, {said(REFERENCE)}), regexp_extract_all(t, {said(REFERENCE)})), lambda z: z[1] || {character}), ''))[1]"
+
     def text(x: str) -> str:
         for pattern, by in MARKUP:
             x = f"regexp_replace({x}, {said(pattern)}, {said(by)}, 'g')"
-        for entity, by in ENTITIES:
-            x = f"replace({x}, {said(entity)}, {said(by)})"
+        x = decoded(x)
         for pattern, by in BLANKS:
             x = f"regexp_replace({x}, {said(pattern)}, {said(by)}, 'g')"
         return f"trim({x}, ' ' || chr(10))"
@@ -115,14 +148,22 @@ def _sql() -> str:
     field = lambda name, x: f"CASE WHEN {x} <> '' THEN '{name}: ' || {x} || {line} ELSE '' END"
     uid = lambda h: "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
     extract = lambda p: f"regexp_extract(p, {said(p)}, 1)"
-    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(p, {said(OUTLINK)}, 1), lambda x: 'outlink: ' || {one('x')} || ' L a/@href' || {line}), ''), '')"
+    value = lambda x: one(decoded(f"regexp_replace({x}, {said(_QUOTES)}, '', 'g')"))
+    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(p, {said(OUTLINK)}, 1), lambda x: 'outlink: ' || {value('x')} || ' L a/@href' || {line}), ''), '')"
     headers = f"'source-header: HTTP/1.1 200 OK' || {line} || 'source-header: Content-Type: text/html; charset=utf-8' || {line} || 'source-header: Content-Length: ' || strlen(p) || {line}"
-    meta = " || ".join([field("title", one(text(extract(TITLE)))), field("language", one(extract(LANGUAGE))), field("charset", extract(CHARSET)), f"'source-digest: ' || d || {line}", headers, links])
-    return f"""WITH a AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS p, 'sha256:' || sha256(coalesce(html, '')) AS d FROM pages),
+    meta = " || ".join([field("title", one(text(extract(TITLE)))), field("language", value(extract(LANGUAGE))), field("charset", extract(CHARSET)), f"'source-digest: ' || d || {line}", headers, links])
+    names = "MAP {" + ", ".join(f"'{k}': chr({ord(v)})" for k, v in NAMED.items()) + "}"
+    head = lambda name, x: f"'{name}: ' || {x} || {line}"
+    record = " || ".join([
+        f"'WARC/1.1' || {line}", head("WARC-Type", "warc_type"), head("WARC-Record-ID", "record_id"), head("WARC-Refers-To", "refers_to"), head("WARC-Refers-To-Target-URI", "target_uri"), head("WARC-Refers-To-Date", "date"), head("WARC-Target-URI", "target_uri"),
+        head("WARC-Date", "date"), head("WARC-Block-Digest", "block_digest"), head("Content-Type", "content_type"), head("Content-Length", "content_length"), f"{line} || block || {line} || {line}",
+    ])
+    return f"""WITH a AS (SELECT {names} AS names, page_id, coalesce(url, '') AS u, coalesce(html, '') AS p, 'sha256:' || sha256(coalesce(html, '')) AS d FROM pages),
 b AS (SELECT *, sha256('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || u || '|' || d) AS h FROM a), c AS (SELECT *, {uid("h")} AS rid FROM b),
 r AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {meta} AS block FROM c UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {text("p")} FROM c),
-i AS (SELECT *, sha256(warc_type || '|' || rid) AS k FROM r)
-SELECT page_id, warc_type, {uid("k")} AS record_id, rid AS refers_to, u AS target_uri, '{DATE}' AS date, content_type, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, d AS source_digest FROM i"""
+i AS (SELECT *, sha256(warc_type || '|' || rid) AS k FROM r),
+o AS (SELECT page_id, warc_type, {uid("k")} AS record_id, rid AS refers_to, u AS target_uri, '{DATE}' AS date, content_type, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, d AS source_digest, block FROM i)
+SELECT * EXCLUDE (block), {record} AS record FROM o"""
 
 
 SQL = _sql()

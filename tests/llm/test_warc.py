@@ -37,3 +37,18 @@ def test_oracle(spark, data):
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     assert sorted(tuple(r) for r in got.select(*order).collect()) == sorted(want.select(*order).fetchall())
+
+
+REFERENCES = "&eacute;&uuml;&#8217;&#x27;&#X1F600;&hellip;&nbsp;|&#160;|&amp;lt;|&nosuch;|&#0;|&#xD800;|&#1114112;|& ;|&;"
+
+
+def test_references_and_quoting(spark):
+    html = f"<html lang='d&auml;'><a class=x href='/a?b&amp;c'>1</a><a href=/bare>2</a><a href=\"/d\">3</a><p>{REFERENCES}</p>"
+    got = made(spark, [(1, "u", html, "", "")])
+    by = {r.warc_type: r.block for r in got.collect()}
+    assert by["conversion"].splitlines()[-1] == "éü’'😀… | |&lt;|&nosuch;|&#0;|&#xD800;|&#1114112;|& ;|&;"
+    assert "language: dä" in by["metadata"] and [x for x in by["metadata"].split("\r\n") if x.startswith("outlink")] == [f"outlink: {u} L a/@href" for u in ("/a?b&c", "/bare", "/d")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.execute("INSERT INTO pages VALUES (1, 'u', ?)", [html])
+    assert sorted(r.record for r in warc.serialized(got).collect()) == sorted(r[0] for r in con.sql(f"SELECT record FROM ({warc.SQL})").fetchall())
