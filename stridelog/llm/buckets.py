@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 PAIRS_AT_ONCE = 1_000_000
 
 
-def in_blocks(rows: DataFrame, cap: int, key: str = "bucket", node: str = "node") -> DataFrame:
+def in_blocks(rows: DataFrame, cap: int, few: bool = False, key: str = "bucket", node: str = "node") -> DataFrame:
     """Adds own, lo, hi: the row's block and the block pair this copy of it is for.
 
-    The heavy buckets are broadcast: there are no more of them than the key space
-    has keys, which each caller keeps to some millions at most.
+    The heavy buckets are broadcast only where the caller says that the key space
+    has ``few`` keys (some millions at most); else the optimizer joins them.
     """
     heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > cap).select(F.col(key).alias("heavy"), F.ceil(F.col("rows") / cap).cast("int").alias("blocks"))
-    cut = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = rows.join(F.broadcast(heavy) if few else heavy, F.col(key) == F.col("heavy"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = cut.withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return own.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("heavy", "blocks", "with")
 
@@ -102,17 +102,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(dealt: DataFrame, near: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """a, b: forests of the pairs for which ``near`` says yes; no more rows than the units have."""
+    """a, b: forests of the pairs for which ``near`` says yes; no more rows than the units have.
+
+    Pairs that a unit's earlier pairs connect already are not asked again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(batches):
-            node = t.column("node").to_numpy()
+            label = np.arange(t.num_rows)
             a = b = np.empty(0, np.int64)
             for i, j in pairs(t):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
                 yes = near(t, i, j)
                 if yes.any():
-                    a, b = forest(np.concatenate([a, node[i[yes]]]), np.concatenate([b, node[j[yes]]]))
+                    a, b = forest(np.concatenate([a, i[yes]]), np.concatenate([b, j[yes]]))
+                    label[a] = b
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                node = t.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint")

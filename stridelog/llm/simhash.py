@@ -2,36 +2,42 @@
 
 A fingerprint is cut into ``segments`` on a ring. If two differ in at most
 ``limit`` bits, some segment starts a chain whose running differences stay within
-proportional budgets: l segments differ in at most l * limit / segments bits. A
-budget of less than one bit for the first makes it equal, so equal segments are
-the buckets; candidates must then hold the whole chain before the full Hamming
-check. With 64 bits, 5 segments and 4 bits no pair is lost.
+proportional budgets: l segments differ in at most l * limit / segments bits.
+
+With 64 bits, 5 segments and 4 bits the first segment of a chain is equal, so equal
+segments are the first buckets. A bucket of over ``cap`` rows is keyed by more of
+the chain: its next two segments differ in 2 bits at most, so of their four quarters
+two are equal; each pair of quarters makes a bucket of 25 bits (6 rows for one).
+What is still large is compared in pairs of blocks. Candidates must hold the whole
+chain before the full Hamming check. No pair is lost at any step.
 
 The pipeline's stage (``near_duplicates``) links the pairs whose distinct five-word
-shingles have a Jaccard similarity of at least ``SIMILARITY``, and no others. Equal
-segments of wide fingerprints (``WIDE``) would lose a part of these pairs, so buckets
-are the ``LEAST`` smallest shingle hashes of a document: each of the least hashes of
-a pair's union is shared with a probability of 0.8 or more, so all are missed with
-0.2**16 at most, and never where fewer than 16 shingles are not shared. Fingerprints
-of distinct shingles, over five deviations beyond the worst pair of the similarity,
-then make candidates; groups of these meet with their texts and every pair in them
-that is not connected yet is held to the exact similarity.
+shingles have a Jaccard similarity of at least ``SIMILARITY``, and no others. Pairs
+of that similarity differ in up to a fourth of their bits, where no segment need be
+equal, so buckets are the ``LEAST`` smallest shingle hashes of a document: each of
+the least hashes of a pair's union is shared with a probability of 0.8 or more, so
+all are missed with 0.2**16 at most, and never where fewer than 16 shingles are not
+shared. In the buckets the pigeonring filter, with chains of ``CHAIN`` of 16
+segments, and the full Hamming check (over five deviations beyond the worst pair of
+the similarity) leave candidates; groups of these meet with their texts, and every
+pair in them that is not connected yet is held to the exact similarity.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; a null id has no part in components and keeps a null component unless its
-fingerprint class has ids; repeated rows repeat; an empty table gives no rows;
-extra columns are ignored.
+other; a row of null id links like any other but names no component: a component
+without other ids has null; rows that repeat an id are nodes of their own by their
+texts; repeated rows repeat; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import deal, in_blocks, linked, pairs, units
@@ -44,17 +50,16 @@ class Scheme(NamedTuple):
     bits: int
     segments: int
     limit: int
-    slack: int = 0
 
 
 #: The contract's: lossless.
 NARROW = Scheme(shingle=4, bits=64, segments=5, limit=4)
-#: Five words, similarity 0.8: cosine 0.889 of shingle sets, an angle of 0.151 pi, 77 of 512 bits.
-WIDE = Scheme(shingle=5, bits=512, segments=32, limit=80, slack=5)
+#: The pipeline's: a pair of the similarity expects 77 differing bits, or 96 if one document has 4 shingles and the other 5.
+WIDE = Scheme(shingle=5, bits=512, segments=16, limit=144)
+CHAIN = 4
 SEED, CAP = 42, 1024
-#: The pipeline's: similarity as a fraction, least hashes, and differing bits of a candidate
-#: (a pair of the similarity expects 77, or 96 if one document has 4 shingles and the other 5).
-SIMILARITY, LEAST, CANDIDATE = (4, 5), 16, 144
+#: The pipeline's similarity as a fraction, and least hashes.
+SIMILARITY, LEAST = (4, 5), 16
 #: Rows of a block whose rows carry texts.
 TEXT_CAP = 4096
 #: Shingles whose bits are added up at once: counts stay within a byte.
@@ -140,6 +145,42 @@ def _bucketed(classes: DataFrame, scheme: Scheme) -> DataFrame:
     return classes.select("node", "fp").mapInArrow(run, "bucket bigint, node bigint, fp binary")
 
 
+def _further(heavy: DataFrame, scheme: Scheme) -> DataFrame:
+    """Rows of heavy buckets, keyed by pairs of equal parts of the chain's next two segments too.
+
+    These differ in ``budget`` bits at most, so of ``budget + 2`` parts two are equal.
+    """
+    budget = 3 * scheme.limit // scheme.segments
+    spans = [_span(scheme, i) for i in range(scheme.segments)]
+    width = [int(m).bit_length() for _, _, m in spans]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                bucket, fp = part.column(0).to_numpy(), _words(part.column(2), scheme)
+                for i in np.unique(bucket >> 32).tolist():
+                    own = np.flatnonzero(bucket >> 32 == i)
+                    a, b = (i + 1) % scheme.segments, (i + 2) % scheme.segments
+                    (wa, sa, ma), (wb, sb, mb) = spans[a], spans[b]
+                    both = ((fp[own, wa] >> sa & ma).astype(np.int64) << width[b]) | (fp[own, wb] >> sb & mb).astype(np.int64)
+                    cuts = [k * (width[a] + width[b]) // (budget + 2) for k in range(budget + 3)]
+                    parts = [both >> lo & (1 << hi - lo) - 1 for lo, hi in zip(cuts, cuts[1:], strict=False)]
+                    for c, (x, y) in enumerate(combinations(range(budget + 2), 2)):
+                        key = (((bucket[own] & 0x1FFF) << 7 | parts[x]) << 7 | parts[y]) | c << 27 | i << 32 | 1 << 40
+                        yield pa.RecordBatch.from_arrays([pa.array(key), part.column(1).take(pa.array(own)), part.column(2).take(pa.array(own))], ["bucket", "node", "fp"])
+
+    return heavy.select("bucket", "node", "fp").mapInArrow(run, "bucket bigint, node bigint, fp binary")
+
+
+def _by_chains(classes: DataFrame, scheme: Scheme, cap: int) -> DataFrame:
+    """Buckets by the first segment, and by more of the chain where these are heavy."""
+    rows = _bucketed(classes, scheme)
+    heavy = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select(F.col("bucket").alias("heavy"))
+    told = rows.join(F.broadcast(heavy), rows["bucket"] == heavy["heavy"], "left")  # segments * 2**13 keys at most
+    return told.where("heavy IS NULL").drop("heavy").unionByName(_further(told.where("heavy IS NOT NULL"), scheme))
+
+
 def _near(scheme: Scheme):
     spans = [_span(scheme, i) for i in range(scheme.segments)]
     masks = np.array([m << s for _, s, m in spans], np.uint64)
@@ -147,14 +188,14 @@ def _near(scheme: Scheme):
 
     def near(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         fp = _words(t.column("fp"), scheme)
-        first = (t.column("bucket").to_numpy() >> 32)[i]
+        first = (t.column("bucket").to_numpy() >> 32 & 0xFF)[i]
         differ = np.zeros(len(i), np.int64)
         left = np.arange(len(i))
         for l in range(1, scheme.segments):  # the chain, segment by segment
             s = (first[left] + l) % scheme.segments
             x = (fp[i[left], word[s]] ^ fp[j[left], word[s]]) & masks[s]
             differ = differ + np.bitwise_count(x)
-            ok = differ <= (l + 1) * scheme.limit // scheme.segments + scheme.slack
+            ok = differ <= (l + 1) * scheme.limit // scheme.segments
             left, differ = left[ok], differ[ok]
             if not len(left):
                 break
@@ -166,35 +207,47 @@ def _near(scheme: Scheme):
     return near
 
 
+def _named(classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``key`` and the first row (by id, null last, then text) of each class's component. ``classes``: node, key, first."""
+    own = classes.select("node", F.col(key).alias("own_key"), "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = own.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("chosen"))
+    return own.join(first, F.col("component") == F.col("c")).select("own_key", F.col("chosen.doc_id").alias("component_id"), F.col("chosen.k").alias("chosen_k"))
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k")).alias("first")
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """A node per class, fixed once it is written."""
+    return materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+
+
 def simhash_groups(docs: DataFrame, scheme: Scheme = NARROW, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id for every row."""
+    assert scheme.limit < scheme.segments, "the first segment of a chain must be equal"
     rows = materialize(fingerprints(docs, scheme, id_col, text_col))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = linked(deal(in_blocks(_bucketed(classes.where("node IS NOT NULL"), scheme), cap)), _near(scheme))
-    found = components(edges)
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = _numbered(rows.withColumn("k", F.lit(0)).groupBy("fp").agg(_first()))
+    found = components(linked(deal(in_blocks(_by_chains(classes, scheme, cap), 4 * cap)), _near(scheme)))
+    named = _named(classes, found, "fp")
+    return rows.join(named, F.col("fp") == F.col("own_key")).select("doc_id", "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, n, least and fp of each text's distinct shingles."""
+    """doc_id, k (the text's hash), digest, n, least and fp of each text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, sizes, least, fps = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = np.unique(shingle_hashes(text, scheme.shingle))
-                digests.append(_digest(h))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 least.append(h[:LEAST].tobytes())
                 fps.append(_majority(h, scheme.bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "digest", "n", "least", "fp"])
-
-    return text_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, digest binary, n bigint, least binary, fp binary")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "k", "digest", "n", "least", "fp"])
 
-def _digest(h: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(h.tobytes(), SEED)
+    return text_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("k"), "text").mapInArrow(run, "doc_id bigint, k bigint, digest binary, n bigint, least binary, fp binary")
 
 
 def _by_least(classes: DataFrame) -> DataFrame:
@@ -212,18 +265,24 @@ def _by_least(classes: DataFrame) -> DataFrame:
 
 
 def _candidates(scheme: Scheme):
-    above, below = SIMILARITY
+    """Sizes that allow the similarity, then the pigeonring's chains, then all bits."""
+    (above, below), half = SIMILARITY, scheme.bits // scheme.segments
 
     def near(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         fp, n = _words(t.column("fp"), scheme), t.column("n").to_numpy()
         left = np.flatnonzero(below * np.minimum(n[i], n[j]) >= above * np.maximum(n[i], n[j]))
-        differ = np.zeros(len(left), np.int64)
-        for word in range(scheme.bits // 64):
-            differ = differ + np.bitwise_count(fp[i[left], word] ^ fp[j[left], word])
-            ok = differ <= CANDIDATE
-            left, differ = left[ok], differ[ok]
         out = np.zeros(len(i), bool)
-        out[left] = True
+        for at in range(0, len(left), 100_000):
+            own = left[at : at + 100_000]
+            x = (fp[i[own]] ^ fp[j[own]]).view(f"u{half // 8}")  # two segments a word: their order on the ring is the same for all
+            differ = np.bitwise_count(x).astype(np.int16)
+            ring = np.concatenate([differ, differ[:, : CHAIN - 1]], axis=1)
+            chain, holds = np.zeros_like(differ), np.ones(differ.shape, bool)
+            for l in range(CHAIN):
+                chain = chain + ring[:, l : l + scheme.segments]
+                holds &= chain <= (l + 1) * scheme.limit // scheme.segments
+            some = holds.any(axis=1)
+            out[own[some]] = differ[some].sum(axis=1) <= scheme.limit
         return out
 
     return near
@@ -235,14 +294,12 @@ def _similar(dealt: DataFrame, scheme: Scheme) -> DataFrame:
 
     def edges(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sets = [np.unique(shingle_hashes(x, scheme.shingle)) for x in t.column("text").to_pylist()]
-        # rows that repeat an id meet each other's texts: only a class's own counts
-        own = np.array([_digest(h) == d for h, d in zip(sets, t.column("digest").to_pylist(), strict=True)])
         n = np.array([len(h) for h in sets])
         values, rank = np.unique(np.concatenate(sets), return_inverse=True)
         at = np.concatenate([[0], np.cumsum(n)])
         mark, label = np.zeros(len(values), bool), np.arange(len(sets))
         for i, j in pairs(t):
-            kept = own[i] & own[j]
+            kept = label[i] != label[j]
             i, j = i[kept], j[kept]
             kept = near(t, i, j)
             i, j = i[kept], j[kept]
@@ -270,16 +327,20 @@ def _similar(dealt: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = WIDE, cap: int = CAP, text_cap: int = TEXT_CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id for every row: components of the pairs of ``SIMILARITY`` or more."""
+    """doc_id, k, component_id, kept for every row: components of the pairs of ``SIMILARITY`` or more.
+
+    ``k`` is xxhash64 of the row's text. Of a component the row of the smallest id (null last), and of its
+    texts the one of the smallest k, is kept.
+    """
     rows = materialize(shingle_sets(docs, scheme, id_col, text_col))
-    classes = materialize(rows.groupBy("digest", "n", "least", "fp").agg(F.min("doc_id").alias("node")))
-    known = classes.where("node IS NOT NULL")
-    groups = components(linked(deal(in_blocks(_by_least(known), cap)), _candidates(scheme)))
-    members = materialize(known.join(groups, "node").select(F.col("component").alias("bucket"), "node", "digest", "n", "fp"))
-    texts = text_of(docs, id_col, text_col).select(F.col("doc_id").alias("node"), "text")
-    found = components(_similar(deal(in_blocks(members, text_cap).join(texts, "node")), scheme))
-    named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "digest").select("doc_id", "component_id")
+    classes = _numbered(rows.groupBy("digest", "n", "least", "fp").agg(_first()))
+    groups = components(linked(deal(in_blocks(_by_least(classes), cap)), _candidates(scheme)))
+    members = materialize(classes.join(groups, "node").select(F.col("component").alias("bucket"), "node", "n", "fp", F.col("first.doc_id").alias("i"), F.col("first.k").alias("k")))
+    texts = text_of(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
+    brought = in_blocks(members, text_cap).join(texts, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("tk"))).drop("i", "k", "doc_id", "tk")
+    named = _named(classes, components(_similar(deal(brought), scheme)), "digest")
+    joined = rows.select("doc_id", "k", "digest").join(named, F.col("digest") == F.col("own_key"))
+    return joined.select("doc_id", "k", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("k") == F.col("chosen_k"))).alias("kept"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

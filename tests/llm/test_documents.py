@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from stridelog.llm import bpe, exact_dedup, licenses, packing, pieces, simhash, suffixes, token_counts, toxicity
+from stridelog.llm import bpe, buckets, exact_dedup, licenses, packing, pieces, simhash, suffixes, token_counts, toxicity
+from stridelog.llm.components import components
 
 random.seed(3)
 LONG = " ".join("".join(random.choice("abcdeé") for _ in range(random.randrange(1, 9))) for _ in range(9000))
@@ -139,17 +140,24 @@ def test_simhash(docs, none, spark):
     assert simhash.simhash_groups(none).count() == 0
 
 
-def test_wide_fingerprints_find_similar_texts(spark):
-    base = LONG.split()
-    made = []
-    for i in range(60):
-        own = base[i * 120 : i * 120 + 120]
-        edited = list(own)
-        edited[60] = "changed"  # 5 of 116 shingles: a similarity of 0.92
-        made += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(edited))]
-    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(made, "doc_id long, text string"), simhash.WIDE).collect()}
-    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 57
-    assert all(got[2 * i] == 2 * i for i in range(60))
+def test_simhash_in_heavy_buckets(spark):
+    """Fingerprints of one bucket, a few bits apart, keyed by more of the chain and compared in blocks."""
+    rng = random.Random(8)
+    made = set()
+    while len(made) < 400:  # clusters around a few centres
+        made.add((rng.choice([0x0123456789ABCDEF, 0x0123456789ABCD00, 0xF123456789ABCDEF]) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5)))) & 2**64 - 1)
+    made = sorted(made)
+    label = list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if label[a] != label[b] and (made[a] ^ made[b]).bit_count() <= 4:
+                x, y = label[a], label[b]
+                label = [min(x, y) if c in (x, y) else c for c in label]
+    classes = spark.createDataFrame([(i, f.to_bytes(8)) for i, f in enumerate(made)], "node long, fp binary")
+    for cap in (2, 20, 1000):
+        dealt = buckets.deal(buckets.in_blocks(simhash._by_chains(classes, simhash.NARROW, cap), 4 * cap))
+        got = {r.node: r.component for r in components(buckets.linked(dealt, simhash._near(simhash.NARROW))).collect()}
+        assert [got.get(i, i) for i in range(400)] == label
 
 
 def test_license_scan(docs, none):
