@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stridelog.llm import components, embeddings
 
@@ -44,6 +45,21 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_leaves_stay_small_and_recall_high(spark, monkeypatch):
+    """Samples far smaller than the table: leaves are split again, and the links stay."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3000, 32))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.08, base, np.tile(base[:1], (600, 1)) + rng.normal(size=(600, 32)) * 0.05])
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(embeddings, "TOGETHER", 500)
+    rows = embeddings.read_vectors(df).withColumn("node", F.col("vec_id")).withColumn("n", F.lit(1).cast("bigint"))
+    sizes = [r["count"] for r in embeddings.forest_leaves(rows, leaf=32, sample=256).groupBy("label", "leaf").count().collect()]
+    assert len(sizes) > 300 and sum(n > 2 * 32 for n in sizes) < 60  # only the group of 600 alike stays large
+    want = (u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T >= 0.98
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, leaf=32).collect()}
+    assert 0.97 * (want.sum() - len(x)) <= sum(got.values()) <= want.sum() - len(x)
+
+
 @pytest.mark.parametrize("n,m", [(60, 40), (1, 3)])
 def test_components(spark, n, m):
     rng = random.Random(n)
