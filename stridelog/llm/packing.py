@@ -58,8 +58,7 @@ class _Words:
         vocab = self.t.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        # U+0130 in lower case is a letter and a mark, which joins what follows
-        self.simple = regex.compile(r"((?:(?!İ)\p{L})+)([^\s\p{L}\p{N}<|>']*)")
+        self.simple = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}<|>']*)")
         # words cost a call of the library, parts only their joining: words get the larger memory
         self.words, self.other, self.parts = Memory(self._words), Memory(self._each, 100_000), Memory(self._parts, 200_000)
 
@@ -84,7 +83,8 @@ class _Words:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        # U+0130 in lower case is a letter and a mark, which joins what follows
+        if not text.isascii() and ("İ" in text or not unicodedata.is_normalized("NFC", text)):
             return self._each([text])[0]
         return b"".join(self.parts.of(text.replace("\n", " ").split(" ")))
 

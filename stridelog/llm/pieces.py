@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space next to other white space: there a cut at each single space would not be safe.
 _DOUBLED = re.compile(r"\s\s")
-#: What a generation of a memory holds: short entries, longer ones count for each 16 characters. Two take some 150 MB.
+#: What a generation of a memory holds: entries, and one more for each 64 characters of their keys. Two take some 150 MB.
 REMEMBERED = 400_000
 #: Longer keys (encoded data, minified code) hardly recur: they are computed each time.
 LONG = 100
@@ -54,9 +54,10 @@ class Memory:
         found = again | dict(zip(new, self.many(new), strict=True)) if new else again
         for i in at:
             out[i] = found[keys[i]]
-        kept = {k: v for k, v in found.items() if len(k) <= LONG}
-        self.young.update(kept)
-        self.held += sum(1 + len(k) // 16 for k in kept)
+        if max(map(len, found)) > LONG:
+            found = {k: v for k, v in found.items() if len(k) <= LONG}
+        self.young.update(found)
+        self.held += len(found) + sum(map(len, found)) // 64
         if self.held > self.limit:
             self.old, self.young, self.held = self.young, {}, 0
         return out

@@ -234,3 +234,24 @@ def test_toxicity(spark, docs, none):
         assert toxicity.train(texts, np.array([0, 1][: len(texts)])).logits(["one"])[0] < -10
     unseen = spark.createDataFrame([(1, "aeion grumbliest torse")], "doc_id long, text string")
     assert toxicity.score(unseen, model).first().predicted == 1
+
+
+def test_tokenizers_on_marks_and_odd_characters():
+    """Random texts with combining marks, syllables in parts, odd spaces and special strings, against the library."""
+    rng = random.Random(5)
+    some = [*"aeinczAEN", *"\u0301\u0308\u0327\u0302\u0344", *"\u00e9\ufb01\u0130\u00df\u4e2d\uac00\u1100\u1161\u11a8\u212b\u0958", *" " * 8, *"\n\t\u00a0\u2003\u0085\x1c.,'<|>12-\u200b\ufeff", "'s", "<|endoftext|>", "\U0001f469\u200d\U0001f467"]
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    own, count = packing._words("word_bpe_49k.json"), token_counts.encoder("byte_bpe_50k.json")
+    for _ in range(8000):
+        text = "".join(rng.choices(some, k=rng.randrange(60)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids, text
+        ids = byte.encode(text, add_special_tokens=False).ids
+        assert bpe.load("byte_bpe_50k.json").encode(text) == ids and token_counts.count_by_chunks(count, text, 12, 4) == len(ids), text
+
+
+def test_most_documents_go_by_chunks(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert sum(len(t) > token_counts.CHUNK_CHARS for t in texts.values()) >= 0.3 * len(texts)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
