@@ -7,6 +7,7 @@ Exit codes: 0, even when a break is found; 1 if a regex pattern is unsupported;
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +33,10 @@ def views(spark: SparkSession, activities: DataFrame) -> None:
 
 
 def _demo(spark: SparkSession) -> DataFrame:
-    from .schema import ACTIVITIES
-    from .sources import linked
+    from .sources import files
 
-    return spark.createDataFrame([tuple(r.values()) for r in linked.read("demo", DEMO).rows()], ACTIVITIES)
+    text = "\n".join(map(json.dumps, DEMO))
+    return files.read_texts(spark.createDataFrame([("demo.jsonl", text)], "path string, value string"), "linked").select("activity.*")
 
 
 def _labels(spark: SparkSession, paths: list[str], activities: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Recordings in files as one activities table, and back.
 
 A file is one row of a whole-text scan, so files are read in parallel wherever
-they are; each is parsed by itself in Python, which ordered state and arbitrary
-payloads need, and leaves as rows of the activities schema.
+they are. It is divided into records; what records refer to is settled by windows
+(``linking``), and each record leaves as rows of the activities schema.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -17,12 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hashing
-from ..schema import ACTIVITIES, COLUMNS
-from . import calls, histories, linked, recording
+from . import calls, histories, linked, linking, recording
 
 HISTORIES = ("action", "editor", "fenced", "chat")
 FORMATS = ("auto", "journal", "calls", "linked", *HISTORIES)
-_READ = f"path string, error string, activity struct<{ACTIVITIES.replace(' ', ':').replace(',:', ',')}>"
 
 
 def stem_of(path: str) -> str:
@@ -79,15 +78,42 @@ def parse_journal(path: str, text: str) -> list[dict]:
     return rows
 
 
-def parse(path: str, text: str, form: str = "auto") -> list[dict]:
-    """Rows of one file. ``auto`` knows journals and call recordings by their look and takes the rest as linked."""
-    if form == "auto":
-        form = "journal" if looks_like_journal(text) else "calls" if looks_like_calls(text) else "linked"
-    if form == "journal":
-        return parse_journal(path, text)
+def form_of(path: str, text: str) -> str:
+    """Journals and call recordings by their look, whole documents by what they hold, the rest as linked records."""
+    if looks_like_journal(text):
+        return "journal"
+    if looks_like_calls(text):
+        return "calls"
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return "linked"
+    return dialect_of(data) or "linked"
+
+
+def dialect_of(data: Any) -> str | None:
+    """The dialect of a whole document, if it is a history."""
+    if not isinstance(data, dict):
+        return None
+    row = data.get("row") if isinstance(data.get("row"), dict) else data
+    if "mistake_step" in data or "question_ID" in data:
+        return "chat"
+    if isinstance(row.get("trajectory"), list) and ("instance_id" in row or "trajectory_id" in row) and "trajectory_format" not in data and row is not data:
+        return "editor"
+    if isinstance(data.get("messages"), list):
+        return "fenced"
+    return "action" if any(isinstance(data.get(k), list) for k in ("history", "trajectory")) else None
+
+
+def split(path: str, text: str, form: str) -> tuple[str, list[Any]]:
+    """The run's name and the records of one file."""
     if form in HISTORIES:
-        return histories.read(form, stem_of(path), json.loads(text), path).rows()
-    return {"calls": calls, "linked": linked}[form].read(stem_of(path), parse_lines(path, text)).rows()
+        return histories.records_of(form, stem_of(path), json.loads(text))
+    return calls.run_id_of(stem_of(path)) if form == "calls" else stem_of(path), parse_lines(path, text)
+
+
+_SPLIT = "path string, form string, error string, run_id string, url string, pos int, record string"
+_READERS = {"calls": calls.activities, "linked": linked.activities} | {d: partial(histories.activities, dialect=d) for d in HISTORIES}
 
 
 def read_files(spark: SparkSession, paths: str | list[str], form: str = "auto", glob: str | None = None, strict: bool = True) -> DataFrame:
@@ -95,19 +121,38 @@ def read_files(spark: SparkSession, paths: str | list[str], form: str = "auto",
     if form not in FORMATS:
         raise ValueError(f"unknown format: {form}")
     files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), "value")
+    return read_texts(files, form, strict)
+
+
+def read_texts(files: DataFrame, form: str = "auto", strict: bool = True) -> DataFrame:
+    """The same for files that are rows already: path, value."""
+    names = _SPLIT.replace(" string", "").replace(" int", "").split(", ")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for path, text in zip(pdf["path"], pdf["value"], strict=True):
                 try:
-                    rows = [{"path": path, "error": None, "activity": {c: r[c] for c in COLUMNS}} for r in parse(path, text, form)]
+                    own = form_of(path, text) if form == "auto" else form
+                    if own == "journal":
+                        made = [(path, own, None, r["run_id"], "", r["pos"], json.dumps(r)) for r in parse_journal(path, text)]
+                    else:
+                        run_id, records = split(path, text, own)
+                        made = [(path, own, None, run_id, path, n, json.dumps(r)) for n, r in enumerate(records)]
                 except Exception as e:
                     if strict:
                         raise
-                    rows = [{"path": path, "error": type(e).__name__, "activity": None}]
-                yield pd.DataFrame(rows, columns=["path", "error", "activity"])
-
-    return files.mapInPandas(run, _READ)
+                    made = [(path, None, type(e).__name__, None, None, 0, None)]
+                yield pd.DataFrame(made, columns=names)
+
+    told = files.select("path", "value").mapInPandas(run, _SPLIT)
+    activity = linking.READ.split("activity ", 1)[1]
+    out = told.where("error IS NOT NULL").select("path", "error", F.lit(None).cast(activity).alias("activity"))
+    if form in ("auto", "journal"):
+        out = out.unionByName(told.where("form = 'journal'").select("path", "error", F.from_json("record", activity).alias("activity")))
+    for name, read in _READERS.items():
+        if form in ("auto", name):
+            out = out.unionByName(read(told.where(F.col("form") == name).drop("form", "error")))
+    return out
 
 
 def read_activities(spark: SparkSession, paths: str | list[str], form: str = "auto", glob: str | None = None) -> DataFrame:

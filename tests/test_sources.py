@@ -5,7 +5,7 @@ import json
 import pytest
 
 from stridelog.operators import gates, hashing, localize
-from stridelog.sources import calls, files, histories, linked
+from stridelog.sources import files, linked
 
 LINKED = [
     {"type": "user", "uuid": "a", "message": {"content": "please"}},
@@ -41,10 +41,10 @@ def test_journal_round_trip_and_tampering(spark, folder, tmp_path):
     a = files.read_activities(spark, str(folder))
     lines = [r.value for r in files.journal_lines(a).orderBy("pos").collect()]
     text = "\n".join(lines) + "\n"
-    assert files.looks_like_journal(text) and [r["kind"] for r in files.parse("j", text)] == [r.kind for r in a.orderBy("pos").collect()]
+    assert files.looks_like_journal(text) and [r["kind"] for r in files.parse_journal("j", text)] == [r.kind for r in a.orderBy("pos").collect()]
     for bad in (text.replace('"pytest -q"', '"pytest -x"'), "\n".join(lines[:1] + lines[2:]), text.replace("record_hash", "other", 1)):
         with pytest.raises(ValueError):
-            files.parse("j", bad, "journal")
+            files.parse_journal("j", bad)
     files.write_journals(a, str(tmp_path / "out"))
     again = files.read_activities(spark, str(tmp_path / "out"))
     assert again.count() == len(lines)
@@ -56,7 +56,7 @@ def test_bad_files_are_errors_or_counted(spark, folder):
     assert [(r.error, r.files) for r in files.read_errors(out).collect()] == [("ValueError", 1)]
     assert {r.path.rsplit("/", 1)[-1]: r.records for r in files.count_records(spark, str(folder)).collect()} == {"run1.jsonl": 7, "bad.jsonl": 2}
     with pytest.raises(ValueError, match="bad.jsonl:2"):
-        files.parse("bad.jsonl", "{}\n{oops\n", "linked")
+        files.split("bad.jsonl", "{}\n{oops\n", "linked")
 
 
 def test_multi_edit_and_readers():
@@ -65,7 +65,12 @@ def test_multi_edit_and_readers():
     assert linked.tool_inputs("Write", {"content": "q"}) == {"file_path": None, "old_string": "", "new_string": "q", "write_mode": True}
 
 
-def test_calls():
+def read(spark, form, text, stem="s"):
+    rows = files.read_texts(spark.createDataFrame([(f"x/{stem}.json", text)], "path string, value string"), form).select("activity.*").orderBy("pos").collect()
+    return [r.asDict() | {"inputs": json.loads(r.inputs_json), "outputs": json.loads(r.outputs_json)} for r in rows]
+
+
+def test_calls(spark):
     patch = "*** Begin\n*** Update File: b.py\n*** Add File: a.py\n"
     records = [
         {"type": "session_meta", "payload": {"type": "meta"}},
@@ -77,44 +82,56 @@ def test_calls():
         {"type": "event_msg", "payload": {"type": "task_complete"}},
         7,
     ]
-    run = calls.read("s", records)
-    assert [s["kind"] for s in run.steps] == ["unmapped", "user_msg", "test_run", "file_edit", "unmapped", "verdict", "unmapped"]
-    assert [s["parent"] for s in run.steps] == [None, 0, 1, 2, 2, 4, None]
-    assert run.steps[2]["outputs"]["exit_code"] == 1 and run.steps[2]["outputs"]["result_text"] == "2 passed"
-    assert run.steps[3]["inputs"]["patch_targets"] == ["a.py", "b.py"] and run.steps[3]["target"] is None
-    assert run.steps[4]["inputs"]["reason"] == "unlinked_function_call_output" and len(run.run_id) == 22
+    steps = read(spark, "calls", "\n".join(map(json.dumps, records)))
+    assert [s["kind"] for s in steps] == ["unmapped", "user_msg", "test_run", "file_edit", "unmapped", "verdict", "unmapped"]
+    assert [s["parent_step"] for s in steps] == [None, 0, 1, 2, 2, 4, None]
+    assert steps[2]["outputs"]["exit_code"] == 1 and steps[2]["outputs"]["result_text"] == "2 passed"
+    assert steps[3]["inputs"]["patch_targets"] == ["a.py", "b.py"] and steps[3]["target"] is None
+    assert steps[4]["inputs"]["reason"] == "unlinked_function_call_output" and len(steps[0]["run_id"]) == 22
 
 
 def call(name, ident="i", **args):
     return {"role": "assistant", "tool_calls": [{"id": ident, "function": {"name": name, "arguments": json.dumps(args)}}]}
 
 
-def test_action_history():
-    run = histories.read("action", "r", {"history": [
+def test_action_history(spark):
+    steps = read(spark, "action", json.dumps({"history": [
         {"role": "system", "content": "s"}, {"role": "user", "content": "task"}, {"role": "assistant", "action": "create new.py", "content": ""}, {"role": "user", "content": "[File: new.py (1 lines total)]"},
         {"role": "assistant", "action": "edit 1:1\nprint(1)\nend_of_edit"}, {"role": "user", "content": "ok (Open file: new.py)"}, call("edit", search="print(1)", replace="print(2)"), {"role": "tool", "tool_call_ids": ["i"], "content": "done"},
         {"role": "assistant", "action": "python new.py"}, {"role": "alien"}, "text",
-    ]})
-    assert [s["kind"] for s in run.steps] == ["user_msg", "user_msg", "tool_call", "verdict", "file_edit", "verdict", "file_edit", "verdict", "test_run", "unmapped", "unmapped"]
-    assert run.steps[4]["tool"] == "Write" and run.steps[6]["inputs"]["file_path"] == "new.py" and run.steps[6]["outputs"]["result_text"] == "done"
-    assert [s["parent"] for s in run.steps][:8] == [None, None, None, 2, 2, 4, 4, 6]
+    ]}))
+    assert [s["kind"] for s in steps] == ["user_msg", "user_msg", "tool_call", "verdict", "file_edit", "verdict", "file_edit", "verdict", "test_run", "unmapped", "unmapped"]
+    assert steps[4]["tool_name"] == "Write" and steps[6]["inputs"]["file_path"] == "new.py" and steps[6]["outputs"]["result_text"] == "done"
+    assert [s["parent_step"] for s in steps][:8] == [None, None, None, 2, 2, 4, 4, 6]
 
 
-def test_editor_and_fenced_histories():
-    run = histories.read("editor", "f", {"row": {"instance_id": "i", "trajectory_id": "t", "trajectory": [
+def test_editor_and_fenced_histories(spark):
+    steps = read(spark, "editor", json.dumps({"row": {"instance_id": "i", "trajectory_id": "t", "trajectory": [
         {"role": "user", "content": "x"}, call("str_replace_editor", "1", command="view", path="a.py"), {"role": "tool", "tool_call_id": "1", "name": "str_replace_editor", "content": "body"},
         call("str_replace_editor", "2", command="str_replace", path="a.py", old_str="b", new_str=""), call("execute_bash", "3", command="pytest"), call("think", "4"), call("finish", "5"), call("what", "6"),
-    ]}})
-    assert run.run_id == "i::t" and [s["kind"] for s in run.steps] == ["user_msg", "tool_call", "verdict", "file_edit", "test_run", "llm_call", "tool_call", "unmapped"]
-    assert histories.read("editor", "f", {}).steps[0]["inputs"]["reason"] == "openhands_missing_trajectory"
-    fenced = histories.read("fenced", "f", {"instance_id": "m", "messages": [
+    ]}}))
+    assert steps[0]["run_id"] == "i::t" and [s["kind"] for s in steps] == ["user_msg", "tool_call", "verdict", "file_edit", "test_run", "llm_call", "tool_call", "unmapped"]
+    assert read(spark, "editor", "{}")[0]["inputs"]["reason"] == "openhands_missing_trajectory"
+    fenced = read(spark, "fenced", json.dumps({"instance_id": "m", "messages": [
         {"role": "user", "content": "go"}, {"role": "assistant", "content": "```bash\nsed -i 's/a/b/' f.py\n```"}, {"role": "user", "content": "<returncode>0</returncode><output>\nfine\n</output>"},
         {"role": "assistant", "content": "```\npython t.py\n```"}, {"role": "user", "content": "<returncode>1</returncode>"}, {"role": "assistant", "content": "```\ncat > n.py <<EOF\nEOF\n```"}, {"role": "exit", "content": "end"},
-    ]})
-    assert [s["kind"] for s in fenced.steps] == ["user_msg", "file_edit", "verdict", "test_run", "verdict", "file_edit", "verdict"]
-    assert [s["parent"] for s in fenced.steps] == [None, None, 1, None, 3, None, 5] and fenced.steps[3]["outputs"]["exit_code"] == 1 and fenced.steps[1]["outputs"]["result_text"] == "fine"
-
-
-def test_chat():
-    run = histories.read("chat", "c", {"history": [{"role": "human", "content": "q"}, {"role": "assistant", "name": "Planner", "content": "p"}, {"role": "Computer_terminal", "content": "o"}, {"role": "Expert (thought)", "content": "e"}, {"role": "assistant", "content": "?"}]})
-    assert [s["kind"] for s in run.steps] == ["user_msg", "llm_call", "unmapped", "llm_call", "unmapped"] and run.steps[3]["parent"] == 2
+    ]}))
+    assert [s["kind"] for s in fenced] == ["user_msg", "file_edit", "verdict", "test_run", "verdict", "file_edit", "verdict"]
+    assert [s["parent_step"] for s in fenced] == [None, None, 1, None, 3, None, 5] and fenced[3]["outputs"]["exit_code"] == 1 and fenced[1]["outputs"]["result_text"] == "fine"
+
+
+def test_chat(spark):
+    steps = read(spark, "chat", json.dumps({"history": [{"role": "human", "content": "q"}, {"role": "assistant", "name": "Planner", "content": "p"}, {"role": "Computer_terminal", "content": "o"}, {"role": "Expert (thought)", "content": "e"}, {"role": "assistant", "content": "?"}]}))
+    assert [s["kind"] for s in steps] == ["user_msg", "llm_call", "unmapped", "llm_call", "unmapped"] and steps[3]["parent_step"] == 2
+
+
+def test_auto_knows_each_form(spark, tmp_path):
+    made = {
+        "a.jsonl": "\n".join(map(json.dumps, LINKED)), "b.jsonl": json.dumps({"type": "event_msg", "payload": {"type": "user_message", "message": "x"}}),
+        "c.json": json.dumps({"history": [{"role": "user", "content": "t"}]}), "d.json": json.dumps({"row": {"instance_id": "i", "trajectory": [{"role": "user"}]}}),
+        "e.json": json.dumps({"trajectory_format": "1", "messages": [{"role": "user"}]}), "f.json": json.dumps({"question_ID": "q", "history": [{"role": "human", "content": "x"}]}),
+    }
+    for name, text in made.items():
+        (tmp_path / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[-1]: r.source for r in files.read_files(spark, str(tmp_path)).select("path", "activity.source").distinct().collect()}
+    assert got == {"a.jsonl": "linked", "b.jsonl": "calls", "c.json": "action", "d.json": "editor", "e.json": "fenced", "f.json": "chat"}
