@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import gates, graph, hashing, inject, labels, localize, regexdiff, reports
-from . import journal
+from . import journal, readings
 from . import oracle as o
 
 ACTIONS = "('tool_call','file_edit','test_run','opaque_shell','unmapped')"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = dict(readings.QUERIES)
+SQL: dict[str, str] = dict(readings.SQL)
 
 
 def query(sql: str | None = None, source=journal.events_journal):

@@ -1,0 +1,166 @@
+"""Readers over recordings made up from the driver's tables, and what SQL says they must find.
+
+The tables hold no recordings, so each user's events become one file's text in a
+reader's format (a line or a record an event) and the reader does the rest. The SQL
+never sees that text: it says from the events what the activities are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import files
+
+#: A user's events in order, each with the number in its properties.
+_ORDERED = "SELECT user_id, event_id, event_type AS t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}"
+
+#: Format -> event type -> its record's text. {k}, {k2}, {k3}, {k4}, {k5}: the number, and modulo these; | divides the even from the odd.
+RECORDS = {
+    "calls": {
+        "signup": '{"type":"event_msg","timestamp":"{id}","payload":{"type":"user_message","message":"m{k}","turn_id":"t{k3}"}}',
+        "view": '{"type":"response_item","payload":{"type":"message","role":"assistant","content":[{"type":"output_text","text":"m{k}"}]}}',
+        "click": r'{"type":"response_item","payload":{"type":"function_call","name":"exec_command","call_id":"c{k4}","turn_id":"t{k3}","arguments":"{\"cmd\":\"pytest\"}"}}|{"type":"response_item","payload":{"type":"function_call","name":"exec_command","call_id":"c{k4}","turn_id":"t{k3}","arguments":"{\"cmd\":\"ls\"}"}}',
+        "purchase": r'{"type":"response_item","payload":{"type":"function_call_output","call_id":"c{k4}","output":"Exit code: {k3}\n{k} passed"}}',
+        "error": '{"type":"event_msg","payload":{"type":"task_complete"}}|{"type":"response_item","payload":{"type":"custom_tool_call","name":"apply_patch","call_id":"c{k4}","input":"*** Update File: f{k5}.py"}}',
+    },
+    "linked": {
+        "signup": '{"type":"user","uuid":"u{pos}","parentUuid":"u{before}","message":{"content":"m{k}"}}',
+        "view": '{"type":"assistant","uuid":"u{pos}","parentUuid":"u{before}","timestamp":"{id}","message":{"content":[{"type":"text","text":"m{k}"},{"type":"tool_use","id":"c{k4}","name":"Read","input":{"file_path":"f{k5}.py"}}]}}',
+        "click": '{"type":"assistant","uuid":"u{pos}","parentUuid":"none","message":{"content":[{"type":"tool_use","id":"c{k4}","name":"Bash","input":{"command":"pytest"}}]}}|{"type":"assistant","uuid":"u{pos}","parentUuid":"u{before}","message":{"content":[{"type":"tool_use","id":"c{k4}","name":"Edit","input":{"file_path":"f{k5}.py","old_string":"a","new_string":"b"}}]}}',
+        "purchase": '{"type":"user","uuid":"u{pos}","parentUuid":"u{before}","toolUseResult":{"stdout":"{k} passed","exitCode":{k3}},"message":{"content":[{"type":"tool_result","tool_use_id":"c{k4}","content":"done"}]}}',
+        "error": '{"type":"summary","uuid":"u{pos}"}',
+    },
+    "action": {
+        "signup": '{"role":"user","content":"m{k}"}',
+        "view": '{"role":"assistant","action":"open f{k5}.py"}',
+        "click": '{"role":"assistant","tool_calls":[{"id":"c{k4}","function":{"name":"edit","arguments":{"search":"a","replace":"b"}}}]}',
+        "purchase": '{"role":"tool","tool_call_ids":["c{k4}"],"content":"done {k}"}',
+        "error": '{"role":"assistant","action":"pytest"}|{"role":"assistant","content":"words"}',
+    },
+    "editor": {
+        "signup": '{"role":"user","content":"m{k}"}',
+        "view": '{"role":"assistant","tool_calls":[{"id":"c{k4}","function":{"name":"str_replace_editor","arguments":{"command":"view","path":"f{k5}.py"}}}]}',
+        "click": '{"role":"assistant","tool_calls":[{"id":"c{k4}","function":{"name":"str_replace_editor","arguments":{"command":"create","path":"f{k5}.py","file_text":"x"}}}]}|{"role":"assistant","tool_calls":[{"id":"c{k4}","function":{"name":"str_replace_editor","arguments":{"command":"str_replace","old_str":"a","new_str":""}}}]}',
+        "purchase": '{"role":"tool","tool_call_id":"c{k4}","content":"done {k}"}',
+        "error": '{"role":"assistant","tool_calls":[{"id":"e","function":{"name":"execute_bash","arguments":{"command":"pytest"}}}]}|{"role":"assistant","tool_calls":[{"id":"e","function":{"name":"think","arguments":{}}}]}',
+    },
+    "fenced": {
+        "signup": r'{"role":"user","content":"<returncode>{k3}</returncode><output>\nm{k}\n</output>"}',
+        "view": r'{"role":"assistant","content":"```bash\ncat f{k5}.py\n```"}',
+        "click": r"""{"role":"assistant","content":"```\nsed -i 's/a/b/' f{k5}.py\n```"}""",
+        "purchase": r'{"role":"assistant","content":"```sh\npython t.py\n```"}',
+        "error": '{"role":"exit","content":"end"}|{"role":"assistant","content":"words"}',
+    },
+}
+_WHOLE = {"action": ('{"history":[', "]}"), "editor": ('{"row":{"instance_id":"{user}","trajectory":[', "]}}"), "fenced": ('{"messages":[', "]}")}
+COLUMNS = ("run_id", "step_index", "kind", "tool_name", "target", "parent_step", "exit_code", "test_text")
+
+
+def _record(form: str) -> Column:
+    """An event's record, its numbers put in."""
+    said = F.lit(None).cast("string")
+    for t, texts in RECORDS[form].items():
+        even, _, odd = texts.partition("|")
+        said = F.when((F.col("t") == t) & (F.lit(not odd) | (F.col("k") % 2 == 0)), even).when(F.col("t") == t, odd or even).otherwise(said)
+    put = {"{id}": "event_id", "{pos}": "pos", "{before}": "before", "{k}": "k"}
+    for name, c in put.items():
+        said = F.replace(said, F.lit(name), F.col(c).cast("string"))
+    for n in (3, 4, 5):
+        said = F.replace(said, F.lit(f"{{k{n}}}"), (F.col("k") % n).cast("string"))
+    return said
+
+
+def recordings(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """path, value: a file's text for each user."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("stridelog_events")
+    rows = spark.sql(_ORDERED.replace("{events}", "stridelog_events")).withColumn("before", F.col("pos") - 1).select("user_id", "pos", _record(form).alias("r"))
+    head, tail = _WHOLE.get(form, ("", ""))
+    user = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]), "," if head else "\n")
+    texts = rows.groupBy("user_id").agg(lines.alias("lines"))
+    return texts.select(F.concat(F.lit("events/"), user, F.lit(".json")).alias("path"), F.concat(F.replace(F.lit(head), F.lit("{user}"), user), "lines", F.lit(tail)).alias("value"))
+
+
+def read(form: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return files.read_texts(recordings(spark, sf_dir, form), form).select(*[f"activity.{c}" for c in COLUMNS])
+
+    return query
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chat histories; texts come back as lengths and hashes."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    history = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    texts = rows.groupBy("conv_id").agg(F.to_json(F.struct(history.alias("history"))).alias("value")).select(F.concat(F.lit("x/conv-"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), "value")
+    made = files.read_texts(texts, "chat").select("activity.*")
+    said = F.when(F.col("kind") == "llm_call", F.col("outputs_json")).otherwise(F.col("inputs_json"))
+    return made.select("run_id", "step_index", "kind", "parent_step", F.get_json_object(said, "$.content_length").cast("bigint").alias("content_length"), F.get_json_object(said, "$.content_hash").alias("content_hash"))
+
+
+_E = "e AS (" + _ORDERED.replace("{events}", "events") + ")"
+_IN, _BEFORE = "OVER (PARTITION BY user_id ORDER BY pos)", "OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_CALL = "OVER (PARTITION BY user_id, k % 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+CALLS_SQL = f"""WITH {_E}, o AS (SELECT *, t = 'click' OR (t = 'error' AND k % 2 = 1) AS opens, t IN ('signup', 'click') AS turned FROM e),
+m AS (SELECT *, NOT (t = 'purchase' AND coalesce(bool_or(opens) {_CALL}, false)) AS made FROM o),
+s AS (SELECT *, CAST(count(*) FILTER (made) {_IN} - 1 AS INT) AS step FROM m),
+c AS (SELECT *, last_value(CASE WHEN opens THEN step END IGNORE NULLS) {_CALL} AS call FROM s), d AS (SELECT *, CASE WHEN made THEN step ELSE call END AS touched FROM c),
+p AS (SELECT *, CASE WHEN turned THEN lag(touched) OVER (PARTITION BY user_id, turned, k % 3 ORDER BY pos) END AS by_turn, lag(touched) {_IN} AS last FROM d),
+a AS (SELECT user_id, call AS step, max_by(k % 3, pos) AS code, max_by(k, pos) AS n FROM d WHERE NOT made GROUP BY user_id, call)
+SELECT 'codex-' || substr(sha256('user-' || p.user_id), 1, 16) AS run_id, p.step AS step_index,
+ CASE t WHEN 'signup' THEN 'user_msg' WHEN 'view' THEN 'llm_call' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'test_run' ELSE 'opaque_shell' END WHEN 'purchase' THEN 'unmapped' ELSE CASE WHEN k % 2 = 0 THEN 'verdict' ELSE 'file_edit' END END AS kind,
+ CASE t WHEN 'click' THEN 'PowerShell' WHEN 'purchase' THEN 'codex_unmapped' WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 'task_complete' ELSE 'apply_patch' END END AS tool_name,
+ CASE WHEN t = 'click' THEN 'shell' WHEN t = 'error' AND k % 2 = 1 THEN 'f' || k % 5 || '.py' END AS target, coalesce(by_turn, last) AS parent_step, a.code AS exit_code,
+ CASE WHEN t = 'click' AND k % 2 = 0 AND n IS NOT NULL THEN n || ' passed' ELSE '' END AS test_text FROM p LEFT JOIN a ON a.user_id = p.user_id AND a.step = p.step WHERE made"""
+
+LINKED_SQL = f"""WITH {_E}, n AS (SELECT *, CASE t WHEN 'view' THEN 2 WHEN 'purchase' THEN 0 ELSE 1 END AS made, t IN ('view', 'click') AS opens FROM e),
+s AS (SELECT *, CAST(sum(made) {_IN} - made AS INT) AS first FROM n),
+c AS (SELECT *, last_value(CASE WHEN opens THEN first + made - 1 END IGNORE NULLS) {_CALL} AS call FROM s), u AS (SELECT *, CASE WHEN made > 0 THEN first ELSE call END AS own FROM c),
+p AS (SELECT *, CASE WHEN t = 'error' OR (t = 'click' AND k % 2 = 0) THEN NULL ELSE lag(own) {_IN} END AS parent FROM u),
+a AS (SELECT user_id, call AS step, max_by(k % 3, pos) AS code, max_by(k, pos) AS n FROM u WHERE t = 'purchase' AND call IS NOT NULL GROUP BY user_id, call),
+r AS (SELECT user_id, first AS step, CASE t WHEN 'signup' THEN 'user_msg' WHEN 'view' THEN 'llm_call' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'test_run' ELSE 'file_edit' END ELSE 'opaque_shell' END AS kind, CASE WHEN t = 'click' THEN CASE WHEN k % 2 = 0 THEN 'Bash' ELSE 'Edit' END END AS tool_name,
+  CASE WHEN t = 'click' THEN CASE WHEN k % 2 = 0 THEN 'shell' ELSE 'f' || k % 5 || '.py' END END AS target, parent FROM p WHERE made > 0
+ UNION ALL SELECT user_id, first + 1, 'tool_call', 'Read', 'f' || k % 5 || '.py', parent FROM p WHERE made = 2)
+SELECT 'user-' || r.user_id AS run_id, r.step AS step_index, kind, tool_name, target, parent AS parent_step, CASE WHEN kind = 'test_run' THEN code END AS exit_code, CASE WHEN kind = 'test_run' AND n IS NOT NULL THEN 'done' || chr(10) || n || ' passed' ELSE '' END AS test_text FROM r LEFT JOIN a ON a.user_id = r.user_id AND a.step = r.step"""
+
+
+def _history_sql(acts: str, sees: str, kind: str, tool: str, target: str, said: str, ids: str | None, ends: bool = False, code: str = "CAST(NULL AS INT)", name: str = "'user-' || user_id", more: str = "") -> str:
+    """``sees`` may refer to pending; ``ids``: rows whose call id later answers may name."""
+    ended = "max(CASE WHEN {x} THEN pos END) " + _BEFORE
+    waits = f"max(CASE WHEN {acts} THEN pos END) {_BEFORE}"
+    pending = f"CASE WHEN {ended.format(x=sees.replace('pending IS NOT NULL', 'true'))} > {waits} THEN NULL ELSE {waits} END" if ends else waits
+    to = f"coalesce(max(CASE WHEN {ids} THEN pos END) {_CALL}, pending)" if ids else "pending"
+    by = f"CASE WHEN t = 'purchase' THEN {to} ELSE pending END" if ids else "pending"
+    return f"""WITH {_E}, w AS (SELECT *, CAST({pending} AS INT) AS pending{more} FROM e), z AS (SELECT *, coalesce({sees}, false) AS seen FROM w), y AS (SELECT *, CAST(CASE WHEN seen THEN {by} END AS INT) AS called FROM z),
+a AS (SELECT user_id, called AS pos, max_by({said}, pos) AS said, max_by({code}, pos) FILTER (({code}) IS NOT NULL) AS code FROM y WHERE called IS NOT NULL GROUP BY user_id, called)
+SELECT {name.replace("user_id", "y.user_id")} AS run_id, y.pos AS step_index, {kind} AS kind, {tool} AS tool_name, {target} AS target, CASE WHEN seen THEN coalesce(called, pending) ELSE pending END AS parent_step,
+ coalesce(a.code, CASE WHEN seen THEN {code} END) AS exit_code, coalesce(a.said, CASE WHEN seen THEN {said} END, '') AS test_text FROM y LEFT JOIN a ON a.user_id = y.user_id AND a.pos = y.pos"""
+
+
+_FILE = "'f' || k % 5 || '.py'"
+ACTION_SQL = _history_sql(
+    acts="t IN ('view', 'click') OR (t = 'error' AND k % 2 = 0)", sees="t = 'purchase' OR (t = 'signup' AND pending IS NOT NULL)", ids="t = 'click'", said="CASE WHEN t = 'purchase' THEN 'done ' || k ELSE 'm' || k END",
+    more=f", last_value(CASE WHEN t = 'view' THEN {_FILE} END IGNORE NULLS) {_BEFORE} AS open",
+    kind="CASE WHEN seen THEN 'verdict' WHEN t = 'signup' THEN 'user_msg' WHEN t = 'view' THEN 'tool_call' WHEN t = 'click' THEN CASE WHEN open IS NULL THEN 'unmapped' ELSE 'file_edit' END WHEN k % 2 = 0 THEN 'test_run' ELSE 'llm_call' END",
+    tool="CASE WHEN seen THEN 'swe_agent_observation' WHEN t = 'view' THEN 'open' WHEN t = 'click' THEN CASE WHEN open IS NULL THEN 'foreign_unmapped' ELSE 'Edit' END WHEN t = 'error' AND k % 2 = 0 THEN 'Bash' END",
+    target=f"CASE WHEN t = 'view' THEN {_FILE} WHEN t = 'click' THEN open WHEN t = 'error' AND k % 2 = 0 THEN 'shell' END",
+)
+EDITOR_SQL = _history_sql(
+    acts="t IN ('view', 'click') OR (t = 'error' AND k % 2 = 0)", sees="t = 'purchase'", ids="t IN ('view', 'click')", said="'done ' || k",
+    kind="CASE t WHEN 'signup' THEN 'user_msg' WHEN 'view' THEN 'tool_call' WHEN 'purchase' THEN 'verdict' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'file_edit' ELSE 'unmapped' END ELSE CASE WHEN k % 2 = 0 THEN 'test_run' ELSE 'llm_call' END END",
+    tool="CASE t WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'openhands_observation' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'Write' ELSE 'foreign_unmapped' END WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 'Bash' ELSE 'think' END END",
+    target=f"CASE WHEN t = 'view' OR (t = 'click' AND k % 2 = 0) THEN {_FILE} WHEN t = 'error' AND k % 2 = 0 THEN 'shell' END",
+)
+FENCED_SQL = _history_sql(
+    acts="t IN ('view', 'click', 'purchase')", sees="(t = 'signup' AND pending IS NOT NULL) OR (t = 'error' AND k % 2 = 0)", ids=None, ends=True, said="CASE WHEN t = 'signup' THEN 'm' || k ELSE 'end' END", code="CASE WHEN t = 'signup' THEN k % 3 END",
+    kind="CASE WHEN seen THEN 'verdict' WHEN t = 'signup' THEN 'user_msg' WHEN t = 'view' THEN 'opaque_shell' WHEN t = 'click' THEN 'file_edit' WHEN t = 'purchase' THEN 'test_run' ELSE 'llm_call' END",
+    tool="CASE WHEN seen THEN CASE WHEN t = 'error' THEN 'mini_swe_agent_exit' ELSE 'mini_swe_agent_observation' END WHEN t IN ('view', 'purchase') THEN 'Bash' WHEN t = 'click' THEN 'Edit' END",
+    target=f"CASE WHEN t IN ('view', 'purchase') THEN 'shell' WHEN t = 'click' THEN {_FILE} END",
+)
+CHAT_SQL = """SELECT 'conv-' || conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step_index, CASE WHEN role = 'user' THEN 'user_msg' WHEN role = 'assistant' THEN 'unmapped' ELSE 'llm_call' END AS kind,
+ CAST(CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2 END AS INT) AS parent_step, coalesce(length(text), 0) AS content_length, coalesce(sha256(text), '') AS content_hash FROM conversations"""
+
+QUERIES = {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat}
+SQL = {"read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL}
