@@ -10,18 +10,22 @@ from ..functions.shell import with_targets
 _NONE = "array<string>"
 
 
-def file_refs(activities: DataFrame, shell: bool = True) -> DataFrame:
-    """run_id, step_index, file, produces: files that a step touches and whether it may change them."""
+def with_refs(activities: DataFrame) -> DataFrame:
+    """Adds refs: the files that each step touches, whether it may change them (produces), and what of that stands without shell targets (base, base_produces)."""
     rows = activities if "shell" in activities.columns else with_targets(activities)
     kind = F.col("kind")
-    own = F.array_compact(F.array(F.when((F.col("target") != "") & (F.col("target") != "shell"), F.col("target")), F.when(F.col("file_path") != "", F.col("file_path"))))
     none = F.array().cast(_NONE)
     is_shell = kind.isin("opaque_shell", "test_run")
-    reads, writes = (F.coalesce(F.when(is_shell, F.col(f"shell.{c}")), none) if shell else none for c in ("reads", "writes"))
-    counts = (kind != "unmapped") & (F.lit(shell) | (kind != "opaque_shell"))
-    refs = F.when(counts, F.array_union(own, F.array_union(reads, writes))).otherwise(none)
-    produced = F.when(kind == "file_edit", refs).when(is_shell, writes).otherwise(none)
-    return rows.select("run_id", "step_index", F.explode(refs).alias("file"), produced.alias("p")).select("run_id", "step_index", "file", F.array_contains("p", F.col("file")).alias("produces"))
+    own = F.when(kind != "unmapped", F.array_compact(F.array(F.when((F.col("target") != "") & (F.col("target") != "shell"), F.col("target")), F.when(F.col("file_path") != "", F.col("file_path"))))).otherwise(none)
+    reads, writes = (F.coalesce(F.when(is_shell, F.col(f"shell.{c}")), none) for c in ("reads", "writes"))
+    edit, has = kind == "file_edit", F.array_contains
+    ref = lambda f: F.struct(f.alias("file"), (edit | has(writes, f)).alias("produces"), ((kind != "opaque_shell") & has(own, f)).alias("base"), edit.alias("base_produces"))
+    return rows.withColumn("refs", F.transform(F.array_union(own, F.array_union(reads, writes)), ref))
+
+
+def file_refs(activities: DataFrame) -> DataFrame:
+    """run_id, step_index, and the fields of each of its refs."""
+    return with_refs(activities).select("run_id", "step_index", F.inline("refs"))
 
 
 def parent_edges(activities: DataFrame) -> DataFrame:
@@ -30,20 +34,18 @@ def parent_edges(activities: DataFrame) -> DataFrame:
     return activities.where("parent_step IS NOT NULL").select("run_id", F.col("parent_step").alias("src"), F.col("step_index").alias("dst")).join(steps, ["run_id", "src"], "left_semi")
 
 
-def file_edges(refs: DataFrame) -> DataFrame:
-    """run_id, src, dst: every earlier producer of a file, not only the latest, to each later step that touches it."""
-    p = refs.where("produces").select("run_id", "file", F.col("step_index").alias("src"))
-    c = refs.select("run_id", "file", F.col("step_index").alias("dst"))
-    return p.join(c, ["run_id", "file"]).where("src < dst").select("run_id", "src", "dst").distinct()
-
-
 def edges(activities: DataFrame) -> DataFrame:
-    """run_id, src, dst, base: the full graph; ``base`` marks edges that stand without shell targets."""
+    """run_id, src, dst, base: the full graph; ``base`` marks edges that stand without shell targets.
+
+    Every earlier producer of a file, not only the latest, has an edge to each later step that touches it:
+    as many edges as the result names. Localization does without them, from the references themselves.
+    """
     rows = activities if "shell" in activities.columns else with_targets(activities)
-    # one pass over references: those that count without shell targets are known from the step
-    full = file_edges(file_refs(rows, shell=True)).withColumn("base", F.lit(False))
-    base = file_edges(file_refs(rows, shell=False)).unionByName(parent_edges(rows)).withColumn("base", F.lit(True))
-    return full.unionByName(base).groupBy("run_id", "src", "dst").agg(F.max("base").alias("base"))
+    refs = file_refs(rows)
+    p = refs.where("produces").select("run_id", "file", F.col("step_index").alias("src"), "base_produces")
+    c = refs.select("run_id", "file", F.col("step_index").alias("dst"), F.col("base").alias("base_ref"))
+    linked = p.join(c, ["run_id", "file"]).where("src < dst").select("run_id", "src", "dst", (F.col("base_produces") & F.col("base_ref")).alias("base"))
+    return linked.unionByName(parent_edges(rows).withColumn("base", F.lit(True))).groupBy("run_id", "src", "dst").agg(F.max("base").alias("base"))
 
 
 def shell_coverage(activities: DataFrame) -> DataFrame:

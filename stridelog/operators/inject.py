@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from . import gates, hashing
 from .localize import localize
 
@@ -123,11 +124,12 @@ def accuracy(predicted: DataFrame) -> DataFrame:
 
 def run_injection(activities: DataFrame, per_class: int = 1000, max_per_run: int = 3, seed: int = SEED) -> dict[str, DataFrame]:
     """Clean runs only: cases, outcomes, confusion, predictions, accuracy."""
-    results = gates.gate_results(activities)
+    # each of these is read several times below
+    results = materialize(gates.gate_results(activities))
     clean = hashing.with_content_hash(activities.join(gates.dirty_runs(results), "run_id", "left_anti"))
-    cases = sample(eligible(clean, results), per_class, max_per_run, seed)
-    changed = mutate(clean, cases)
-    again = gates.gate_results(changed)
+    cases = materialize(sample(eligible(clean, results), per_class, max_per_run, seed))
+    changed = materialize(mutate(clean, cases))
+    again = materialize(gates.gate_results(changed))
     found = outcomes(cases, again)
     targets = found.where("expected IS NOT NULL").select("case_id", F.col("step_index").alias("expected_step"), F.col("expected").alias("expected_gate"))
     predicted = predictions(localize(changed, again), targets)

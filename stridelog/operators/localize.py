@@ -1,13 +1,16 @@
 """The earliest visible breaking step of each run, its cascade, and how sure it is.
 
-Only runs with a failure (few, by experience) bring their steps and edges together;
-a run is one recording and fits in memory. Failing steps are taken in ascending
-order and each claims what it reaches and nobody claimed before: one visit per
-node, and backward or cyclic links do no harm.
+Only runs with a failure (few, by experience) bring their steps together; a run is
+one recording and fits in memory. Steps carry the files that they touch, and edges
+are followed from these, never written: what a file's producer reaches is the rest
+of the file's users, which no later walk needs to see again. Failing steps are taken
+in ascending order and each claims what it reaches and nobody claimed before: one
+visit per node, and backward or cyclic links do no harm.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,32 +18,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shell import with_targets
+from ..scratch import materialize
 from . import gates, graph
 
 LOCALIZATIONS = "run_id string, breaking_step int, breaking_gate string, cascade array<int>, confidence string, coverage string, candidates array<int>"
 
 
-def claims(failing: list[int], children: dict[int, list[int]]) -> dict[int, int]:
+class Links:
+    """The causality graph of one run, from its steps: parents and files. Steps that a walk came to through a file once are not named to it again."""
+
+    def __init__(self, steps: list):
+        self.kids: dict[int, list[int]] = {}
+        self.users: dict[str, list[int]] = {}
+        self.made: dict[int, set[str]] = {}
+        self.base_made: set[tuple[int, str]] = set()
+        self.base_refs: dict[int, set[str]] = {}
+        self.parent = {s["step_index"]: s["parent_step"] for s in steps}
+        for s in sorted(steps, key=lambda s: s["step_index"]):
+            own = s["step_index"]
+            if s["parent_step"] in self.parent:
+                self.kids.setdefault(s["parent_step"], []).append(own)
+            for r in s["refs"]:
+                if (users := self.users.setdefault(r["file"], []))[-1:] != [own]:
+                    users.append(own)
+                if r["produces"]:
+                    self.made.setdefault(own, set()).add(r["file"])
+                if r["base_produces"]:
+                    self.base_made.add((own, r["file"]))
+                if r["base"]:
+                    self.base_refs.setdefault(own, set()).add(r["file"])
+
+    def after(self, step: int, seen: dict[str, int]) -> list[int]:
+        """Steps that ``step`` leads to, ascending; ``seen``: where a walk's view of each file's users begins already."""
+        out = set(self.kids.get(step, ()))
+        for f in self.made.get(step, ()):
+            users = self.users[f]
+            first, upto = bisect_right(users, step), seen.get(f, len(users))
+            if first < upto:
+                out.update(users[first:upto])
+                seen[f] = first
+        return sorted(out)
+
+    def stands(self, src: int, dst: int) -> bool:
+        """Without shell targets."""
+        return self.parent[dst] == src or src < dst and any((src, f) in self.base_made for f in self.base_refs.get(dst, ()))
+
+
+def claims(failing: list[int], links: Links) -> dict[int, int]:
     """failing step -> smallest failing step upstream of it, itself included."""
     owner: dict[int, int] = {}
+    seen: dict[str, int] = {}
     for first in sorted(failing):
         stack = [first]
         while stack:
             step = stack.pop()
             if step not in owner:
                 owner[step] = first
-                stack += children.get(step, ())
+                stack += links.after(step, seen)
     return {f: owner[f] for f in failing}
 
 
-def paths(start: int, children: dict[int, list[int]]) -> dict[int, int]:
+def paths(start: int, links: Links) -> dict[int, int]:
     """node -> its predecessor on the shortest path from start, the smallest path among equals."""
     before = {start: start}
-    queue = deque([start])
+    queue, seen = deque([start]), {}
     while queue:
         step = queue.popleft()
-        for child in children.get(step, ()):  # ascending
+        for child in links.after(step, seen):
             if child not in before:
                 before[child] = step
                 queue.append(child)
@@ -60,16 +104,16 @@ def _noted(n: int, noun: str) -> list[str]:
     return [f"{n} {noun}{'' if n == 1 else 's'}"] if n else []
 
 
-def confidence(start: int, cascade: list[int], children: dict[int, list[int]], base: set[tuple[int, int]], steps: dict[int, dict]) -> tuple[str, str, list[int]]:
+def confidence(start: int, cascade: list[int], links: Links, steps: dict[int, dict]) -> tuple[str, str, list[int]]:
     """Evidence on the paths to the cascade: opaque or unlinked steps and heuristic edges make it LOW."""
-    before = paths(start, children)
+    before = paths(start, links)
     opaque, unlinked, by_shell, guessed = set(), set(), set(), set()
     for goal in cascade:
         path = path_to(goal, start, before)
         opaque |= {s for s in path if steps[s]["kind"] in ("opaque_shell", "unmapped")}
         unlinked |= {s for s in path[1:] if steps[s]["parent_step"] is None}
         for edge in zip(path, path[1:], strict=False):
-            if edge not in base:
+            if not links.stands(*edge):
                 guessed.add(edge)
                 by_shell |= {s for s in edge if steps[s]["targets"]}
     if not (opaque or unlinked or guessed):
@@ -79,35 +123,30 @@ def confidence(start: int, cascade: list[int], children: dict[int, list[int]], b
     return "LOW", "; ".join(notes) + " on path", sorted(opaque | unlinked | by_shell)
 
 
-def _run(run_id: str, steps: list, edges: list) -> Iterator[tuple]:
-    by_step = {s["step_index"]: s for s in steps}
-    children: dict[int, list[int]] = {}
-    for e in sorted((e["src"], e["dst"]) for e in edges):
-        children.setdefault(e[0], []).append(e[1])
-    base = {(e["src"], e["dst"]) for e in edges if e["base"]}
+def _run(run_id: str, steps: list) -> Iterator[tuple]:
+    by_step, links = {s["step_index"]: s for s in steps}, Links(steps)
     failing = {s["step_index"]: s["gate"] for s in steps if s["gate"] is not None}
     groups: dict[int, list[int]] = {}
-    for step, owner in sorted(claims(list(failing), children).items()):
+    for step, owner in sorted(claims(list(failing), links).items()):
         groups.setdefault(owner, []).extend([step] if step != owner else [])
     for owner in sorted(groups):
-        yield run_id, owner, failing[owner], groups[owner], *confidence(owner, groups[owner], children, base, by_step)
+        yield run_id, owner, failing[owner], groups[owner], *confidence(owner, groups[owner], links, by_step)
 
 
 def localize(activities: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """A row per breaking step: run_id, breaking_step, breaking_gate, cascade, confidence, coverage, candidates."""
-    failing = gates.failures(gates.gate_results(activities) if results is None else results)
+    failing = materialize(gates.failures(gates.gate_results(activities) if results is None else results))
     dirty = failing.select("run_id").distinct()
-    rows = with_targets(activities.join(dirty, "run_id", "left_semi"))
-    steps = rows.join(failing, ["run_id", "step_index"], "left").groupBy("run_id").agg(F.collect_list(F.struct("step_index", "kind", "parent_step", "gate", F.col("shell").isNotNull().alias("targets"))).alias("steps"))
-    links = graph.edges(rows).groupBy("run_id").agg(F.collect_list(F.struct("src", "dst", "base")).alias("edges"))
+    rows = graph.with_refs(activities.join(dirty, "run_id", "left_semi")).join(failing, ["run_id", "step_index"], "left")
+    steps = rows.groupBy("run_id").agg(F.collect_list(F.struct("step_index", "kind", "parent_step", "gate", F.col("shell").isNotNull().alias("targets"), "refs")).alias("steps"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in LOCALIZATIONS.split(", ")]
         for pdf in frames:
-            found = [r for run_id, own, e in zip(pdf["run_id"], pdf["steps"], pdf["edges"], strict=True) for r in _run(run_id, list(own), [] if e is None else list(e))]
+            found = [r for run_id, own in zip(pdf["run_id"], pdf["steps"], strict=True) for r in _run(run_id, list(own))]
             yield pd.DataFrame(found, columns=names)
 
-    return steps.join(links, "run_id", "left").mapInPandas(run, LOCALIZATIONS)
+    return steps.mapInPandas(run, LOCALIZATIONS)
 
 
 def breaks(activities: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ACTION_KINDS
+from ..scratch import materialize
 from . import gates, graph
 from .localize import localize
 
@@ -41,7 +42,7 @@ def scan(results: DataFrame, localizations: DataFrame) -> DataFrame:
 
 def study_runs(activities: DataFrame, results: DataFrame | None = None, localizations: DataFrame | None = None) -> DataFrame:
     """A row per run: sizes, linking, opacity, failing steps by gate, and its bucket."""
-    results = gates.gate_results(activities) if results is None else results
+    results = materialize(gates.gate_results(activities)) if results is None else results
     localizations = localize(activities, results) if localizations is None else localizations
     action, opaque = F.col("kind").isin(*ACTION_KINDS), F.col("kind").isin(*OPAQUE)
     runs = activities.groupBy("run_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import gates, graph, hashing, inject, labels, localize, regexdiff, reports
+from ..scratch import materialize
 from . import journal, readings
 from . import oracle as o
 
@@ -155,7 +156,7 @@ def localizations(j: DataFrame) -> DataFrame:
 
 @query(_gates("SELECT r.run_id, r.step_index, r.gate, evidence, breaking_step FROM r LEFT JOIN b USING (run_id, step_index) WHERE status = 'FAIL' AND r.gate <> 'G1'", **o.GRAPH, **o.BROKEN))
 def scan_failures(j: DataFrame) -> DataFrame:
-    results = gates.gate_results(j)
+    results = materialize(gates.gate_results(j))
     return reports.scan(results, localize.localize(j, results)).select("run_id", "step_index", "gate", "evidence", "breaking_step")
 
 
@@ -225,7 +226,7 @@ def selected_by_source(j: DataFrame) -> DataFrame:
 
 @query(_gates("SELECT run_id, " + ", ".join(f"count(*) FILTER (gate = '{g}' AND status = '{s}') AS {g.lower()}_{s.lower()}" for g in ("G1", "G2", "G3") for s in ("PASS", "FAIL", "NA")) + " FROM r GROUP BY run_id"))
 def replay_tallies(j: DataFrame) -> DataFrame:
-    results = gates.gate_results(j)
+    results = materialize(gates.gate_results(j))
     out = reports.replay(j, results, localize.localize(j, results))
     return out.select("run_id", *[f"{g}_{s}".lower() for g in ("g1", "g2", "g3") for s in ("pass", "fail", "na")])
 
