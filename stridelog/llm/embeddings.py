@@ -41,7 +41,7 @@ from .components import components
 from .shared import materialize, table
 
 THRESHOLD = 0.98
-TREES, LEAF, SAMPLE = 6, 128, 8192
+TREES, LEAF, SAMPLE = 4, 128, 8192
 #: Vectors of a sample at the end of a tree's branch.
 SAMPLE_LEAF = 16
 #: Half the width of a split's overlap, in standard deviations of a pair's projected distance at the threshold.
