@@ -5,11 +5,14 @@ embedding table; the bag's mean goes through a linear softmax. Table and softmax
 are trained jointly in numpy from document labels: a document is clean if all of
 its words are and toxic if any is (noisy-or over distinct words), so misspellings
 that share n-grams with toxic words share their vectors. A document's score is
-that of its strongest word: one insult in a long text counts as in a short one.
+that of its strongest word: one insult in a long text counts as in a short one, where
+an average of all words would lose it (``pool="mean"`` trains and scores that way; the
+README has held-out figures of both). Of toxic labels a share of ``LEAK`` needs no
+toxic word, or wrong labels would be learnt from words that stand there by chance.
 
 Training reads a bounded sample of labelled documents: those with the smallest
 hash of their id, at most ``TOXIC_DOCS`` and ``CLEAN_DOCS`` of the classes, of at
-most ``TRAIN_CHARS`` characters. N-grams of fewer than ``MIN_DOCS`` of them carry
+most ``TRAIN_CHARS`` characters. N-grams of few of them (``MIN_DOCS``) carry
 no weight, or single documents would be learnt by heart. These bounds are
 parameters. Scoring reads every whole text of every document: runs without white
 space of over ``MAX_WORD`` characters are divided at inner punctuation, and what is
@@ -36,9 +39,15 @@ from pyspark.sql import functions as F
 from .shared import table, text_of
 
 BUCKETS, DIM, GRAMS = 2**20, 4, (3, 4, 5, 6)
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS, MIN_DOCS = 1500, 4000, 12_000, 6
+TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 4000, 12_000
+#: Documents that an n-gram must be in: one for each hundred toxic ones, between these.
+MIN_DOCS = (2, 6)
+#: Share of toxic labels that no word of the document need explain: wrong labels are not learnt from chance words.
+LEAK = 0.3
 EPOCHS, SEED = 25, 7
 THRESHOLD, MAX_WORD = 0.7, 40
+#: A document from its words: "any" of them makes it toxic, or their "mean".
+POOL = "any"
 #: What may stand at either end of a word without being part of it.
 EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~`#|/\\"
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
@@ -70,10 +79,15 @@ def grams_of(word: str, buckets: int = BUCKETS) -> list[int]:
 
 
 class Model:
-    """Per row its part in the logit of class 1; ``bias`` of the softmax."""
+    """Per row its part in the logit of class 1; ``bias`` of the softmax; how words make a document."""
 
-    def __init__(self, rows: np.ndarray, bias: float):
-        self.rows, self.bias = rows, bias
+    def __init__(self, rows: np.ndarray, bias: float, pool: str = "any"):
+        self.rows, self.bias, self.pool = rows, bias, pool
+
+    def of_document(self, logits: list[float]) -> float:
+        """The score from its distinct words' logits."""
+        z = -20.0 if not logits else max(logits) if self.pool == "any" else sum(logits) / len(logits)
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def logits(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -85,10 +99,19 @@ class Model:
         return np.add.reduceat(self.rows[flat], starts) / sizes + self.bias
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = SEED, min_docs: int = MIN_DOCS) -> Model:
+def _any_of(p: np.ndarray, first: np.ndarray, y: np.ndarray, leak: float) -> np.ndarray:
+    """d loss / d logit of each word over its p: 1 in a clean document, -clean / (1 - clean) in a toxic one."""
+    clean = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-7)), first))  # no word is toxic
+    clean = np.where(y > 0, (1 - leak) * clean, clean)
+    return np.where(y > 0, -clean / np.maximum(1 - clean, 1e-6), 1.0)
+
+
+def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = SEED, min_docs: int | None = None, leak: float = LEAK, pool: str = POOL) -> Model:
     """Joint training of the embedding table and the softmax by Adam, all documents in each step."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(buckets), -20.0)
+    if min_docs is None:
+        min_docs = int(np.clip(labels.sum() // 100, *MIN_DOCS))
     index: dict[str, int] = {}
     docs = [np.array(sorted(index.setdefault(w, len(index)) for w in words_of(t)), np.int64) for t in texts]
     rows_, n_rows = array("i"), array("i")
@@ -124,10 +147,13 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
         mean = np.stack([np.bincount(word_of_gram, weights=E[:, k][flat], minlength=len(sizes)) / sizes for k in range(dim)], axis=1)
         z = mean @ V + bias
         logit = (z[:, 1] - z[:, 0])[word]
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        clean = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-7)), first))  # no word is toxic
-        # d loss / d logit: p for a clean document's words, -p * clean / (1 - clean) for a toxic one's
-        factor = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-6), 1.0) * weight
+        if pool == "mean":  # a document is the average of its words
+            of_doc = np.add.reduceat(logit, first) / n_words
+            factor = (1 / (1 + np.exp(-np.clip(of_doc, -30, 30))) - y) * weight / n_words
+            p = 1.0
+        else:
+            p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            factor = _any_of(p, first, y, leak) * weight
         g_word = np.bincount(word, weights=np.repeat(factor, n_words) * p, minlength=len(sizes)) / len(y)
         g_z = np.stack([-g_word, g_word], axis=1)
         g_mean = (g_z @ V.T) / sizes[:, None]
@@ -138,7 +164,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
             p_ -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     rows = np.zeros(buckets)
     rows[used] = E @ (V[:, 1] - V[:, 0])
-    return Model(rows, float(bias[1] - bias[0]))
+    return Model(rows, float(bias[1] - bias[0]), pool)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,7 +176,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_DOCS, c
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = text_of(docs).withColumn("key", F.xxhash64("text"))
     short = own.where(F.length("text") <= chars).select("doc_id", "key")
-    both = short.join(known, "doc_id").dropDuplicates(["doc_id"])
+    # of clashing labels the highest, of texts of one id that of the smallest key
+    both = short.join(known, "doc_id").groupBy("doc_id").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = both.where("toxic = 1").orderBy(*order).limit(toxic).unionByName(both.where("toxic = 0").orderBy(*order).limit(clean)).collect()
     # some thousands of ids at most: the texts themselves are never shuffled
@@ -162,7 +189,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_DOCS, c
 
 def _scorer(docs: DataFrame, model: Model):
     """A function from texts to scores, for executors; it remembers words."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.rows.astype(np.float32), model.bias))  # buckets * 4 bytes: fixed
+    shared = docs.sparkSession.sparkContext.broadcast((model.rows.astype(np.float32), model.bias, model.pool))  # buckets * 4 bytes: fixed
 
     def start():
         own = Model(*shared.value)
@@ -174,8 +201,7 @@ def _scorer(docs: DataFrame, model: Model):
                 known.clear()
             new = [w for w in words if w not in known]
             known.update(zip(new, own.logits(new).tolist(), strict=True))
-            top = max(map(known.__getitem__, words), default=-20.0)
-            return float(1 / (1 + np.exp(-np.clip(top, -30, 30))))
+            return own.of_document([known[w] for w in sorted(words)])
 
         return one
 
