@@ -49,7 +49,7 @@ def _labels(spark: SparkSession, paths: list[str], activities: DataFrame) -> Dat
 def _regex(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
     patterns = files.read_patterns(spark, paths[0])
     own = patterns.select("pattern_id", "pattern", F.posexplode("inputs").alias("pos", "input"))
-    made = [(r.pattern_id, r.pattern, 10**6 + n, x) for r in patterns.where("generate > 0").collect() for n, x in enumerate(regexdiff.generate_inputs(r.pattern, r.generate))]
+    made = [(r.pattern_id, r.pattern, 10**6 + n, x) for r in patterns.where("generate").collect() for n, x in enumerate(regexdiff.generate_inputs(r.pattern))]
     if made:
         own = own.unionByName(spark.createDataFrame(made, own.schema))
     observed = regexdiff.observe(own).withColumn("agree", F.col("search") == F.col("full"))
@@ -79,7 +79,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if args.command == "sweep":
         return render.tsv(reports.sweep(a, found), "run_id"), 0
     if args.command == "coverage":
-        return render.tsv(reports.coverage(a), "run_id"), 0
+        return "\n".join([render.tsv(reports.coverage(a), "run_id"), render.tsv(reports.unmapped_types(a), "run_id", "type"), render.tsv(reports.shell_lift(a), "run_id")]), 0
     if args.command == "study":
         return render.markdown("Corpus study", reports.study(reports.study_runs(a, results, found)), "source"), 0
     if args.command == "labels":

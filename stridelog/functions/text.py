@@ -29,9 +29,32 @@ def patch_targets(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != "")))
 
 
+def is_fixture(path: Column) -> Column:
+    return F.concat(F.lit("/"), _slashed(path)).rlike(r"/tests/fixtures/")
+
+
+def _slashed(path: Column) -> Column:
+    return F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
+
+
+def history_of(path: Column) -> Column:
+    """The history dialect that a file's name tells, else null."""
+    name = F.element_at(F.split(_slashed(path), "/"), -1)
+    return F.when(name.rlike("swe[_-]agent"), F.when(F.contains(name, F.lit("mini")), "mini-swe-agent").otherwise("swe-agent")).when(F.contains(name, F.lit("openhands")), "openhands")
+
+
 def source_of(path: Column) -> Column:
-    """Where a recording is from, by its path: made by hand, or else its folder."""
-    return F.when(path.rlike("(?i)(^|/)(fixtures?|demo|tests?)/"), "fixture").otherwise(F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), F.lit("")), F.lit("local")))
+    """Where a recording is from, by its path: a tool's own folder, a fixture (of a dialect), else a journal."""
+    low, dialect = _slashed(path), history_of(path)
+    return (
+        F.when(F.contains(low, F.lit("/.codex/")), "codex").when(F.contains(low, F.lit("/.claude/")), "claude")
+        .when(is_fixture(path), F.coalesce(F.concat(F.lit("foreign-"), dialect), F.lit("fixture"))).otherwise("journal")
+    )
+
+
+def is_candidate(path: Column) -> Column:
+    """Is it read at all: JSON lines anywhere, whole documents among fixtures only."""
+    return F.lower(path).rlike(r"\.jsonl$") | (is_fixture(path) & F.lower(path).rlike(r"\.(json|traj)$"))
 
 
 def safe_name(name: Column) -> Column:

@@ -17,6 +17,7 @@ from .localize import localize
 SEED = 260628
 #: Fault class and the gate that must notice it.
 EXPECTED = {"G1_TARGET": "G1", "G2_TARGET": "G2", "G3_TARGET": "G3", "CONTROL": None, "BENIGN": None}
+CONFIDENCES = ("HIGH", "LOW", "NA", "ALL")
 FAILING_TEXT = "1 failed in 0.01s"
 
 
@@ -111,15 +112,20 @@ def predictions(localizations: DataFrame, cases: DataFrame, use_gate: bool = Tru
     exact = F.coalesce((F.col("breaking_step") == F.col("expected_step")) & gate, F.lit(False))
     within = F.coalesce(((F.col("breaking_step") == F.col("expected_step")) | F.array_contains("cascade", F.col("expected_step"))) & gate, F.lit(False))
     order = F.struct(F.when(exact, 0).when(within, 1).otherwise(2).alias("rank"), "breaking_step", "breaking_gate", "confidence", "coverage")
-    best = rows.groupBy(*cases.columns).agg(F.min_by(F.struct("breaking_step", "breaking_gate", "confidence", "coverage"), order).alias("p"), F.max(exact).alias("exact"), F.max(within).alias("cascade"))
-    vague = F.col("p.coverage").rlike("opaque|unmapped|unlinked|heuristic")
-    return best.select(*cases.columns, F.col("p.breaking_step").alias("predicted_step"), F.col("p.breaking_gate").alias("predicted_gate"), F.coalesce("p.confidence", F.lit("NA")).alias("confidence"), "exact", "cascade", (F.col("p.breaking_step").isNull() | (F.col("p.confidence") == "LOW") | vague).alias("coverage_gap"))
+    best = rows.groupBy(*cases.columns).agg(F.min_by(F.struct("breaking_step", "breaking_gate", "confidence", "coverage"), order).alias("p"), F.max(exact).alias("exact"), F.max(within).alias("cascade"), F.count("breaking_step").cast("int").alias("prediction_count"))
+    vague = F.lower("p.coverage").rlike("opaque|unmapped|unlinked|heuristic")
+    why = F.when(F.col("p.breaking_step").isNull(), "no_prediction").when((F.col("p.confidence") == "LOW") | vague, F.col("p.coverage")).otherwise("")
+    return best.select(*cases.columns, F.col("p.breaking_step").alias("predicted_step"), F.col("p.breaking_gate").alias("predicted_gate"), F.coalesce("p.confidence", F.lit("NA")).alias("confidence"), "exact", "cascade", "prediction_count", (why != "").alias("coverage_gap"), why.alias("gap_reason"))
 
 
 def accuracy(predicted: DataFrame) -> DataFrame:
-    """By confidence and over all (ALL)."""
-    out = predicted.rollup("confidence").agg(F.grouping("confidence").alias("overall"), F.count(F.lit(1)).alias("cases"), F.count_if("exact").alias("exact"), F.count_if("cascade").alias("cascade"), F.count_if("coverage_gap").alias("coverage_gaps"))
-    return out.select(F.when(F.col("overall") == 1, "ALL").otherwise(F.col("confidence")).alias("confidence"), "cases", "exact", "cascade", "coverage_gaps", F.try_divide("exact", "cases").alias("exact_rate"), F.try_divide("cascade", "cases").alias("cascade_rate"))
+    """By confidence (HIGH, LOW, NA, also where no case has it) and over all (ALL)."""
+    counts = predicted.rollup("confidence").agg(F.grouping("confidence").alias("overall"), F.count(F.lit(1)).alias("cases"), F.count_if("exact").alias("exact"), F.count_if("cascade").alias("cascade"), F.count_if("coverage_gap").alias("coverage_gaps"))
+    counts = counts.select(F.when(F.col("overall") == 1, "ALL").otherwise(F.col("confidence")).alias("c"), "cases", "exact", "cascade", "coverage_gaps")
+    each = predicted.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, CONFIDENCES))).alias("confidence"))
+    out = each.join(counts, F.col("confidence") == F.col("c"), "left").drop("c").fillna(0)
+    total = F.max(F.when(F.col("confidence") == "ALL", F.col("cases"))).over(Window.partitionBy(F.lit(1)))  # four rows
+    return out.select("*", F.try_divide("exact", "cases").alias("exact_rate"), F.try_divide("cascade", "cases").alias("cascade_rate"), F.try_divide("cases", total).alias("share"), F.try_divide("coverage_gaps", "cases").alias("gap_rate"))
 
 
 def run_injection(activities: DataFrame, per_class: int = 1000, max_per_run: int = 3, seed: int = SEED) -> dict[str, DataFrame]:

@@ -8,16 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Inputs tried with every generated set.
-SEEDS = ("", "a", "A", "0", " ", "\n")
+#: Inputs tried with every generated set, how many inputs at most, and how much of a pattern's own text counts.
+SEEDS = ("", "a", "b", "0", " ", "x", "xx")
+GENERATED, LITERAL = 24, 8
 OBSERVED = "search boolean, full boolean, error string"
 
 
-def generate_inputs(pattern: str, n: int = 16) -> list[str]:
-    """Seeds, then the pattern's literal runs bare and with neighbours; first occurrences, cut at n."""
-    literals = re.findall(r"[A-Za-z0-9_]+", re.sub(r"\\.", " ", pattern))
-    made = [x for lit in literals for x in (lit, f"x{lit}", f"{lit}x", f"{lit}\n", lit.upper())]
-    return list(dict.fromkeys([*SEEDS, *made]))[:n]
+def generate_inputs(pattern: str, n: int = GENERATED) -> list[str]:
+    """Seeds; the pattern's literal, its ends, between neighbours and doubled; its characters, and two of them in turn. First occurrences, cut at n."""
+    said = [m[1] or m[0] for m in re.finditer(r"(?s)\\(.)|[^\\]", pattern) if m[1] or m[0].isalnum() or m[0] in " _-"]
+    lit = "".join(said[:LITERAL])
+    own = [lit, lit[:1], lit[-1:], f"x{lit}", f"{lit}x", f"x{lit}x", lit * 2] if lit else []
+    chars = list(dict.fromkeys(lit))
+    pairs = [chars[0] + chars[1], chars[1] + chars[0], chars[0] * 2] if len(chars) > 1 else []
+    return list(dict.fromkeys([*SEEDS, *own, *chars, *pairs]))[: max(0, n)]
 
 
 def observe(pairs: DataFrame, dialect: str = "python") -> DataFrame:

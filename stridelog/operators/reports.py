@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import ACTION_KINDS
+from ..schema import ACTION_KINDS, KINDS
 from ..scratch import materialize
 from . import gates, graph
 from .localize import localize
@@ -88,12 +88,36 @@ def replay(activities: DataFrame, results: DataFrame, localizations: DataFrame)
 
 
 def coverage(activities: DataFrame) -> DataFrame:
-    """Records by run and in total: activities, kinds not mapped, linked actions (run_id ALL for the total)."""
-    action = F.col("kind").isin(*ACTION_KINDS)
-    out = activities.rollup("run_id").agg(F.grouping("run_id").alias("overall"), F.count(F.lit(1)).alias("activities"), F.count_if(F.col("kind") == "unmapped").alias("unmapped"), F.count_if(action).alias("actions"), F.count_if(action & F.col("parent_step").isNotNull()).alias("linked_actions"))
+    """By run and in total (run_id ALL): activities, mapped and not, opaque and linked actions, steps of each kind."""
+    action, count_of = F.col("kind").isin(*ACTION_KINDS), lambda k: F.count_if(F.col("kind") == k)
+    out = activities.rollup("run_id").agg(
+        F.grouping("run_id").alias("overall"), F.count(F.lit(1)).alias("activities"), F.count_if(F.col("kind") != "unmapped").alias("mapped"), count_of("unmapped").alias("unmapped"), F.count_if(action).alias("actions"),
+        F.count_if(action & F.col("parent_step").isNotNull()).alias("linked_actions"), *[count_of(k).alias(k) for k in KINDS if k != "unmapped"],
+    )
+    return out.withColumn("run_id", F.when(F.col("overall") == 1, "ALL").otherwise(F.col("run_id"))).drop("overall")
+
+
+def shell_lift(activities: DataFrame) -> DataFrame:
+    """By run and in total (run_id ALL): shell commands, those whose files are known, and the edges that these add."""
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("shell_command_steps", "steps_with_targets", "added_edges")]
+    out = graph.shell_coverage(activities).rollup("run_id").agg(F.grouping("run_id").alias("overall"), *sums)
     return out.withColumn("run_id", F.when(F.col("overall") == 1, "ALL").otherwise(F.col("run_id"))).drop("overall")
 
 
+def unmapped_types(activities: DataFrame) -> DataFrame:
+    """By run and in total (run_id ALL): what the records that no activity stands for are called by their payload, else by themselves."""
+    said = F.coalesce(*[F.nullif(F.get_json_object("inputs_json", f"$.{k}"), F.lit("")) for k in ("payload_type", "record_type")], F.lit("<missing>"))
+    out = activities.where("kind = 'unmapped'").select("run_id", said.alias("type")).rollup("type", "run_id").agg(F.grouping("run_id").alias("overall"), F.grouping("type").alias("all_types"), F.count(F.lit(1)).alias("n"))
+    return out.where("all_types = 0").select(F.when(F.col("overall") == 1, "ALL").otherwise(F.col("run_id")).alias("run_id"), "type", "n")
+
+
+def record_families(records: DataFrame) -> DataFrame:
+    """By file and in total (path ALL): records by their type and their payload's. ``records``: path, record (JSON text)."""
+    of = lambda k: F.coalesce(F.get_json_object("record", k), F.lit("<missing>"))
+    out = records.where(F.trim("record").startswith("{")).select("path", F.concat_ws(":", of("$.type"), of("$.payload.type")).alias("family")).rollup("family", "path").agg(F.grouping("path").alias("overall"), F.grouping("family").alias("all_families"), F.count(F.lit(1)).alias("n"))
+    return out.where("all_families = 0").select(F.when(F.col("overall") == 1, "ALL").otherwise(F.col("path")).alias("path"), "family", "n")
+
+
 def sweep(activities: DataFrame, localizations: DataFrame) -> DataFrame:
     """Per run: actions without a parent, the run's first action apart, and breaks by confidence."""
     action = F.col("kind").isin(*ACTION_KINDS)

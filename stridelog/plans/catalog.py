@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import gates, graph, hashing, inject, labels, localize, regexdiff, reports
+from ..schema import KINDS
 from ..scratch import materialize
+from ..sources import files
 from . import journal, readings
 from . import oracle as o
 
@@ -231,7 +233,8 @@ def replay_tallies(j: DataFrame) -> DataFrame:
     return out.select("run_id", *[f"{g}_{s}".lower() for g in ("g1", "g2", "g3") for s in ("pass", "fail", "na")])
 
 
-_COVER = f"SELECT coalesce(run_id, 'ALL') AS run_id, count(*) AS activities, count(*) FILTER (kind = 'unmapped') AS unmapped, count(*) FILTER (kind IN {ACTIONS}) AS actions, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NOT NULL) AS linked_actions FROM j GROUP BY ROLLUP (run_id)"
+_BY_KIND = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS if k != "unmapped")
+_COVER = f"SELECT coalesce(run_id, 'ALL') AS run_id, count(*) AS activities, count(*) FILTER (kind <> 'unmapped') AS mapped, count(*) FILTER (kind = 'unmapped') AS unmapped, count(*) FILTER (kind IN {ACTIONS}) AS actions, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NOT NULL) AS linked_actions, {_BY_KIND} FROM j GROUP BY ROLLUP (run_id)"
 
 
 @query(o.with_(_COVER, False, **_J))
@@ -239,6 +242,35 @@ def coverage_report(j: DataFrame) -> DataFrame:
     return reports.coverage(j)
 
 
+@query(SQL["shell_coverage"].replace("SELECT run_id, count(*) FILTER (kind IN ('opaque_shell','test_run') AND command", "SELECT coalesce(run_id, 'ALL') AS run_id, CAST(sum(shell_command_steps) AS BIGINT) AS shell_command_steps, CAST(sum(steps_with_targets) AS BIGINT) AS steps_with_targets, CAST(sum(added_edges) AS BIGINT) AS added_edges FROM (SELECT run_id, count(*) FILTER (kind IN ('opaque_shell','test_run') AND command", 1) + ") GROUP BY ROLLUP (run_id)")
+def shell_lift(j: DataFrame) -> DataFrame:
+    return reports.shell_lift(j)
+
+
+@raw(f"WITH c AS ({readings.CALLS_SQL}) SELECT coalesce(run_id, 'ALL') AS run_id, 'function_call_output' AS type, count(*) AS n FROM c WHERE kind = 'unmapped' GROUP BY ROLLUP (run_id)")
+def unmapped_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.unmapped_types(files.read_texts(readings.recordings(spark, sf_dir, "calls"), "calls").select("activity.*"))
+
+
+@raw(f"""WITH {readings._E}, r AS (SELECT 'events/user-' || user_id || '.json' AS path, CASE t WHEN 'signup' THEN 'event_msg:user_message' WHEN 'view' THEN 'response_item:message' WHEN 'click' THEN 'response_item:function_call' WHEN 'purchase' THEN 'response_item:function_call_output'
+ ELSE CASE WHEN k % 2 = 0 THEN 'event_msg:task_complete' ELSE 'response_item:custom_tool_call' END END AS family FROM e) SELECT coalesce(path, 'ALL') AS path, family, count(*) AS n FROM r GROUP BY GROUPING SETS ((family), (family, path))""")
+def record_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = readings.recordings(spark, sf_dir, "calls").select("path", F.explode(F.split("value", "\n")).alias("record"))
+    return reports.record_families(lines)
+
+
+#: Paths made up of an event's numbers.
+_PATH = "CASE event_id % 7 WHEN 0 THEN '/home/u/.codex/s' WHEN 1 THEN 'C:\\\\u\\\\.Claude\\\\p' WHEN 2 THEN 'tests/fixtures/mini-swe-agent-' WHEN 3 THEN 'a/tests/fixtures/SWE_agent' WHEN 4 THEN 'a/tests/fixtures/openhands' WHEN 5 THEN 'tests/fixtures/plain' ELSE 'data/openhands' END || event_id || CASE event_id % 3 WHEN 0 THEN '.jsonl' WHEN 1 THEN '.json' ELSE '.traj.json' END"
+_CLASSES = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' WHEN 2 THEN 'foreign-mini-swe-agent' WHEN 3 THEN 'foreign-swe-agent' WHEN 4 THEN 'foreign-openhands' WHEN 5 THEN 'fixture' ELSE 'journal' END AS source,
+ CASE event_id % 7 WHEN 2 THEN 'mini-swe-agent' WHEN 3 THEN 'swe-agent' WHEN 4 THEN 'openhands' WHEN 6 THEN 'openhands' END AS history, event_id % 3 = 0 OR event_id % 7 IN (2, 3, 4, 5) AS candidate FROM events"""
+
+
+@raw(_CLASSES)
+def source_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.expr(_PATH)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.source_of(path).alias("source"), text.history_of(path).alias("history"), text.is_candidate(path).alias("candidate"))
+
+
 @query(o.with_(f"SELECT run_id, count(*) AS activities, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NULL AND step_index <> first) AS unlinked_actions FROM j JOIN (SELECT run_id, min(step_index) FILTER (kind IN {ACTIONS}) AS first FROM j GROUP BY run_id) USING (run_id) GROUP BY run_id", False, **_J))
 def sweep_runs(j: DataFrame) -> DataFrame:
     return reports.sweep(j, localize.localize(j)).select("run_id", "activities", "unlinked_actions")

@@ -165,9 +165,29 @@ def read_errors(files: DataFrame) -> DataFrame:
 
 
 def count_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Nonblank lines of each file."""
-    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-    return lines.where(F.trim("value") != "").groupBy("path").agg(F.count(F.lit(1)).alias("records"))
+    """path, records: nonblank lines of each file; of a whole history the length of its list."""
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def of(path: str, text: str) -> int:
+        if path.endswith(".jsonl"):
+            return sum(1 for x in text.splitlines() if x.strip())
+        try:
+            form = dialect_of(json.loads(text))
+        except ValueError:
+            form = None
+        return len(split(path, text, form)[1]) if form else sum(1 for x in text.splitlines() if x.strip())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"path": pdf["path"], "records": [of(p, t) for p, t in zip(pdf["path"], pdf["value"], strict=True)]})
+
+    return files.mapInPandas(run, "path string, records bigint")
+
+
+def with_manifest(activities_by_path: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files with what a manifest (written by hand: small) says of each; a path's end is its local_path."""
+    own = manifest.withColumn("at", F.concat(F.lit("/"), "local_path"))
+    return activities_by_path.join(F.broadcast(own), F.concat(F.lit("/"), activities_by_path["path"]).endswith(own["at"]), "left").drop("at")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -175,11 +195,34 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.explode("sources").alias("s")).select("s.*")
 
 
+def pattern_rows(text: str) -> list[dict]:
+    """A pattern set, checked: a list, or an object's ``patterns``; ids are numbered and inputs generated where there are none."""
+    data = json.loads(text)
+    entries = data.get("patterns") if isinstance(data, dict) else data
+    if not isinstance(entries, list):
+        raise ValueError("a pattern set is a list or an object with a list of patterns")
+    out = []
+    for n, entry in enumerate(entries):
+        own = entry if isinstance(entry, dict) else {}
+        inputs = own.get("inputs") or []
+        row = {"pattern_id": own.get("id", f"pattern-{n}"), "pattern": own.get("pattern"), "inputs": inputs, "generate": own.get("generate", not inputs), "description": own.get("description", "")}
+        wrong = [k for k, v in row.items() if not isinstance(v, {"inputs": list, "generate": bool}.get(k, str))]
+        if wrong or not row["pattern_id"] or not all(isinstance(x, str) for x in inputs):
+            raise ValueError(f"pattern {n}: {', '.join(wrong) or 'id or inputs'} not as it should be")
+        out.append(row)
+    return out
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """pattern_id, pattern, inputs; missing ids are numbered."""
-    schema = "patterns array<struct<id:string,pattern:string,inputs:array<string>,generate:int,description:string>>"
-    rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.posexplode("patterns").alias("n", "p"))
-    return rows.select(F.coalesce("p.id", F.concat(F.lit("pattern-"), (F.col("n") + 1).cast("string"))).alias("pattern_id"), "p.pattern", F.coalesce("p.inputs", F.array().cast("array<string>")).alias("inputs"), F.coalesce("p.generate", F.lit(0)).alias("generate"))
+    """pattern_id, pattern, inputs, generate, description. A set is a written list of some kilobytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [r for text in pdf["value"] for r in pattern_rows(text)]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "pattern_id string, pattern string, inputs array<string>, generate boolean, description string")
 
 
 def journal_lines(activities: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from stridelog import cli
 from stridelog.functions.shell import is_path, targets
 from stridelog.operators import gates, graph, inject, labels, localize, regexdiff, render, reports
 from stridelog.schema import ACTIVITIES, COLUMNS, complete
+from stridelog.sources import files
 from stridelog.streaming import feed
 
 
@@ -153,7 +154,8 @@ def test_regex_check(spark):
     seen = regexdiff.observations(patterns, inputs)
     assert {(r.pattern_id, r.status, r.first_divergence) for r in regexdiff.summary(seen).collect()} == {("a", "divergent", 1), ("b", "unsupported", None)}
     assert [r.breaking_step for r in localize.localize(regexdiff.as_activities(seen)).collect()] == [1]
-    assert regexdiff.generate_inputs("ab+", 8)[:6] == list(regexdiff.SEEDS)
+    assert regexdiff.generate_inputs("ab+", 8)[:7] == list(regexdiff.SEEDS)
+    assert regexdiff.generate_inputs("ab+")[7:] == ["ab", "xab", "abx", "xabx", "abab", "ba", "aa"] and regexdiff.generate_inputs(r"\.x[-a]", 0) == [] and r".x-a" in regexdiff.generate_inputs(r"\.x[-a]")
 
 
 def test_reports_and_rendering(spark):
@@ -171,9 +173,13 @@ def test_cli(spark, capsys, tmp_path):
     args = cli.parser().parse_args(["demo"])
     assert cli.run(spark, args)[1] == 0 and "G2" in cli.run(spark, args)[0]
     assert cli.run(spark, cli.parser().parse_args(["replay", "x"])) == ("replay needs --explain", 2)
-    (tmp_path / "p.json").write_text('{"patterns": [{"pattern": "a+", "inputs": ["a", "ba"], "generate": 3}, {"id": "bad", "pattern": "(", "inputs": ["x"]}]}')
+    (tmp_path / "p.json").write_text('{"patterns": [{"pattern": "a+", "inputs": ["a", "ba"], "generate": true}, {"id": "bad", "pattern": "(", "inputs": ["x"]}]}')
     text, code = cli.run(spark, cli.parser().parse_args(["regex", str(tmp_path / "p.json")]))
-    assert code == 1 and "pattern-1\t" in text and "unsupported" in text
+    assert code == 1 and "pattern-0\t" in text and "unsupported" in text
+    for bad in ('{"patterns": 3}', '[{"pattern": 5}]', '[{"pattern": "a", "inputs": "x"}]', '[{"pattern": "a", "generate": 1}]', '[{"pattern": "a", "id": ""}]', "[7]"):
+        with pytest.raises(ValueError):
+            files.pattern_rows(bad)
+    assert files.pattern_rows('[{"pattern": "a"}]')[0] == {"pattern_id": "pattern-0", "pattern": "a", "inputs": [], "generate": True, "description": ""}
 
 
 def test_stream(spark, tmp_path):
