@@ -200,6 +200,21 @@ def test_suffix_dedup(docs, none, spark, depth, window, cap):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_a_text_of_several_pieces(spark):
+    """A passage across the end of a piece of 2**20 bytes, repeated in another text and further on."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = noise(400)
+    at = suffixes.AT_ONCE - 150
+    long = noise(at) + passage + noise(90_000) + passage[50:350] + noise(1000)
+    docs = spark.createDataFrame([(1, long), (2, "x" + passage[:230])], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs).collect()}
+    # passage[:230] is in the second text, passage[50:350] further on: together [0, 350)
+    assert (got[1].n_removed, got[1].n_spans) == (350 + 300, 2) and (got[2].n_removed, got[2].n_spans) == (230, 1)
+    kept = long[:at] + passage[350:] + long[at + 400 : at + 400 + 90_000] + long[-1000:]
+    assert got[1].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
 def test_exact_dedup(docs, none):
     groups = {}
     for i, t, _ in ROWS:
