@@ -40,7 +40,7 @@ from .shared import table, text_of
 
 BUCKETS, DIM, GRAMS = 2**20, 4, (3, 4, 5, 6)
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 4000, 12_000
-#: Documents that an n-gram must be in: one for each hundred toxic ones, between these.
+#: Documents that an n-gram must be in: one for each eight toxic ones, between these.
 MIN_DOCS = (2, 6)
 #: Share of toxic labels that no word of the document need explain: wrong labels are not learnt from chance words.
 LEAK = 0.3
@@ -111,7 +111,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(buckets), -20.0)
     if min_docs is None:
-        min_docs = int(np.clip(labels.sum() // 100, *MIN_DOCS))
+        min_docs = int(np.clip(labels.sum() // 8, *MIN_DOCS))
     index: dict[str, int] = {}
     docs = [np.array(sorted(index.setdefault(w, len(index)) for w in words_of(t)), np.int64) for t in texts]
     rows_, n_rows = array("i"), array("i")
