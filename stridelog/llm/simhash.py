@@ -61,7 +61,7 @@ SEED, CAP = 42, 1024
 #: The pipeline's similarity as a fraction, and least hashes.
 SIMILARITY, LEAST = (4, 5), 16
 #: Rows of a block whose rows carry texts.
-TEXT_CAP = 4096
+TEXT_CAP = 1024
 #: Shingles whose bits are added up at once: counts stay within a byte.
 _ROWS = 255
 
