@@ -130,6 +130,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     place = np.zeros(buckets, np.int32)
     place[used] = np.arange(len(used))
     flat, word_of_gram = place[flat[known]], word_of_gram[known]
+    del rows_, index, known  # the driver's memory is for the training below
     some = np.array([len(d) > 0 for d in docs])
     if not len(used) or not some.any():  # nothing that documents share
         return Model(np.zeros(buckets), -20.0)
