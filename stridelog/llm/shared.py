@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,4 +32,15 @@ def hex16(col: Column) -> Column:
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-__all__ = ["clear", "hex16", "materialize", "partitions", "release", "scratch_dir", "table", "text_of"]
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of ``column``: what a task holds at once stays small, but for a single longer row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+__all__ = ["clear", "hex16", "materialize", "partitions", "release", "scratch_dir", "slices", "table", "text_of"]
