@@ -54,11 +54,12 @@ def sample(candidates: DataFrame, per_class: int = 1000, max_per_run: int = 3, s
     return rows.select(F.concat_ws("|", "fault_class", "run_id", F.col("step_index").cast("string")).alias("case_id"), "fault_class", "run_id", "source", "step_index")
 
 
-def mutate(activities: DataFrame, cases: DataFrame) -> DataFrame:
-    """Every case's run under the case's id, with its one step changed and hashed anew."""
+def mutate(activities: DataFrame, cases: DataFrame, only_changed: bool = False) -> DataFrame:
+    """Every case's run under the case's id, with its one step changed and hashed anew; or that step alone."""
     own = cases.select("case_id", "fault_class", F.col("run_id").alias("case_run"), F.col("step_index").alias("at"))
     rows = activities.join(own, F.col("run_id") == F.col("case_run"))
     here = F.col("step_index") == F.col("at")
+    rows = rows.where(here) if only_changed else rows
     cls, kind, tool = F.col("fault_class"), F.col("kind"), F.col("tool_name")
     g1 = here & (cls == "G1_TARGET")
     path = (kind == "file_edit") | (tool == "Read")
@@ -128,18 +129,56 @@ def accuracy(predicted: DataFrame) -> DataFrame:
     return out.select("*", F.try_divide("exact", "cases").alias("exact_rate"), F.try_divide("cascade", "cases").alias("cascade_rate"), F.try_divide("cases", total).alias("share"), F.try_divide("coverage_gaps", "cases").alias("gap_rate"))
 
 
+def judge(clean: DataFrame, cases: DataFrame) -> DataFrame:
+    """Gate results under the cases' ids that a change can alter: all of the changed step's, and G2 of the same run's edits of its file. All others stand as they were.
+
+    ``clean`` has no failing step, so a case fails where this says so and nowhere else.
+    """
+    own = cases.select("case_id", "fault_class", "run_id", F.col("step_index").alias("at"))
+    touched = own.join(clean.select("run_id", F.col("step_index").alias("at"), F.when(F.col("kind") == "file_edit", F.col("file_path")).alias("touched")), ["run_id", "at"]).select("case_id", "touched", F.col("run_id").alias("case_run"), "at")
+    edits = clean.where("kind = 'file_edit'").join(touched, (F.col("run_id") == F.col("case_run")) & (F.col("file_path") == F.col("touched")) & (F.col("step_index") != F.col("at")))
+    others = edits.select(F.col("case_id").alias("run_id"), *[F.col(c) for c in clean.columns if c != "run_id"])
+    steps = materialize(mutate(clean, cases, only_changed=True))
+    results = gates.g1(steps).unionByName(gates.g3(steps)).unionByName(gates.g2(steps.unionByName(others)))
+    return results
+
+
+def localize_cases(clean: DataFrame, cases: DataFrame, results: DataFrame) -> DataFrame:
+    """Localizations of the cases' runs. A case of one failing step is its own break; only the others need their run."""
+    failing = materialize(gates.failures(results))
+    many = failing.groupBy(F.col("run_id").alias("case_id")).agg(F.count(F.lit(1)).alias("n"), F.min("step_index").alias("step"), F.min_by("gate", "step_index").alias("gate"))
+    none = F.array().cast("array<int>")
+    alone = many.where("n = 1").select(F.col("case_id").alias("run_id"), F.col("step").alias("breaking_step"), F.col("gate").alias("breaking_gate"), none.alias("cascade"), F.lit("HIGH").alias("confidence"), F.lit("structured path").alias("coverage"), none.alias("candidates"))
+    chained = cases.join(many.where("n > 1").select("case_id"), "case_id", "left_semi")
+    return alone.unionByName(localize(mutate(clean, chained), results.join(chained.select(F.col("case_id").alias("run_id")), "run_id", "left_semi")))
+
+
 def run_injection(activities: DataFrame, per_class: int = 1000, max_per_run: int = 3, seed: int = SEED) -> dict[str, DataFrame]:
-    """Clean runs only: cases, outcomes, confusion, predictions, accuracy."""
+    """Clean runs only: cases, outcomes, confusion, predictions, accuracy. What a case changes is judged again, and its run is copied only where failures may cascade."""
     # each of these is read several times below
     results = materialize(gates.gate_results(activities))
     clean = hashing.with_content_hash(activities.join(gates.dirty_runs(results), "run_id", "left_anti"))
     cases = materialize(sample(eligible(clean, results), per_class, max_per_run, seed))
-    changed = materialize(mutate(clean, cases))
-    again = materialize(gates.gate_results(changed))
+    again = materialize(judge(clean, cases))
     found = outcomes(cases, again)
     targets = found.where("expected IS NOT NULL").select("case_id", F.col("step_index").alias("expected_step"), F.col("expected").alias("expected_gate"))
-    predicted = predictions(localize(changed, again), targets)
-    return {"cases": cases, "outcomes": found, "confusion": confusion(found), "predictions": predicted, "accuracy": accuracy(predicted)}
+
+    def predicted() -> DataFrame:
+        return predictions(localize_cases(clean, cases, again), targets)
+
+    return _Found({"cases": lambda: cases, "outcomes": lambda: found, "confusion": lambda: confusion(found), "predictions": predicted, "accuracy": lambda: accuracy(predicted())})
+
+
+class _Found(dict):
+    """Results by name; each is planned when it is asked for first."""
+
+    def __init__(self, made: dict):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.made[name]()
+        return self[name]
 
 
 def selected_by_source(cases: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gates, graph, hashing, inject, labels, localize, regexdiff, reports
+from ..operators import gates, graph, hashing, inject, labels, levels, localize, regexdiff, reports
 from ..schema import KINDS
 from ..scratch import materialize
 from ..sources import files
@@ -141,7 +141,7 @@ def shell_coverage(j: DataFrame) -> DataFrame:
 
 @query(_gates("SELECT run_id, step_index, breaking_step FROM b", **o.GRAPH, **o.BROKEN))
 def upstream_breaks(j: DataFrame) -> DataFrame:
-    return localize.breaks(j).select("run_id", "step_index", "breaking_step")
+    return localize.breaks(j, materialize(gates.gate_results(j))).select("run_id", "step_index", "breaking_step")
 
 
 @query(_gates("SELECT b.run_id, breaking_step, any_value(fl.gate) AS breaking_gate, list(b.step_index ORDER BY b.step_index) FILTER (b.step_index <> breaking_step) AS c FROM b JOIN fl ON fl.run_id = b.run_id AND fl.step_index = b.breaking_step GROUP BY b.run_id, breaking_step", **o.GRAPH, **o.BROKEN).replace("list(b.step_index ORDER BY b.step_index) FILTER (b.step_index <> breaking_step) AS c", "coalesce(string_agg(CAST(b.step_index AS VARCHAR), ',' ORDER BY b.step_index) FILTER (b.step_index <> breaking_step), '') AS cascade"))
@@ -149,11 +149,23 @@ def cascades(j: DataFrame) -> DataFrame:
     return localize.localize(j).select("run_id", "breaking_step", "breaking_gate", F.array_join(F.transform("cascade", lambda x: x.cast("string")), ",").alias("cascade"))
 
 
-@query()
-def localizations(j: DataFrame) -> DataFrame:
-    """With paths' evidence; beyond practical SQL, tests hold it against brute force."""
+def _as_text(found: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return localize.localize(j).withColumns({"cascade": text("cascade"), "candidates": text("candidates")})
+    return found.withColumns({"cascade": text("cascade"), "candidates": text("candidates")})
+
+
+_WHERE = "SELECT run_id, breaking_step, breaking_gate, cascade, confidence, coverage, candidates FROM w"
+
+
+@query(_gates(_WHERE, **o.GRAPH, **o.BROKEN, **o.PATHS))
+def localizations(j: DataFrame) -> DataFrame:
+    return _as_text(localize.localize(j))
+
+
+@query(o.with_(_WHERE, j=o.S, **o.gates(), **o.GRAPH, **o.BROKEN, **o.PATHS), journal.short_journal)
+def localizations_by_levels(j: DataFrame) -> DataFrame:
+    """By joins alone, as runs are whose links lead backward."""
+    return _as_text(levels.localize(materialize(localize.step_rows(j))))
 
 
 @query(_gates("SELECT r.run_id, r.step_index, r.gate, evidence, breaking_step FROM r LEFT JOIN b USING (run_id, step_index) WHERE status = 'FAIL' AND r.gate <> 'G1'", **o.GRAPH, **o.BROKEN))
@@ -162,7 +174,16 @@ def scan_failures(j: DataFrame) -> DataFrame:
     return reports.scan(results, localize.localize(j, results)).select("run_id", "step_index", "gate", "evidence", "breaking_step")
 
 
-@query()
+_GATES_OF = ", ".join(f"coalesce(sum({g}), 0)::BIGINT AS {g}_steps" for g in ("g1", "g2", "g3"))
+
+
+@query(_gates(f"""SELECT coalesce(j.source, 'ALL') AS source, count(*) AS runs, count(*) FILTER (conf IS NULL) AS no_break_runs, count(*) FILTER (conf = 'HIGH') AS high_runs, count(*) FILTER (conf = 'LOW') AS low_runs,
+ sum(n)::BIGINT AS activities, sum(actions)::BIGINT AS actions, sum(linked)::BIGINT AS linked_actions, sum(opaque)::BIGINT AS opaque, {_GATES_OF}, coalesce(sum(failing), 0)::BIGINT AS failing_steps,
+ sum(commands)::BIGINT AS shell_command_steps, sum(known)::BIGINT AS steps_with_targets, coalesce(sum(added), 0)::BIGINT AS added_edges, median(CASE WHEN actions > 0 THEN oa / actions END) AS median_opaque_rate
+ FROM (SELECT run_id, any_value(source) AS source, count(*) AS n, count(*) FILTER (kind IN {ACTIONS}) AS actions, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NOT NULL) AS linked, count(*) FILTER (kind IN ('opaque_shell','unmapped')) AS opaque, count(*) FILTER (kind IN {ACTIONS} AND kind IN ('opaque_shell','unmapped')) AS oa,
+  count(*) FILTER (kind IN ('opaque_shell','test_run') AND command IS NOT NULL) AS commands, count(said) FILTER (kind IN ('opaque_shell','test_run')) AS known FROM j LEFT JOIN t ON command = said GROUP BY run_id) j
+ LEFT JOIN (SELECT run_id, count(DISTINCT step_index) AS failing, count(DISTINCT step_index) FILTER (gate = 'G1') AS g1, count(DISTINCT step_index) FILTER (gate = 'G2') AS g2, count(DISTINCT step_index) FILTER (gate = 'G3') AS g3 FROM r WHERE status = 'FAIL' GROUP BY run_id) g USING (run_id)
+ LEFT JOIN (SELECT run_id, max(confidence) AS conf FROM w GROUP BY run_id) c USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS added FROM e WHERE NOT base GROUP BY run_id) x USING (run_id) GROUP BY ROLLUP (j.source)""", **o.GRAPH, **o.BROKEN, **o.PATHS))
 def study_by_source(j: DataFrame) -> DataFrame:
     return reports.study(reports.study_runs(j))
 
@@ -216,7 +237,19 @@ def confusion(j: DataFrame) -> DataFrame:
     return inject.run_injection(j)["confusion"]
 
 
-@query(None, journal.short_journal)
+#: The cases' whole runs are located anew, by the same SQL as any journal.
+_LOCATED = o.with_("SELECT * FROM w", j="SELECT * FROM m", r="SELECT * FROM r2", **o.GRAPH, **o.BROKEN, **o.PATHS)
+_PREDICTED = f"""SELECT case_id, coalesce(any_value(p.confidence), 'NA') AS confidence, bool_or(p.exact) AS exact, bool_or(p.cascade) AS cascade, any_value(p.breaking_step IS NULL OR p.confidence = 'LOW') AS gap
+ FROM (SELECT c.case_id, w.breaking_step, w.confidence, coalesce(w.breaking_step = c.step_index AND w.breaking_gate = c.expected, false) AS exact,
+  coalesce((w.breaking_step = c.step_index OR list_contains(string_split(w.cascade, ','), CAST(c.step_index AS VARCHAR))) AND w.breaking_gate = c.expected, false) AS cascade,
+  row_number() OVER (PARTITION BY c.case_id ORDER BY CASE WHEN w.breaking_step = c.step_index AND w.breaking_gate = c.expected THEN 0 WHEN w.breaking_gate = c.expected AND list_contains(string_split(w.cascade, ','), CAST(c.step_index AS VARCHAR)) THEN 1 ELSE 2 END, w.breaking_step, w.breaking_gate, w.confidence, w.coverage) AS n
+  FROM o c LEFT JOIN ({_LOCATED}) w ON w.run_id = c.case_id WHERE c.expected IS NOT NULL) p WHERE n = 1 GROUP BY case_id"""
+_RATE = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} END"
+
+
+@query(o.injected(f"""SELECT confidence, cases, exact, cascade, coverage_gaps, {_RATE("exact", "cases")} AS exact_rate, {_RATE("cascade", "cases")} AS cascade_rate, {_RATE("cases", "total")} AS share, {_RATE("coverage_gaps", "cases")} AS gap_rate FROM (
+ SELECT k.confidence, count(p.case_id) AS cases, count(*) FILTER (p.exact) AS exact, count(*) FILTER (p.cascade) AS cascade, count(*) FILTER (p.gap) AS coverage_gaps, (SELECT count(*) FROM o WHERE expected IS NOT NULL) AS total
+ FROM (SELECT unnest(['HIGH', 'LOW', 'NA', 'ALL']) AS confidence) k LEFT JOIN ({_PREDICTED}) p ON k.confidence IN (p.confidence, 'ALL') GROUP BY k.confidence)"""), journal.short_journal)
 def localization_accuracy(j: DataFrame) -> DataFrame:
     return inject.run_injection(j)["accuracy"]
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..operators.gates import FAIL_SIGNALS, NOISE, PASS_SIGNALS
 from ..operators.inject import EXPECTED, FAILING_TEXT, SEED
+from ..operators.levels import NOTES
 from .journal import H, J, S
 
 
@@ -80,6 +81,30 @@ UP = "SELECT run_id, step_index, step_index AS anc FROM fl UNION SELECT up.run_i
 BREAKS = "SELECT up.run_id, up.step_index, min(anc) AS breaking_step FROM up JOIN fl ON fl.run_id = up.run_id AND fl.step_index = anc GROUP BY up.run_id, up.step_index"
 BROKEN = {"fl": FAILING, "up": UP, "b": BREAKS}
 
+#: Paths: every step below a failing one belongs to the smallest such; levels within its part; the smallest path of each level.
+DOWN = "SELECT run_id, step_index AS anc, step_index AS node FROM fl UNION SELECT d.run_id, d.anc, e.dst FROM down d JOIN e ON e.run_id = d.run_id AND e.src = d.node"
+PART = "SELECT run_id, node, min(anc) AS label FROM down GROUP BY run_id, node"
+INNER = "SELECT e.run_id, e.src, e.dst, e.base, p.label FROM e JOIN part p ON p.run_id = e.run_id AND p.node = e.dst JOIN part q ON q.run_id = e.run_id AND q.node = e.src AND q.label = p.label"
+WALKS = "SELECT run_id, node, 0 AS n FROM part WHERE node = label UNION SELECT i.run_id, i.dst, w.n + 1 FROM walks w JOIN inside i ON i.run_id = w.run_id AND i.src = w.node"
+FAR = "SELECT run_id, node, min(n) AS n FROM walks GROUP BY run_id, node"
+BEST = """SELECT run_id, node AS label, node, [node] AS path FROM part WHERE node = label
+ UNION ALL SELECT run_id, label, node, min(path) FROM (SELECT i.run_id, i.label, i.dst AS node, list_append(b.path, i.dst) AS path FROM best b JOIN inside i ON i.run_id = b.run_id AND i.src = b.node JOIN far f ON f.run_id = i.run_id AND f.node = i.dst AND f.n = len(b.path)) GROUP BY run_id, label, node"""
+CASC = "SELECT best.run_id, best.label, best.node, best.path FROM best JOIN fl ON fl.run_id = best.run_id AND fl.step_index = best.node WHERE best.node <> best.label"
+ON = "SELECT DISTINCT c.run_id, c.label, j.step_index AS node, j.kind IN ('opaque_shell', 'unmapped') AS opaque, j.step_index <> c.label AND j.parent_step IS NULL AS unlinked, said IS NOT NULL AS targets FROM (SELECT run_id, label, unnest(path) AS node FROM casc) c JOIN j ON j.run_id = c.run_id AND j.step_index = c.node LEFT JOIN t ON j.command = t.said"
+HOPS = "SELECT DISTINCT run_id, label, path[i] AS src, path[i + 1] AS dst FROM (SELECT run_id, label, path, unnest(generate_series(1, len(path) - 1)) AS i FROM casc)"
+GUESS = "SELECT h.run_id, h.label, h.src, h.dst FROM hops h JOIN e USING (run_id, src, dst) WHERE NOT e.base"
+NOTED = """SELECT run_id, label, sum(k)::BIGINT AS known, sum(p)::BIGINT AS plain, sum(u)::BIGINT AS unlinked, sum(g)::BIGINT AS guessed, string_agg(DISTINCT CAST(c AS VARCHAR), ',') AS seen, list_sort(list_distinct(list(c) FILTER (c IS NOT NULL))) AS candidates FROM (
+ SELECT run_id, label, (opaque AND targets)::INT AS k, (opaque AND NOT targets)::INT AS p, unlinked::INT AS u, 0 AS g, CASE WHEN opaque OR unlinked THEN node END AS c FROM onpath
+ UNION ALL SELECT run_id, label, 0, 0, 0, 1, NULL FROM guess
+ UNION ALL SELECT g.run_id, g.label, 0, 0, 0, 0, j.step_index FROM guess g JOIN j ON j.run_id = g.run_id AND j.step_index IN (g.src, g.dst) JOIN t ON j.command = t.said) GROUP BY run_id, label"""
+_NOTE = lambda n, noun: f"CASE WHEN {n} > 0 THEN {n} || ' {noun}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END END"
+_COVER = "concat_ws('; ', " + ", ".join(_NOTE(n, noun) for n, noun in zip(("known", "plain", "unlinked", "guessed"), NOTES)) + ")"
+WHERE = f"""SELECT b.run_id, b.breaking_step, fl.gate AS breaking_gate, coalesce(string_agg(CAST(b.step_index AS VARCHAR), ',' ORDER BY b.step_index) FILTER (b.step_index <> b.breaking_step), '') AS cascade,
+ CASE WHEN any_value(known + plain + unlinked + guessed) > 0 THEN 'LOW' ELSE 'HIGH' END AS confidence, CASE WHEN any_value(known + plain + unlinked + guessed) > 0 THEN any_value({_COVER}) || ' on path' ELSE 'structured path' END AS coverage,
+ coalesce(array_to_string(any_value(candidates), ','), '') AS candidates
+ FROM b JOIN fl ON fl.run_id = b.run_id AND fl.step_index = b.breaking_step LEFT JOIN noted ON noted.run_id = b.run_id AND noted.label = b.breaking_step GROUP BY b.run_id, b.breaking_step, fl.gate"""
+PATHS = {"down": DOWN, "part": PART, "inside": INNER, "walks": WALKS, "far": FAR, "best": BEST, "casc": CASC, "onpath": ON, "hops": HOPS, "guess": GUESS, "noted": NOTED, "w": WHERE}
+
 #: The canonical payload of an activity of this journal.
 CANON = """SELECT *, '{"inputs":' || inputs_json || ',"kind":"' || kind || '","outputs":' || outputs_json || ',"parent_step":' || coalesce(CAST(parent_step AS VARCHAR), 'null') || ',"run_id":"' || run_id || '","step_index":' || step_index
  || ',"target":' || coalesce('"' || target || '"', 'null') || ',"tool_name":' || coalesce('"' || tool_name || '"', 'null') || ',"ts":"' || ts || '"}' AS canonical FROM j"""
@@ -119,4 +144,4 @@ def injected(body: str) -> str:
     return with_(body, j=S, **first, cl=CLEAN, el0=ELIGIBLE, el="SELECT * FROM el0 WHERE run_id IN (SELECT run_id FROM cl)", s=sample(1000, 3), m=MUTATED, **again, o=OUTCOMES)
 
 
-__all__ = ["BROKEN", "CANON", "CHAIN", "ELIGIBLE", "GRAPH", "H", "J", "S", "gates", "injected", "sample", "with_"]
+__all__ = ["BROKEN", "PATHS", "CANON", "CHAIN", "ELIGIBLE", "GRAPH", "H", "J", "S", "gates", "injected", "sample", "with_"]

@@ -1,7 +1,5 @@
 """Gates, shell targets, localization and scoring on small hand-made runs."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,37 +86,6 @@ def test_localize(spark):
     assert found(spark, ok, test("2 passed", 0)) == []
 
 
-def test_claims_and_paths_against_search():
-    rng = random.Random(2)
-    for _ in range(300):
-        n = rng.randrange(2, 9)
-        step = lambda i: {"step_index": i, "parent_step": rng.choice([None, *range(n)]), "refs": [{"file": f, "produces": rng.random() < 0.5, "base": False, "base_produces": False} for f in "abc" if rng.random() < 0.3]}
-        steps = [step(i) for i in range(n)]
-        links = localize.Links(steps)
-        touches = lambda i, made: {r["file"] for r in steps[i]["refs"] if r["produces"] or not made}
-        children = {i: sorted(c for c in range(n) if steps[c]["parent_step"] == i or i < c and touches(i, True) & touches(c, False)) for i in range(n)}
-        failing = sorted(rng.sample(range(n), rng.randrange(1, n)))
-
-        def reach(a):
-            seen, stack = set(), [a]
-            while stack:
-                x = stack.pop()
-                if x not in seen:
-                    seen.add(x)
-                    stack += children[x]
-            return seen
-
-        assert localize.claims(failing, links) == {f: min(g for g in failing if f in reach(g)) for f in failing}
-        level, best = [(0,)], {0: (0,)}
-        while level:
-            more = sorted({(*p, c) for p in level for c in children[p[-1]] if c not in best})
-            for p in more:
-                best.setdefault(p[-1], p)
-            level = [p for p in more if best[p[-1]] == p]
-        before = localize.paths(0, links)
-        assert set(before) == set(best) and all(tuple(localize.path_to(g, 0, before)) == p for g, p in best.items() if g)
-
-
 def test_metamorphic(spark):
     """Neither partitions, nor row order, nor other runs matter; a fault does."""
     steps = [write("a", "x"), edit("a", "x", "y", 0), test("2 passed", 1), edit("a", "y", "w", 2)]
