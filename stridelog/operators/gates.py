@@ -1,7 +1,7 @@
 """The three checks of every step: schema, edit applies, test result.
 
 Each takes activities and returns run_id, pos, step_index, gate, status, evidence.
-G1 and G3 are expressions; G2 is one ordered fold per run and file.
+G1 and G3 are expressions; G2 is one ordered pass per run and file.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .passes import in_order
+
 # What a normalized, lower-cased test output must show, on any line.
 FAIL_SIGNALS = [
     r"\b[1-9]\d*\s+failed\b",
@@ -80,31 +82,42 @@ def g1(activities: DataFrame) -> DataFrame:
     return _result(activities, "G1", status, evidence)
 
 
-def _edit(state: Column, fragments: Column) -> Column:
-    """Apply fragments one after another: (content, first complaint). Content moves only if all apply."""
-
-    def one(acc: Column, x: Column) -> Column:
-        old, new, text = x["old_string"], x["new_string"], acc["text"]
-        found = (F.length(text) - F.length(F.replace(text, old, F.lit("")))) / F.length(old)
-        n = acc["n"] + 1
-        complaint = (
-            F.when(old.isNull() | new.isNull(), F.concat(F.lit("edit "), n.cast("string"), F.lit(" malformed")))
-            .when(old == "", F.concat(F.lit("edit "), n.cast("string"), F.lit(" empty old_string")))
-            .when(found == 0, F.concat(F.lit("edit "), n.cast("string"), F.lit(" old_string not found")))
-            .when(found > 1, F.concat(F.lit("edit "), n.cast("string"), F.lit(" old_string ambiguous")))
-        )
-        said = F.coalesce(acc["bad"], complaint)
-        return F.struct(F.when(said.isNull(), F.replace(text, old, new)).otherwise(text).alias("text"), n.alias("n"), said.alias("bad"))
-
-    return F.aggregate(fragments, F.struct(state.alias("text"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("bad")), one)
+def _apply(text: str, fragments: list[dict]) -> tuple[str, str | None]:
+    """``text`` after all fragments, one after another, and the first complaint. Content moves only if all apply."""
+    now = text
+    for n, x in enumerate(fragments, 1):
+        old, new = x["old_string"], x["new_string"]
+        if old is None or new is None:
+            return text, f"edit {n} malformed"
+        if old == "":
+            return text, f"edit {n} empty old_string"
+        if (found := now.count(old)) != 1:
+            return text, f"edit {n} old_string {'ambiguous' if found else 'not found'}"
+        now = now.replace(old, new)
+    return now, None
+
+
+def _judge_edit(state: str | None, run_id: str, file_path: str, pos: int, step_index: int, write: bool, content: str | None, fragments: list[dict] | None) -> tuple[str | None, tuple]:
+    """The file's content after an edit (none before a full write anchors it), and the edit's result."""
+    if write:
+        said = ("FAIL", "write malformed: missing content") if content is None else ("PASS", "full-content anchor established")
+        state = state if content is None else content
+    elif not fragments:
+        said = "FAIL", "file_edit malformed: missing edit fragments"
+    elif state is None:
+        said = "NA", "no full-content anchor"
+    else:
+        state, bad = _apply(state, fragments)
+        said = ("FAIL", bad) if bad else ("PASS", "old_string matched uniquely" if len(fragments) == 1 else f"{len(fragments)} edits matched uniquely")
+    return state, (run_id, pos, step_index, *said)
 
 
 def g2(activities: DataFrame) -> DataFrame:
     """Do edits apply to the content that earlier steps of the run established?
 
-    Edits of one file of a run fold in order over the file's content; the fold's
-    state is null until a full write anchors it. Steps that are no edit, or whose
-    own fields already decide, never reach the fold.
+    Edits of one file of a run pass in order over the file's content, which is all
+    that is carried. Steps that are no edit, or whose own fields already decide,
+    never reach the pass.
     """
     is_edit, path = F.col("kind") == "file_edit", F.col("file_path")
     write = (F.coalesce(F.col("tool_name"), F.lit("")) == "Write") | F.coalesce("write_mode", F.lit(False))
@@ -112,25 +125,8 @@ def g2(activities: DataFrame) -> DataFrame:
     many = F.coalesce("edits_is_list", F.lit(False)) & (F.col("tool_name") == "MultiEdit")
     fragments = F.when(many, F.col("edits")).otherwise(single)
     rows = activities.where(is_edit & (F.coalesce(path, F.lit("")) != "")).select("run_id", "file_path", "pos", "step_index", write.alias("write"), F.col("new_string").alias("content"), fragments.alias("fragments"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "step_index", "write", "content", "fragments")))
-
-    def step(acc: Column, x: Column) -> Column:
-        state = acc["state"]
-        n = F.size(x["fragments"])
-        tried = _edit(state, x["fragments"])
-        status = F.when(x["write"], F.when(x["content"].isNull(), "FAIL").otherwise("PASS")).when(n == 0, "FAIL").when(state.isNull(), "NA").when(tried["bad"].isNotNull(), "FAIL").otherwise("PASS")
-        evidence = (
-            F.when(x["write"], F.when(x["content"].isNull(), "write malformed: missing content").otherwise("full-content anchor established"))
-            .when(n == 0, "file_edit malformed: missing edit fragments")
-            .when(state.isNull(), "no full-content anchor")
-            .otherwise(F.coalesce(tried["bad"], F.when(n == 1, F.lit("old_string matched uniquely")).otherwise(F.concat(n.cast("string"), F.lit(" edits matched uniquely")))))
-        )
-        moved = F.when(x["write"], F.coalesce(x["content"], state)).when((n > 0) & state.isNotNull() & tried["bad"].isNull(), tried["text"]).otherwise(state)
-        return F.struct(moved.alias("state"), F.array_append(acc["out"], F.struct(x["pos"].alias("pos"), x["step_index"].alias("step_index"), status.alias("status"), evidence.alias("evidence"))).alias("out"))
-
-    empty = F.struct(F.lit(None).cast("string").alias("state"), F.array().cast("array<struct<pos:int,step_index:int,status:string,evidence:string>>").alias("out"))
-    folded = rows.groupBy("run_id", "file_path").agg(ordered.alias("steps")).select("run_id", F.explode(F.aggregate("steps", empty, step)["out"]).alias("r"))
-    judged = folded.select("run_id", "r.pos", "r.step_index", F.lit("G2").alias("gate"), "r.status", "r.evidence")
+    judged = in_order(rows, ["run_id", "file_path"], ["pos", "step_index"], _judge_edit, lambda: None, "run_id string, pos int, step_index int, status string, evidence string")
+    judged = judged.select("run_id", "pos", "step_index", F.lit("G2").alias("gate"), "status", "evidence")
     rest = activities.where(~is_edit | (F.coalesce(path, F.lit("")) == ""))
     other = _result(rest, "G2", F.when(is_edit, "FAIL").otherwise("NA"), F.when(is_edit, "file_edit malformed: missing file_path").otherwise("not a file_edit"))
     return judged.unionByName(other)

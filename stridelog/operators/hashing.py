@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .passes import in_order
+
 GENESIS = "0" * 64
 
 
@@ -34,18 +38,16 @@ def _record(hashed: Column, canonical: Column, prev: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"activity":'), activity, F.lit(',"prev_hash":"'), prev, F.lit('"}')), 256)
 
 
-def chain(activities: DataFrame) -> DataFrame:
-    """run_id, pos, content_hash, prev_hash, record_hash: each record seals the one before."""
-    rows = activities.select("run_id", "pos", payload(activities).alias("canonical")).withColumn("content_hash", F.sha2("canonical", 256))
-    lists = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "content_hash", "canonical"))).alias("steps"))
-    kind = "array<struct<pos:int,content_hash:string,prev_hash:string,record_hash:string>>"
+def _seal(last: str, run_id: str, pos: int, canonical: str, hashed: str) -> tuple[str, tuple]:
+    """The next hash of a chain, and the record: as ``_record``, which checks single records."""
+    sealed = sha256(f'{{"activity":{{"content_hash":"{hashed}",{canonical[1:]},"prev_hash":"{last}"}}'.encode()).hexdigest()
+    return sealed, (run_id, pos, hashed, last, sealed)
 
-    def step(acc: Column, x: Column) -> Column:
-        sealed = _record(x["content_hash"], x["canonical"], acc["last"])
-        return F.struct(sealed.alias("last"), F.array_append(acc["out"], F.struct(x["pos"].alias("pos"), x["content_hash"].alias("content_hash"), acc["last"].alias("prev_hash"), sealed.alias("record_hash"))).alias("out"))
 
-    folded = F.aggregate("steps", F.struct(F.lit(GENESIS).alias("last"), F.array().cast(kind).alias("out")), step)
-    return lists.select("run_id", F.explode(folded["out"]).alias("r")).select("run_id", "r.*")
+def chain(activities: DataFrame) -> DataFrame:
+    """run_id, pos, content_hash, prev_hash, record_hash: each record seals the one before, in one ordered pass."""
+    rows = activities.select("run_id", "pos", payload(activities).alias("canonical")).withColumn("content_hash", F.sha2("canonical", 256))
+    return in_order(rows, ["run_id"], ["pos"], _seal, lambda: GENESIS, "run_id string, pos int, content_hash string, prev_hash string, record_hash string")
 
 
 def verify(activities: DataFrame, records: DataFrame) -> DataFrame:
