@@ -7,10 +7,13 @@ never sees that text: it says from the events what the activities are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..scratch import new_folder
+from ..sources import files, journals
+from . import journal
+from . import oracle as o
 
 #: A user's events in order, each with the number in its properties.
 _ORDERED = "SELECT user_id, event_id, event_type AS t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}"
@@ -99,6 +102,31 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("run_id", "step_index", "kind", "parent_step", F.get_json_object(said, "$.content_length").cast("bigint").alias("content_length"), F.get_json_object(said, "$.content_hash").alias("content_hash"))
 
 
+#: What befalls a user's journal, by the user's number: a changed record, a lost one, a line that is no JSON, one that is no record (after a blank line), a lost end, which none can see.
+_HARM = """CASE WHEN u = 1 AND pos = 1 THEN replace(value, '"ts":"', '"ts":"x') WHEN u = 2 AND pos = 1 THEN NULL WHEN u = 3 AND pos = 2 THEN '{oops' WHEN u = 4 AND pos = 1 THEN concat('\n', replace(value, '"record_hash"', '"seal"')) WHEN u = 5 AND pos = last THEN NULL ELSE value END"""
+_STEPS = ("pos", "step_index", "kind", "tool_name", "target", "parent_step", "inputs_json", "outputs_json", "content_hash", "file_path", "command", "exit_code", "test_text")
+
+
+def journal_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of journals, one of each user, some of them harmed."""
+    lines = files.journal_lines(journal.events_journal(spark, sf_dir)).withColumn("u", F.regexp_extract("run_id", "([0-9]+)$", 1).cast("bigint") % 6).withColumn("last", F.max("pos").over(Window.partitionBy("run_id")))
+    folder = new_folder(spark)
+    lines.withColumn("value", F.expr(_HARM)).where("value IS NOT NULL").repartition("run_id").sortWithinPartitions("run_id", "pos").select("run_id", "value").write.partitionBy("run_id").text(folder)
+    return folder
+
+
+def read_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of journals that hold, and why the others do not."""
+    found = journals.read_journals(spark, journal_files(spark, sf_dir), strict=False)
+    return found.select(F.regexp_extract("path", "run_id=([^/]+)/", 1).alias("run_id"), "error", *[F.col(f"activity.{c}").alias(c) for c in _STEPS], "record_hash")
+
+
+JOURNAL_SQL = o.with_(
+    f"""SELECT run_id, NULL AS error, {", ".join(f"n.{c}" for c in _STEPS)}, record_hash FROM n WHERE u IN (0, 5) AND (u <> 5 OR pos <> last)
+ UNION ALL SELECT run_id, CASE u WHEN 1 THEN 'record_hash mismatch at record 1' WHEN 2 THEN 'prev_hash mismatch at record 1' WHEN 3 THEN 'line 3: invalid JSON' ELSE 'line 3: not a journal record' END, {", ".join("NULL" for _ in _STEPS)}, NULL FROM n WHERE u IN (1, 2, 3, 4) AND pos = 0""",
+    j=o.J, c=o.CANON, k=o.CHAIN, n="SELECT c.* REPLACE (coalesce(test_text, '') AS test_text), k.content_hash, k.record_hash, CAST(regexp_extract(run_id, '([0-9]+)$', 1) AS BIGINT) % 6 AS u, max(pos) OVER (PARTITION BY run_id) AS last FROM c JOIN k USING (run_id, pos)",
+)
+
 _E = "e AS (" + _ORDERED.replace("{events}", "events") + ")"
 _IN, _BEFORE = "OVER (PARTITION BY user_id ORDER BY pos)", "OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _CALL = "OVER (PARTITION BY user_id, k % 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -162,5 +190,5 @@ FENCED_SQL = _history_sql(
 CHAT_SQL = """SELECT 'conv-' || conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step_index, CASE WHEN role = 'user' THEN 'user_msg' WHEN role = 'assistant' THEN 'unmapped' ELSE 'llm_call' END AS kind,
  CAST(CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2 END AS INT) AS parent_step, coalesce(length(text), 0) AS content_length, coalesce(sha256(text), '') AS content_hash FROM conversations"""
 
-QUERIES = {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat}
-SQL = {"read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL}
+QUERIES = {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat, "read_journal": read_journal}
+SQL = {"read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL, "read_journal": JOURNAL_SQL}

@@ -47,6 +47,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name below the shared folder for what is not a table; ``clear`` deletes it too."""
+    path = f"{scratch_dir(spark)}/stridelog-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     _delete(df.sparkSession, df.written_to)

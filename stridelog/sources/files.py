@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hashing
-from . import calls, histories, linked, linking, recording
+from . import calls, histories, journals, linked, linking
 
 HISTORIES = ("action", "editor", "fenced", "chat")
 FORMATS = ("auto", "journal", "calls", "linked", *HISTORIES)
@@ -63,18 +63,15 @@ def parse_journal(path: str, text: str) -> list[dict]:
     rows, last = [], hashing.GENESIS
     for number, record in enumerate(parse_lines(path, text)):
         try:
-            a, prev, sealed = record["activity"], record["prev_hash"], record["record_hash"]
-            step = {"step": int(a["step_index"]), "kind": str(a["kind"]), "parent": a.get("parent_step"), "ts": str(a.get("ts", "")), "tool": a.get("tool_name"), "target": a.get("target"), "inputs": dict(a.get("inputs") or {}), "outputs": dict(a.get("outputs") or {})}
-            own = recording.row(str(a["run_id"]), "journal", step) | {"pos": number}
+            own, prev, sealed, want = journals.record_of(record)
         except (KeyError, TypeError) as e:
             raise ValueError(f"{path}: line {number + 1} is not a journal record") from e
-        fields = {"inputs": step["inputs"], "kind": step["kind"], "outputs": step["outputs"], "parent_step": step["parent"], "run_id": own["run_id"], "step_index": step["step"], "target": step["target"], "tool_name": step["tool"], "ts": step["ts"], "content_hash": own["content_hash"]}
         if prev != last:
             raise ValueError(f"{path}: prev_hash mismatch at record {number}")
-        if sealed != recording.digest(recording.canonical({"activity": fields, "prev_hash": prev})):
+        if sealed != want:
             raise ValueError(f"{path}: record_hash mismatch at record {number}")
         last = sealed
-        rows.append(own)
+        rows.append(own | {"pos": number})
     return rows
 
 
@@ -117,9 +114,12 @@ _READERS = {"calls": calls.activities, "linked": linked.activities} | {d: partia
 
 
 def read_files(spark: SparkSession, paths: str | list[str], form: str = "auto", glob: str | None = None, strict: bool = True) -> DataFrame:
-    """path, error, activity. If not strict, a file that fails is one row with its error's type."""
+    """path, error, activity. If not strict, a file that fails is one row with its error's type. Files known to be journals are read by ranges of lines."""
     if form not in FORMATS:
         raise ValueError(f"unknown format: {form}")
+    if form == "journal":
+        found = journals.read_journals(spark, paths, strict, glob).drop("record_hash")
+        return found if strict else found.withColumn("error", F.when(F.col("error").isNotNull(), "ValueError"))
     files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), "value")
     return read_texts(files, form, strict)
 
