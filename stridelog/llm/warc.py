@@ -26,7 +26,7 @@ from .shared import table
 #: Pages of this table carry no date of their own.
 DATE = "1970-01-01T00:00:00Z"
 _BLOCK = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: From markup to text, in order; what is plain text is replaced without a regex.
+#: From markup to text, in order: the meaning.
 MARKUP = [
     (r"(?s)<!--.*?-->", ""),
     (r"(?is)<script[^>]*>.*?</script[^>]*>", ""),
@@ -34,6 +34,18 @@ MARKUP = [
     (rf"(?i)</?(?:{_BLOCK})(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[/!?A-Za-z][^>]*>", ""),
 ]
+def _to_the_end(pattern: str, by: str, rest: str) -> tuple[str, str]:
+    """The same replacement, linear where markup is broken.
+
+    Where an opening finds no end, no later one does: what would end a later one would
+    end this one too. So ``rest`` takes everything up to the end of the text at once and
+    puts it back, instead of a search to the end from every opening.
+    """
+    return f"{pattern}|({rest})", f"$1{by}"
+
+
+#: How it is done. The line end that a cut-off block tag at the end would add goes when the text is trimmed.
+_LINEAR = [_to_the_end(p, by, rest) for (p, by), rest in zip(MARKUP, ("<!--.*", "<script.*", "<style.*", rf"</?(?:{_BLOCK})[ \t\r\n/][^>]*\z", r"<[/!?A-Za-z][^>]*\z"), strict=True)]
 #: A character reference: decimal, hexadecimal or by name.
 REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});"
 #: Names of the standard library's table, and what text makes of them.
@@ -65,7 +77,7 @@ def decoded(x: Column) -> Column:
 
 
 def text_of_markup(html: Column) -> Column:
-    for pattern, by in MARKUP:
+    for pattern, by in _LINEAR:
         html = F.regexp_replace(html, pattern, by)
     html = decoded(html)
     for pattern, by in BLANKS:
@@ -73,6 +85,11 @@ def text_of_markup(html: Column) -> Column:
     return F.btrim(html, F.lit(" \n"))
 
 
+def _attribute(html: Column, pattern: str, tag: str) -> Column:
+    """All values of ``pattern``, which looks for them within ``tag``. A tag without one is passed over whole: a later opening before its end would find none either."""
+    return F.filter(F.regexp_extract_all(html, F.lit(f"{pattern}|{tag}[^>]*"), F.lit(1)), lambda x: x != "")
+
+
 def _id(kind: str, *parts: Column) -> Column:
     h = F.sha2(F.concat_ws("|", F.lit(kind), *parts).cast("binary"), 256)
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
@@ -98,9 +115,10 @@ def derive(source: DataFrame) -> DataFrame:
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit(_LINE))).otherwise("")
     one_line = lambda c: F.regexp_replace(c, "[\r\n]+", " ")
     value = lambda c: one_line(decoded(F.regexp_replace(c, _QUOTES, "")))
-    links = F.array_join(F.transform(F.regexp_extract_all(payload, F.lit(OUTLINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), value(x), F.lit(" L a/@href" + _LINE))), "")
+    links = F.array_join(F.transform(_attribute(payload, OUTLINK, r"<a\s"), lambda x: F.concat(F.lit("outlink: "), value(x), F.lit(" L a/@href" + _LINE))), "")
+    first = lambda pattern, tag: F.coalesce(F.get(_attribute(payload, pattern, tag), F.lit(0)), F.lit(""))
     meta = F.concat(
-        field("title", one_line(text_of_markup(F.regexp_extract(payload, TITLE, 1)))), field("language", value(F.regexp_extract(payload, LANGUAGE, 1))), field("charset", F.regexp_extract(payload, CHARSET, 1)),
+        field("title", one_line(text_of_markup(F.regexp_extract(payload, f"{TITLE}|<title.*", 1)))), field("language", value(first(LANGUAGE, "<html"))), field("charset", first(CHARSET, "<meta")),
         F.concat(F.lit("source-digest: "), F.col("payload_digest"), F.lit(_LINE)),
         F.regexp_replace("http_headers", "([^\r\n]+)\r\n", "source-header: $1\r\n"), links,
     )

@@ -1,8 +1,10 @@
 """Derivatives of responses, by hand and against DuckDB."""
 
 import hashlib
+import time
 
 import duckdb
+import pytest
 
 from stridelog.llm import warc
 
@@ -52,3 +54,26 @@ def test_references_and_quoting(spark):
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.execute("INSERT INTO pages VALUES (1, 'u', ?)", [html])
     assert sorted(r.record for r in warc.serialized(got).collect()) == sorted(r[0] for r in con.sql(f"SELECT record FROM ({warc.SQL})").fetchall())
+
+
+BROKEN = ["<script>x", "<!-- x", "<style>y", "<a b ", "<a href=x ", "<p ", "<div/", "<title>t", "<title ", "<html ", "<html lang ", "<meta ", "<meta charset ", "<script", "<", "<!", "&amp", "<a\thref='", '<html lang="', "<!-- --", "</script", "</p x"]
+ENDS = ["", ">", "</script>", "-->", "</style>", "</title>", " lang='de'>", "'>", '">end', "\n<p>end"]
+
+
+def test_broken_markup_means_the_same(spark):
+    """Every opening, closed late or never, against DuckDB's reading of the same patterns."""
+    pages = [(i, "u", html) for i, html in enumerate([f"before {x * 3}{y} after" for x in BROKEN for y in ENDS] + [f"{x}{y}{z}" for x in BROKEN for y in ENDS[1:5] for z in BROKEN])]
+    got = warc.serialized(warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string")))).select("page_id", "warc_type", "record")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT page_id, warc_type, record FROM ({warc.SQL})").fetchall())
+
+
+@pytest.mark.parametrize("opening", BROKEN)
+def test_a_megabyte_of_broken_markup(spark, opening):
+    for end in ("", "</script>"):
+        html = opening * (1_000_000 // len(opening)) + end
+        began = time.perf_counter()
+        assert made(spark, [(1, "u", html, "", "")]).agg({"content_length": "sum"}).first()[0] is not None
+        assert time.perf_counter() - began < 10
