@@ -75,7 +75,8 @@ class _Words:
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _parts(self, keys: list[str]) -> list[bytes]:
-        found = [self.simple.fullmatch(k) for k in keys]
+        # letters of both tables only: the pattern's is of a newer Unicode than the library's
+        found = [m if m and m[1].isalpha() else None for m in map(self.simple.fullmatch, keys)]
         words = self.words.of([m[1].lower() if m[1].isascii() else m[1] for m in found if m])
         marks = self.other.of([m[2] if m else k for m, k in zip(found, keys, strict=True)])
         words.reverse()
@@ -190,7 +191,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_P
         if not n and r:
             return _union(done, left)
         parts = max(1, -(-n // per_partition))
-        dealt = left.repartition(parts, F.xxhash64("doc_id", "piece", F.lit(r)))
+        # rows of one id, or alike in all columns, go to different partitions too
+        salted = left.withColumn("salt", F.monotonically_increasing_id())
+        dealt = salted.repartition(parts, F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt", F.lit(r)))
         placed = materialize(dealt.select(*columns).mapInPandas(_pack(r, capacity), _PLACED))
         bins = placed.agg(F.sum("bins").alias("all"), F.sum(F.when(~F.col("final"), F.col("bins"))).alias("open")).first()
         if open_bins is not None and (bins["all"] or 0) >= open_bins:

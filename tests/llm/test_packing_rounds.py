@@ -1,6 +1,11 @@
 """Rounds of packing."""
 
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from stridelog.llm import packing
+from stridelog.llm.shared import materialize
 
 
 def test_rounds_go_on_while_they_save_bins(spark, monkeypatch):
@@ -27,3 +32,23 @@ def test_bins_against_the_bound(spark):
     out = packing.pack(pieces, 100, per_partition=30)
     bins, bound = packing.bins_and_bound(out, 100)
     assert bins == out.select("sequence_id").distinct().count() >= bound > 0
+
+
+def test_every_code_point_like_the_library():
+    """Each followed by a mark, and after a letter: letters are those of the library's own table."""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = packing._Words("word_bpe_49k.json")
+    for at in range(1, 0x20000, 1000):
+        texts = [f"{c}! a{c}b?" for c in map(chr, range(at, min(at + 1000, 0x20000))) if not 0xD800 <= ord(c) < 0xE000]
+        want = [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [words.encode(x) for x in texts] == want
+
+
+def test_many_rows_alike(spark):
+    """100,000 null ids of one text: dealt over all partitions, none takes them all."""
+    pieces = materialize(spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", "0L AS start", "700L AS length", "1L AS ids_crc32"))
+    out = packing.pack(pieces, 2048, per_partition=10_000)
+    sizes = out.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert out.count() == 100_000 and max(r[1] for r in sizes) <= 2048 and len(sizes) <= 50_010
+    of_partition = out.selectExpr(f"(sequence_id >> {packing._BIN_BITS}) & {(1 << packing._PARTITION_BITS) - 1} AS p").groupBy("p").count().collect()
+    assert len(of_partition) == 10 and max(r[1] for r in of_partition) < 12_000
