@@ -34,18 +34,18 @@ MARKUP = [
     (rf"(?i)</?(?:{_BLOCK})(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[/!?A-Za-z][^>]*>", ""),
 ]
-def _to_the_end(pattern: str, by: str, rest: str) -> tuple[str, str]:
-    """The same replacement, linear where markup is broken.
+def _to_the_end(opening: str, more: str) -> tuple[str, str]:
+    """Replaces by nothing, linear where markup is broken.
 
     Where an opening finds no end, no later one does: what would end a later one would
-    end this one too. So ``rest`` takes everything up to the end of the text at once and
-    puts it back, instead of a search to the end from every opening.
+    end this one too. So it takes everything up to the end of the text at once and puts
+    it back, instead of a search to the end from every opening.
     """
-    return f"{pattern}|({rest})", f"$1{by}"
+    return f"(?is){opening}(?:{more}|(?<=({opening}))(.*))", "$1$2"
 
 
-#: How it is done. The line end that a cut-off block tag at the end would add goes when the text is trimmed.
-_LINEAR = [_to_the_end(p, by, rest) for (p, by), rest in zip(MARKUP, ("<!--.*", "<script.*", "<style.*", rf"</?(?:{_BLOCK})[ \t\r\n/][^>]*\z", r"<[/!?A-Za-z][^>]*\z"), strict=True)]
+#: How the first three are done.
+_LINEAR = [_to_the_end("<!--", ".*?-->"), _to_the_end("<script", "[^>]*>.*?</script[^>]*>"), _to_the_end("<style", "[^>]*>.*?</style[^>]*>")]
 #: A character reference: decimal, hexadecimal or by name.
 REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});"
 #: Names of the standard library's table, and what text makes of them.
@@ -53,8 +53,10 @@ NAMED = {name: chr(n) for name, n in sorted(name2codepoint.items())} | {"apos":
 #: A single blank is left as it stands.
 BLANKS = [(r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " "), (r" \n[ \n]*|\n[ \n]+", "\n")]
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-TITLE, LANGUAGE, CHARSET = r"(?is)<title[^>]*>(.*?)</title", rf"(?i)<html[^>]*\slang\s*=\s*{_VALUE}", r"""(?i)<meta[^>]* charset=["']?([A-Za-z0-9_-]+)"""
-OUTLINK = rf"(?i)<a\s[^>]*?\bhref\s*=\s*{_VALUE}"
+#: A title up to its end, or up to the text's end if it has none.
+TITLE = r"(?is)<title(?:[^>]*>(.*?)</title|.*)"
+#: Tags and what comes before and in an attribute's value.
+LANGUAGE, CHARSET, OUTLINK = ("<html", rf"[^>]*\slang\s*=\s*{_VALUE}"), ("<meta", r"""[^>]* charset=["']?([A-Za-z0-9_-]+)"""), (r"<a\s", rf"[^>]*?\bhref\s*=\s*{_VALUE}")
 _QUOTES = """^["']|["']$"""
 _LINE = "\r\n"
 
@@ -79,15 +81,25 @@ def decoded(x: Column) -> Column:
 def text_of_markup(html: Column) -> Column:
     for pattern, by in _LINEAR:
         html = F.regexp_replace(html, pattern, by)
+    for pattern, by in MARKUP[len(_LINEAR) :]:
+        # no tag ends after the last >: up to there every opening finds its end
+        after = F.substring_index(html, ">", -1)
+        html = F.concat(F.regexp_replace(F.left(html, F.length(html) - F.length(after)), pattern, by), after)
     html = decoded(html)
     for pattern, by in BLANKS:
         html = F.regexp_replace(html, pattern, by)
     return F.btrim(html, F.lit(" \n"))
 
 
-def _attribute(html: Column, pattern: str, tag: str) -> Column:
-    """All values of ``pattern``, which looks for them within ``tag``. A tag without one is passed over whole: a later opening before its end would find none either."""
-    return F.filter(F.regexp_extract_all(html, F.lit(f"{pattern}|{tag}[^>]*"), F.lit(1)), lambda x: x != "")
+def _values(html: Column, tag: str, attribute: str) -> Column:
+    """Values of an attribute within tags. A tag without one is passed over whole: a later opening before its end would find none either."""
+    return F.filter(F.regexp_extract_all(html, F.lit(f"(?i){tag}(?:{attribute}|[^>]*)"), F.lit(1)), lambda x: x != "")
+
+
+def _first_value(html: Column, tag: str, attribute: str) -> Column:
+    """Of most pages the first tag has it; others are read to their end."""
+    first = F.regexp_extract(html, f"(?i){tag}(?:{attribute}|[^>]*)", 1)
+    return F.coalesce(F.nullif(first, F.lit("")), F.get(_values(html, tag, attribute), F.lit(0)), F.lit(""))
 
 
 def _id(kind: str, *parts: Column) -> Column:
@@ -115,10 +127,9 @@ def derive(source: DataFrame) -> DataFrame:
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit(_LINE))).otherwise("")
     one_line = lambda c: F.regexp_replace(c, "[\r\n]+", " ")
     value = lambda c: one_line(decoded(F.regexp_replace(c, _QUOTES, "")))
-    links = F.array_join(F.transform(_attribute(payload, OUTLINK, r"<a\s"), lambda x: F.concat(F.lit("outlink: "), value(x), F.lit(" L a/@href" + _LINE))), "")
-    first = lambda pattern, tag: F.coalesce(F.get(_attribute(payload, pattern, tag), F.lit(0)), F.lit(""))
+    links = F.array_join(F.transform(_values(payload, *OUTLINK), lambda x: F.concat(F.lit("outlink: "), value(x), F.lit(" L a/@href" + _LINE))), "")
     meta = F.concat(
-        field("title", one_line(text_of_markup(F.regexp_extract(payload, f"{TITLE}|<title.*", 1)))), field("language", value(first(LANGUAGE, "<html"))), field("charset", first(CHARSET, "<meta")),
+        field("title", one_line(text_of_markup(F.regexp_extract(payload, TITLE, 1)))), field("language", value(_first_value(payload, *LANGUAGE))), field("charset", _first_value(payload, *CHARSET)),
         F.concat(F.lit("source-digest: "), F.col("payload_digest"), F.lit(_LINE)),
         F.regexp_replace("http_headers", "([^\r\n]+)\r\n", "source-header: $1\r\n"), links,
     )
@@ -167,9 +178,9 @@ def _sql() -> str:
     uid = lambda h: "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
     extract = lambda p: f"regexp_extract(p, {said(p)}, 1)"
     value = lambda x: one(decoded(f"regexp_replace({x}, {said(_QUOTES)}, '', 'g')"))
-    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(p, {said(OUTLINK)}, 1), lambda x: 'outlink: ' || {value('x')} || ' L a/@href' || {line}), ''), '')"
+    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(p, {said("(?i)" + "".join(OUTLINK))}, 1), lambda x: 'outlink: ' || {value('x')} || ' L a/@href' || {line}), ''), '')"
     headers = f"'source-header: HTTP/1.1 200 OK' || {line} || 'source-header: Content-Type: text/html; charset=utf-8' || {line} || 'source-header: Content-Length: ' || strlen(p) || {line}"
-    meta = " || ".join([field("title", one(text(extract(TITLE)))), field("language", value(extract(LANGUAGE))), field("charset", extract(CHARSET)), f"'source-digest: ' || d || {line}", headers, links])
+    meta = " || ".join([field("title", one(text(extract(r"(?is)<title[^>]*>(.*?)</title")))), field("language", value(extract("(?i)" + "".join(LANGUAGE)))), field("charset", extract("(?i)" + "".join(CHARSET))), f"'source-digest: ' || d || {line}", headers, links])
     names = "MAP {" + ", ".join(f"'{k}': chr({ord(v)})" for k, v in NAMED.items()) + "}"
     head = lambda name, x: f"'{name}: ' || {x} || {line}"
     record = " || ".join([
