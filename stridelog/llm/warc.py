@@ -16,6 +16,7 @@ records; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,11 @@ _QUOTES = """^["']|["']$"""
 _LINE = "\r\n"
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def decoded(x: Column) -> Column:
     """Character references replaced, each once; unknown names and impossible numbers stay."""
     names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
@@ -73,18 +79,24 @@ def decoded(x: Column) -> Column:
         number = F.when(known, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
         return F.coalesce(F.when(F.substring(e, 2, 1) == "#", number).otherwise(names[F.btrim(e, F.lit("&;"))]), e)
 
-    # arrays of one: their values are computed once
-    both = F.transform(F.array(x), lambda t: F.zip_with(F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), lambda gap, e: F.concat(gap, F.when(e.isNull(), F.lit("")).otherwise(character(e)))))
-    return F.when(F.contains(x, F.lit("&")), F.array_join(F.element_at(both, 1), "")).otherwise(x)
+    def replaced(t: Column) -> Column:
+        both = F.zip_with(F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), lambda gap, e: F.concat(gap, F.when(e.isNull(), F.lit("")).otherwise(character(e))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(both, "")).otherwise(t)
+
+    return _once(x, replaced)
+
+
+def _ended(html: Column, pattern: str, by: str) -> Column:
+    """A tag's replacement. No tag ends after the last >; up to there every opening finds its end, so that none is searched for in vain."""
+    split = lambda t: _once(F.substring_index(t, ">", -1), lambda after: F.concat(F.regexp_replace(F.left(t, F.length(t) - F.length(after)), pattern, by), after))
+    return _once(html, split)
 
 
 def text_of_markup(html: Column) -> Column:
     for pattern, by in _LINEAR:
         html = F.regexp_replace(html, pattern, by)
     for pattern, by in MARKUP[len(_LINEAR) :]:
-        # no tag ends after the last >: up to there every opening finds its end
-        after = F.substring_index(html, ">", -1)
-        html = F.concat(F.regexp_replace(F.left(html, F.length(html) - F.length(after)), pattern, by), after)
+        html = _ended(html, pattern, by)
     html = decoded(html)
     for pattern, by in BLANKS:
         html = F.regexp_replace(html, pattern, by)
@@ -99,7 +111,7 @@ def _values(html: Column, tag: str, attribute: str) -> Column:
 def _first_value(html: Column, tag: str, attribute: str) -> Column:
     """Of most pages the first tag has it; others are read to their end."""
     first = F.regexp_extract(html, f"(?i){tag}(?:{attribute}|[^>]*)", 1)
-    return F.coalesce(F.nullif(first, F.lit("")), F.get(_values(html, tag, attribute), F.lit(0)), F.lit(""))
+    return _once(first, lambda v: F.when(v != "", v).otherwise(F.coalesce(F.get(_values(html, tag, attribute), F.lit(0)), F.lit(""))))
 
 
 def _id(kind: str, *parts: Column) -> Column:
@@ -124,7 +136,7 @@ def derive(source: DataFrame) -> DataFrame:
     """Two records for each response: its metadata and its conversion."""
     payload = F.col("payload")
     text = text_of_markup(payload)
-    field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit(_LINE))).otherwise("")
+    field = lambda name, value: _once(value, lambda v: F.when(v != "", F.concat(F.lit(f"{name}: "), v, F.lit(_LINE))).otherwise(""))
     one_line = lambda c: F.regexp_replace(c, "[\r\n]+", " ")
     value = lambda c: one_line(decoded(F.regexp_replace(c, _QUOTES, "")))
     links = F.array_join(F.transform(_values(payload, *OUTLINK), lambda x: F.concat(F.lit("outlink: "), value(x), F.lit(" L a/@href" + _LINE))), "")
