@@ -86,18 +86,15 @@ def _reads(args: list[str]) -> Reading:
 def _ends(args: list[str]) -> Reading:
     """head and tail: -n N, -nN and -N are counts."""
 
-    def counts(a: str, b: str | None) -> bool:
-        if a == "-n" and not (b or "").isdigit():
+    files, counted = [], False
+    for a in args:
+        if counted and not a.isdigit():
             raise Unclear
-        return a == "-n"
-
-    loose = [a for a in args if not re.fullmatch(r"-n?\d+", a)]
-    files, rest = [], iter(range(len(loose)))
-    for i in rest:
-        if counts(loose[i], loose[i + 1] if i + 1 < len(loose) else None):
-            next(rest)
-        else:
-            files.append(loose[i])
+        if not (counted or a == "-n" or re.fullmatch(r"-n?\d+", a)):
+            files.append(a)
+        counted = a == "-n" and not counted
+    if counted:
+        raise Unclear
     return Reading(_paths(files), set())
 
 
@@ -117,7 +114,7 @@ def _copy(moves: bool) -> Callable[[list[str]], Reading]:
 
 
 def _sed(args: list[str]) -> Reading:
-    """Only in place does sed write; the first operand is its script unless -e gives one."""
+    """Only in place does sed write; its script is the first operand, unless -e gives one before it."""
     state = {"in_place": False, "script": False}
 
     def value(a: str, b: str | None) -> bool:
@@ -133,10 +130,12 @@ def _sed(args: list[str]) -> Reading:
         if a.startswith("-i"):
             state["in_place"] = True
             return True
-        return False
+        if a.startswith("-") or state["script"]:
+            return False
+        state["script"] = True
+        return True
 
     files = _operands(args, flag, value)
-    files = files if state["script"] else files[1:]
     if not state["in_place"] or not files:
         return Reading(set(), set())
     own = _paths(files)

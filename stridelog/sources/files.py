@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hashing
+from ..scratch import materialize
 from . import calls, histories, journals, linked, linking
 
 HISTORIES = ("action", "editor", "fenced", "chat")
@@ -145,6 +146,8 @@ def read_texts(files: DataFrame, form: str = "auto", strict: bool = True) -> Dat
                 yield pd.DataFrame(made, columns=names)
 
     told = files.select("path", "value").mapInPandas(run, _SPLIT)
+    if form == "auto":  # each form reads it
+        told = materialize(told)
     activity = linking.READ.split("activity ", 1)[1]
     out = told.where("error IS NOT NULL").select("path", "error", F.lit(None).cast(activity).alias("activity"))
     if form in ("auto", "journal"):

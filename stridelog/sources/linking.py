@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ACTIVITIES, COLUMNS
+from ..scratch import materialize
 from . import recording
 
 #: What readers take: a record is JSON text; ``run_id`` and ``url`` are the same for all records of a path.
@@ -47,7 +48,8 @@ def keyed(records: DataFrame, facts: Callable[..., dict], schema: str, *more: st
             yield pd.concat([pdf, made], axis=1)
 
     given = records.schema
-    return records.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given) + ", " + schema)
+    # read several times by what follows: parsed and written once
+    return materialize(records.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given) + ", " + schema))
 
 
 def resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
