@@ -23,6 +23,24 @@ def read_labels(labels: DataFrame, activities: DataFrame) -> DataFrame:
     return rows.select(F.col("run_id").alias("case_id"), "config", step.alias("expected_step"), F.lit(None).cast("string").alias("expected_gate"), why.alias("exclusion"))
 
 
+def label_set(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled histories in files (path, value) and their manifest: the runs' activities, and config, row_idx, run_id, expected_step, exclusion, claims of each file.
+
+    A file's own config and row_idx come before the manifest's; a row_idx that is no whole number does not count.
+    """
+    from ..sources.files import read_texts, with_manifest
+
+    said = lambda name: F.get_json_object("value", f"$.{name}")
+    listed = with_manifest(files.select("path"), manifest.select("local_path", F.col("config").alias("listed"), F.col("row_idx").cast("bigint").alias("nth")))
+    own = files.select("path", F.nullif(said("config"), F.lit("")).alias("config"), F.when(said("row_idx").rlike("^-?[0-9]{1,18}$"), said("row_idx").cast("bigint")).alias("row_idx"), said("row.mistake_step").alias("mistake_step"), F.coalesce(said("row"), F.lit("{}")).alias("value"))
+    rows = own.join(listed, "path").select("path", "value", "mistake_step", "claims", F.coalesce("config", "listed", F.lit("")).alias("config"), F.coalesce("row_idx", "nth", F.lit(0)).cast("bigint").alias("row_idx"))
+    rows = rows.withColumn("run_id", F.concat_ws(":", "config", F.col("row_idx").cast("string")))
+    read = read_texts(rows.select("path", "value"), "chat").select("path", "activity.*").drop("run_id").join(rows.select("path", "run_id"), "path")
+    activities = read.drop("path")
+    exact = read_labels(rows.select("run_id", "config", "mistake_step"), activities).select(F.col("case_id").alias("run_id"), "expected_step", "exclusion")
+    return activities, rows.select("config", "row_idx", "run_id", "claims").join(exact, "run_id")
+
+
 def score(labels: DataFrame, localizations: DataFrame) -> DataFrame:
     """A row per label; the gate does not count. Excluded ones have a coverage gap and no hit."""
     out = predictions(localizations, labels, use_gate=False)

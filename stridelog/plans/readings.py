@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import labels
 from ..scratch import new_folder
 from ..sources import files, journals
 from . import journal
@@ -127,6 +128,24 @@ JOURNAL_SQL = o.with_(
     j=o.J, c=o.CANON, k=o.CHAIN, n="SELECT c.* REPLACE (coalesce(test_text, '') AS test_text), k.content_hash, k.record_hash, CAST(regexp_extract(run_id, '([0-9]+)$', 1) AS BIGINT) % 6 AS u, max(pos) OVER (PARTITION BY run_id) AS last FROM c JOIN k USING (run_id, pos)",
 )
 
+def label_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a set of labelled files: some say their own number, some are listed twice, by a longer and a shorter path, or not at all."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    history = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    n = F.col("conv_id")
+    step = F.when(n % 7 == 0, F.concat(F.lit("x"), n.cast("string"))).otherwise((n % 9).cast("string"))
+    texts = rows.groupBy("conv_id").agg(history.alias("history")).select(n, F.to_json(F.struct(F.when((n % 3 == 0) | (n % 20 == 0), n + 1000).alias("row_idx"), F.struct("history", step.alias("mistake_step")).alias("row"))).alias("value"))
+    name = F.concat(F.lit("conv-"), n.cast("string"), F.lit(".json"))
+    listed = texts.select("conv_id", F.explode(F.filter(F.array(F.when(n % 4 != 0, F.struct(F.concat(F.lit("set/"), name).alias("p"), F.lit("long").alias("c"))), F.when(n % 5 != 0, F.struct(name.alias("p"), F.lit("short").alias("c")))), lambda x: x.isNotNull())).alias("l"))
+    manifest = listed.select(F.col("l.p").alias("local_path"), F.col("l.c").alias("config"), n.alias("row_idx"))
+    return labels.label_set(texts.select(F.concat(F.lit("/any/set/"), name).alias("path"), "value"), manifest)[1]
+
+
+LABELS_SQL = """SELECT *, config || ':' || row_idx AS run_id, CASE WHEN exclusion IS NULL THEN n % 9 END::INT AS expected_step FROM (
+ SELECT conv_id AS n, CASE WHEN conv_id % 4 <> 0 THEN 'long' WHEN conv_id % 5 <> 0 THEN 'short' ELSE '' END AS config, CASE WHEN conv_id % 3 = 0 OR conv_id % 20 = 0 THEN conv_id + 1000 ELSE conv_id END AS row_idx,
+  CASE WHEN conv_id % 4 <> 0 OR conv_id % 5 <> 0 THEN 1 ELSE 0 END::BIGINT AS claims, CASE WHEN conv_id % 7 = 0 THEN 'step not a number' WHEN conv_id % 9 >= count(*) THEN 'step out of range' END AS exclusion FROM conversations GROUP BY conv_id)"""
+LABELS_SQL = f"SELECT config, row_idx, run_id, claims, expected_step, exclusion FROM ({LABELS_SQL})"
+
 _E = "e AS (" + _ORDERED.replace("{events}", "events") + ")"
 _IN, _BEFORE = "OVER (PARTITION BY user_id ORDER BY pos)", "OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _CALL = "OVER (PARTITION BY user_id, k % 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -190,5 +209,5 @@ FENCED_SQL = _history_sql(
 CHAT_SQL = """SELECT 'conv-' || conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step_index, CASE WHEN role = 'user' THEN 'user_msg' WHEN role = 'assistant' THEN 'unmapped' ELSE 'llm_call' END AS kind,
  CAST(CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2 END AS INT) AS parent_step, coalesce(length(text), 0) AS content_length, coalesce(sha256(text), '') AS content_hash FROM conversations"""
 
-QUERIES = {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat, "read_journal": read_journal}
-SQL = {"read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL, "read_journal": JOURNAL_SQL}
+QUERIES = {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat, "read_journal": read_journal, "label_set": label_set}
+SQL = {"read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL, "read_journal": JOURNAL_SQL, "label_set": LABELS_SQL}

@@ -188,9 +188,18 @@ def count_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def with_manifest(activities_by_path: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files with what a manifest (written by hand: small) says of each; a path's end is its local_path."""
-    own = manifest.withColumn("at", F.concat(F.lit("/"), "local_path"))
-    return activities_by_path.join(F.broadcast(own), F.concat(F.lit("/"), activities_by_path["path"]).endswith(own["at"]), "left").drop("at")
+    """Files with what a manifest says of each: a path's end, from a folder's name on, is its local_path.
+
+    Ends are keys, so this is an equi-join of any two sizes. The longest local_path wins; ``claims`` says how many rows have it
+    (more than one: ambiguous, the row that is greatest as JSON stands; none: 0).
+    """
+    paths = activities_by_path.select("path").distinct()
+    parts = F.split("path", "/")
+    ends = paths.select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))).alias("cut", "local_path"))
+    said = manifest.select("local_path", F.struct(*[F.col(c) for c in manifest.columns]).alias("source")).withColumn("order", F.to_json("source"))
+    found = ends.join(said, "local_path").groupBy("path", "cut").agg(F.max_by("source", "order").alias("source"), F.count(F.lit(1)).alias("claims"))
+    own = found.groupBy("path").agg(F.min_by(F.struct("source", "claims"), "cut").alias("m"))
+    return activities_by_path.join(own, "path", "left").select(*activities_by_path.columns, "m.source.*", F.coalesce("m.claims", F.lit(0)).cast("bigint").alias("claims"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
