@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import gates, graph, hashing, inject, labels, localize, regexdiff, render, reports
+from .scratch import clear, materialize
 from .sources import files
 
+#: These go on past files that cannot be read, and say how many.
+TOLERANT = ("study", "accuracy")
 COMMANDS = ("demo", "ingest", "show", "localize", "replay", "eval", "scan", "sweep", "coverage", "study", "accuracy", "labels", "regex")
 DEMO = [
     {"type": "assistant", "uuid": "a", "message": {"content": [{"type": "tool_use", "id": "1", "name": "Write", "input": {"file_path": "calc.py", "content": "total = 1\n"}}]}},
@@ -62,12 +65,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
         return _regex(spark, args.paths)
     if args.command == "replay" and not args.explain:
         return "replay needs --explain", 2
-    a = (_demo(spark) if args.command == "demo" else files.read_activities(spark, args.paths, args.format, args.glob)).cache()
-    results = gates.gate_results(a)
-    found = localize.localize(a, results)
+    errors = ""
+    if args.command == "demo":
+        a = _demo(spark)
+    else:
+        read = materialize(files.read_files(spark, args.paths, args.format, args.glob, strict=args.command not in TOLERANT))
+        a = read.where("activity IS NOT NULL").select("activity.*")
+        if args.command in TOLERANT and (failed := files.read_errors(read)).count():
+            errors = render.markdown("Files that failed", failed, "error")
+    a = a.cache()
     if args.command == "ingest":
         files.write_journals(a, args.out)
         return f"{a.count()} activities", 0
+    results = materialize(gates.gate_results(a))
+    found = localize.localize(a, results)
     if args.command == "show":
         return render.tsv(reports.timeline(a, results), "run_id", "pos"), 0
     if args.command in ("localize", "demo"):
@@ -81,14 +92,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if args.command == "coverage":
         return "\n".join([render.tsv(reports.coverage(a), "run_id"), render.tsv(reports.unmapped_types(a), "run_id", "type"), render.tsv(reports.shell_lift(a), "run_id")]), 0
     if args.command == "study":
-        return render.markdown("Corpus study", reports.study(reports.study_runs(a, results, found)), "source"), 0
+        return render.markdown("Corpus study", reports.study(reports.study_runs(a, results, found)), "source") + errors, 0
     if args.command == "labels":
         scored = labels.score(_labels(spark, args.paths, a), found)
         return render.markdown("By config", labels.score_by_config(scored), "config") + render.markdown("Excluded", labels.exclusions(scored), "exclusion"), 0
     out = inject.run_injection(hashing.with_content_hash(a), args.per_class, args.max_per_run, args.seed)
     if args.command == "eval":
         return render.as_json(confusion=out["confusion"], accuracy=out["accuracy"]), 0
-    return render.markdown("Confusion", out["confusion"], "fault_class") + render.markdown("Accuracy", out["accuracy"], "confidence") + render.markdown("Census", reports.census(a, results), "source"), 0
+    return render.markdown("Confusion", out["confusion"], "fault_class") + render.markdown("Accuracy", out["accuracy"], "confidence") + render.markdown("Census", reports.census(a, results), "source") + errors, 0
 
 
 def parser() -> argparse.ArgumentParser:
@@ -111,7 +122,10 @@ def main(argv: list[str] | None = None) -> int:
         print("no paths", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("stridelog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    text, code = run(spark, args)
+    try:
+        text, code = run(spark, args)
+    finally:
+        clear(spark)  # what is printed is made
     print(text)
     return code
 

@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+
+from stridelog import cli
 from stridelog.operators import labels
 from stridelog.sources import files
 
@@ -33,3 +36,18 @@ def test_label_set_from_a_folder(spark, tmp_path):
     got = sorted((r.config, r.row_idx, r.run_id, r.expected_step, r.exclusion) for r in found.collect())
     assert got == [("listed", 1, "listed:1", None, "step out of range"), ("listed", 2, "listed:2", None, "step not a number"), ("listed", 3, "listed:3", 0, None), ("own", 7, "own:7", 1, None)]
     assert sorted({r.run_id for r in activities.collect()}) == ["listed:1", "listed:2", "listed:3", "own:7"] and activities.count() == 8
+
+
+def test_studies_go_on_past_bad_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"run{k}.jsonl").write_text("\n".join(map(json.dumps, cli.DEMO)))
+    (tmp_path / "bad.jsonl").write_text("{}\n{oops\n")
+    args = lambda command: cli.parser().parse_args([command, str(tmp_path), "--format", "linked"])
+    for command in ("study", "accuracy"):
+        text, code = cli.run(spark, args(command))
+        assert code == 0 and "Files that failed" in text and "ValueError" in text
+    with pytest.raises(Exception, match="bad.jsonl:2"):
+        cli.run(spark, args("localize"))
+    (tmp_path / "bad.jsonl").unlink()
+    assert "Files that failed" not in cli.run(spark, args("study"))[0]
+    assert cli.run(spark, args("localize"))[0].count("G2") == 3
