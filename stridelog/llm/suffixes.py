@@ -12,8 +12,9 @@ three passes, each over what the one before left:
 3. The rest bring their bytes, and within an anchor's group windows are sorted by
    eight-byte digits from the first to the last; groups of one drop out.
 
-Equal anchors of one batch of documents are settled there and travel once; large
-groups are compared in pairs of blocks. Digests only file or accept whole runs
+Equal anchors of one batch of documents are settled there and travel once, the
+others' windows as stretches that are as long as they can be, so a periodic text
+takes rows by its period and not by its length. Large groups are compared in pairs of blocks. Digests only file or accept whole runs
 under 128 bits; pass 3 compares bytes.
 
 Defined results: null and empty texts have nothing to remove; texts shorter than
@@ -40,8 +41,8 @@ from .shared import materialize, table, text_of
 DEPTH, WINDOW = 200, 128
 #: Anchors' contexts in a block.
 CAP = 1024
-#: Windows whose anchors are found together: bounds memory for very long texts.
-AT_ONCE = 1 << 20
+#: Windows whose anchors are found together, and anchors that become Python numbers together: bound memory for very long texts.
+AT_ONCE, LISTED = 1 << 20, 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -79,7 +80,9 @@ def anchors(raw: bytes, depth: int = DEPTH, window: int = WINDOW) -> Iterator[tu
             step *= 2
         place = (least & _U(0xFFFFFF)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-        yield h[place[first]].view(np.int64), first + at, np.diff(np.append(first, len(place)))
+        found = h[place[first]].view(np.int64), first + at, np.diff(np.append(first, len(place)))
+        for part in range(0, len(first), LISTED):
+            yield tuple(x[part : part + LISTED] for x in found)
 
 
 def repeated(buffer: bytes, starts: np.ndarray, group: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -114,13 +117,18 @@ def _runs(depth: int, window: int) -> Callable:
                 raw = text.encode()
                 if len(raw) < depth:
                     continue
+                whole: list | None = None
                 for h, first, n in anchors(raw, depth, window):
                     for anchor, a, own in zip(h.tolist(), first.tolist(), n.tolist(), strict=True):
                         span = xxhash.xxh3_64_intdigest(raw[a : a + own - 1 + depth]) - 2**63
                         before = seen.setdefault((anchor, span), len(rows))
                         if before < len(rows):  # settled here: the first one speaks for all of them
                             rows[before][7] = 2
-                            rows.append([doc, k, a, own, xxhash.xxh3_64_intdigest(f"{doc} {k} {a}") - 2**63, anchor, span, 0])
+                            if whole is not None and whole[2] + whole[3] == a:  # a periodic text is one stretch, not a row a byte
+                                whole[3] += own
+                                continue
+                            whole = [doc, k, a, own, xxhash.xxh3_64_intdigest(f"{doc} {k} {a}") - 2**63, anchor, span, 0]
+                            rows.append(whole)
                         else:
                             rows.append([doc, k, a, own, anchor, anchor, span, 1])
             for at in range(0, len(rows), 100_000):
