@@ -69,7 +69,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if args.command == "demo":
         a = _demo(spark)
     else:
-        read = materialize(files.read_files(spark, args.paths, args.format, args.glob, strict=args.command not in TOLERANT))
+        read = materialize(files.read_files(spark, args.paths, args.format, args.glob, strict=args.command not in TOLERANT, placed=args.command in TOLERANT and args.glob is None))
         a = read.where("activity IS NOT NULL").select("activity.*")
         if args.command in TOLERANT and (failed := files.read_errors(read)).count():
             errors = render.markdown("Files that failed", failed, "error")

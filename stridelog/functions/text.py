@@ -57,5 +57,22 @@ def is_candidate(path: Column) -> Column:
     return F.lower(path).rlike(r"\.jsonl$") | (is_fixture(path) & F.lower(path).rlike(r"\.(json|traj)$"))
 
 
+#: Ends of file names in a form's folders; whole histories stand beside a manifest, which is none.
+SUFFIXES = {"calls": "jsonl", "linked": "jsonl", "action": "traj|json", "editor": "json", "fenced": "json|jsonl|traj", "chat": "json"}
+
+
+def is_read(path: Column, form: str) -> Column:
+    """Is a file of a folder read in this form: by its name's end; in ``auto``, candidates and this library's own journals."""
+    if form == "auto":
+        return is_candidate(path) | path.rlike("/run_id=[^/]*/part-[^/]*$")
+    return F.lower(path).rlike(rf"\.({SUFFIXES[form]})$") & ~path.rlike(r"(^|/)manifest\.json$")
+
+
+def form_by_name(path: Column) -> Column:
+    """The reader of the dialect that a file's name tells, else null."""
+    dialect = history_of(path)
+    return F.when(dialect == "swe-agent", "action").when(dialect == "openhands", "editor").when(dialect == "mini-swe-agent", "fenced")
+
+
 def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")

@@ -7,6 +7,8 @@ never sees that text: it says from the events what the activities are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +77,10 @@ def _record(form: str) -> Column:
     return said
 
 
-def recordings(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    """path, value: a file's text for each user."""
+def recordings(spark: SparkSession, sf_dir: str, form: str, who: str = "true") -> DataFrame:
+    """path, value: a file's text for each user for whom ``who`` holds."""
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("stridelog_events")
-    rows = spark.sql(_ORDERED.replace("{events}", "stridelog_events")).withColumn("before", F.col("pos") - 1).select("user_id", "pos", _record(form).alias("r"))
+    rows = spark.sql(_ORDERED.replace("{events}", "stridelog_events")).where(who).withColumn("before", F.col("pos") - 1).select("user_id", "pos", _record(form).alias("r"))
     head, tail = _WHOLE.get(form, ("", ""))
     user = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]), "," if head else "\n")
@@ -93,6 +95,30 @@ def read(form: str):
     return query
 
 
+#: A mixed folder: the user's number modulo 8, the form, the file's folder and name around user-N, its end, and what follows the text. 5 has a bad line, 6 is no recording by its place, 7 is known by its look alone.
+PLACES = [
+    (0, "calls", "/home/u/.codex/", ".jsonl", ""), (1, "linked", "/home/u/.claude/", ".jsonl", ""), (2, "action", "/w/tests/fixtures/swe-agent-", ".json", ""), (3, "editor", "tests/fixtures/openhands-", ".json", ""),
+    (4, "fenced", "/w/tests/fixtures/mini-swe-agent-", ".traj", ""), (5, "linked", "/data/", ".jsonl", "\n{oops"), (6, "action", "/data/", ".json", ""), (7, "calls", "/data/", ".jsonl", ""),
+]
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, value: each user's file in one of the forms, where its tool would leave it."""
+    parts = []
+    for n, form, before, end, after in PLACES:
+        own = recordings(spark, sf_dir, form, f"user_id % 8 = {n}")
+        parts.append(own.select(F.concat(F.lit(before), F.regexp_extract("path", "(user-[0-9]+)", 1), F.lit(end)).alias("path"), F.concat("value", F.lit(after)).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_mixed(mixed_files(spark, sf_dir)).select("path", "place", "error", *[f"activity.{c}" for c in COLUMNS])
+
+
+def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_errors(files.read_mixed(mixed_files(spark, sf_dir)))
+
+
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chat histories; texts come back as lengths and hashes."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -209,5 +235,14 @@ FENCED_SQL = _history_sql(
 CHAT_SQL = """SELECT 'conv-' || conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step_index, CASE WHEN role = 'user' THEN 'user_msg' WHEN role = 'assistant' THEN 'unmapped' ELSE 'llm_call' END AS kind,
  CAST(CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2 END AS INT) AS parent_step, coalesce(length(text), 0) AS content_length, coalesce(sha256(text), '') AS content_hash FROM conversations"""
 
-QUERIES = {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat, "read_journal": read_journal, "label_set": label_set}
-SQL = {"read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL, "read_journal": JOURNAL_SQL, "label_set": LABELS_SQL}
+_PLACED = {0: ("codex", ""), 1: ("claude", ""), 2: ("foreign-swe-agent", "swe-agent-"), 3: ("foreign-openhands", ""), 4: ("foreign-mini-swe-agent", "mini-swe-agent-"), 7: ("journal", "")}
+_BY_FORM = {"calls": CALLS_SQL.replace("SELECT 'codex-' ||", "SELECT p.user_id, 'codex-' ||"), "linked": LINKED_SQL.replace("SELECT 'user-' || r.", "SELECT r.user_id, 'user-' || r."), **{k: q.replace("SELECT 'user-' || y.user_id", "SELECT y.user_id, 'user-' || y.user_id") for k, q in {"action": ACTION_SQL, "editor": EDITOR_SQL, "fenced": FENCED_SQL}.items()}}
+_REST = [c for c in COLUMNS if c != "run_id"]
+MIXED_SQL = " UNION ALL ".join(
+    f"SELECT '{before}user-' || user_id || '{end}' AS path, '{_PLACED[n][0]}' AS place, NULL AS error, '{_PLACED[n][1]}' || run_id AS run_id, {', '.join(_REST)} FROM ({_BY_FORM[form]}) WHERE user_id % 8 = {n}"
+    for n, form, before, end, _ in PLACES if n in _PLACED
+) + f" UNION ALL SELECT DISTINCT '/data/user-' || user_id || '.jsonl', 'journal', 'ValueError', NULL, {', '.join('NULL' for _ in _REST)} FROM events WHERE user_id % 8 = 5"
+ERRORS_SQL = "SELECT 'ValueError' AS error, count(DISTINCT user_id) AS files FROM events WHERE user_id % 8 = 5 HAVING count(*) > 0"
+
+QUERIES = {"read_mixed": read_mixed, "file_errors": file_errors} | {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat, "read_journal": read_journal, "label_set": label_set}
+SQL = {"read_mixed": MIXED_SQL, "file_errors": ERRORS_SQL, "read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL, "read_journal": JOURNAL_SQL, "label_set": LABELS_SQL}

@@ -10,13 +10,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import hashing
 from ..scratch import materialize
 from . import calls, histories, journals, linked, linking
@@ -53,10 +55,14 @@ def looks_like_journal(text: str) -> bool:
 
 
 def looks_like_calls(text: str) -> bool:
-    """The whole file is parsed: one bad line and it is none."""
-    records = parse_lines("", text, strict=False)
-    first = records[0] if records else None
-    return isinstance(first, dict) and first.get("type") in calls.RECORD_TYPES and isinstance(first.get("payload"), dict)
+    """Its first record tells; only then is the whole file parsed: one bad line and it is none."""
+    line = next((x for x in re.split("\r\n|\n|\r", text) if x.strip()), "")
+    try:
+        first = json.loads(line)
+    except ValueError:
+        return False
+    told = isinstance(first, dict) and first.get("type") in calls.RECORD_TYPES and isinstance(first.get("payload"), dict)
+    return told and bool(parse_lines("", text, strict=False))
 
 
 def parse_journal(path: str, text: str) -> list[dict]:
@@ -114,30 +120,36 @@ _SPLIT = "path string, form string, error string, run_id string, url string, pos
 _READERS = {"calls": calls.activities, "linked": linked.activities} | {d: partial(histories.activities, dialect=d) for d in HISTORIES}
 
 
-def read_files(spark: SparkSession, paths: str | list[str], form: str = "auto", glob: str | None = None, strict: bool = True) -> DataFrame:
-    """path, error, activity. If not strict, a file that fails is one row with its error's type. Files known to be journals are read by ranges of lines."""
+def read_files(spark: SparkSession, paths: str | list[str], form: str = "auto", glob: str | None = None, strict: bool = True, placed: bool = False) -> DataFrame:
+    """path, error, activity. If not strict, a file that fails is one row with its error's type. Files known to be journals are read by ranges of lines.
+
+    ``placed``: of a folder, only files that are recordings in this form by place and name (``text.is_read``); a file given by itself is read whatever its name.
+    """
     if form not in FORMATS:
         raise ValueError(f"unknown format: {form}")
     if form == "journal":
         found = journals.read_journals(spark, paths, strict, glob).drop("record_hash")
         return found if strict else found.withColumn("error", F.when(F.col("error").isNotNull(), "ValueError"))
     files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), "value")
+    if placed:
+        given = [quote(p.rstrip("/"), safe="/:") for p in ([paths] if isinstance(paths, str) else paths)]
+        files = files.where(reduce(Column.__or__, [F.endswith("path", F.lit(p)) for p in given], text.is_read(F.col("path"), form)))
     return read_texts(files, form, strict)
 
 
 def read_texts(files: DataFrame, form: str = "auto", strict: bool = True) -> DataFrame:
-    """The same for files that are rows already: path, value."""
+    """The same for files that are rows already: path, value. In ``auto``, a dialect in a file's name comes before what the file looks like."""
     names = _SPLIT.replace(" string", "").replace(" int", "").split(", ")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for path, text in zip(pdf["path"], pdf["value"], strict=True):
+            for path, value, told in zip(pdf["path"], pdf["value"], pdf["told"], strict=True):
                 try:
-                    own = form_of(path, text) if form == "auto" else form
+                    own = told or form_of(path, value)
                     if own == "journal":
-                        made = [(path, own, None, r["run_id"], "", r["pos"], json.dumps(r)) for r in parse_journal(path, text)]
+                        made = [(path, own, None, r["run_id"], "", r["pos"], json.dumps(r)) for r in parse_journal(path, value)]
                     else:
-                        run_id, records = split(path, text, own)
+                        run_id, records = split(path, value, own)
                         made = [(path, own, None, run_id, path, n, json.dumps(r)) for n, r in enumerate(records)]
                 except Exception as e:
                     if strict:
@@ -145,7 +157,7 @@ def read_texts(files: DataFrame, form: str = "auto", strict: bool = True) -> Dat
                     made = [(path, None, type(e).__name__, None, None, 0, None)]
                 yield pd.DataFrame(made, columns=names)
 
-    told = files.select("path", "value").mapInPandas(run, _SPLIT)
+    told = files.select("path", "value", (text.form_by_name(F.col("path")) if form == "auto" else F.lit(form)).alias("told")).mapInPandas(run, _SPLIT)
     if form == "auto":  # each form reads it
         told = materialize(told)
     activity = linking.READ.split("activity ", 1)[1]
@@ -162,6 +174,12 @@ def read_activities(spark: SparkSession, paths: str | list[str], form: str = "au
     return read_files(spark, paths, form, glob).select("activity.*")
 
 
+def read_mixed(files: DataFrame) -> DataFrame:
+    """path, place, error, activity of files (path, value) of many tools: those that are recordings by place and name, each by its own reader; a bad one is a row with its error."""
+    path = F.col("path")
+    return read_texts(files.where(text.is_read(path, "auto")), strict=False).select("path", text.source_of(path).alias("place"), "error", "activity")
+
+
 def read_errors(files: DataFrame) -> DataFrame:
     """How many files failed, by the type of error."""
     return files.where("error IS NOT NULL").groupBy("error").agg(F.count(F.lit(1)).alias("files"))

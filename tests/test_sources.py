@@ -135,3 +135,17 @@ def test_auto_knows_each_form(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = {r.path.rsplit("/", 1)[-1]: r.source for r in files.read_files(spark, str(tmp_path)).select("path", "activity.source").distinct().collect()}
     assert got == {"a.jsonl": "linked", "b.jsonl": "calls", "c.json": "action", "d.json": "editor", "e.json": "fenced", "f.json": "chat"}
+
+
+def test_recordings_by_place_and_name(spark, tmp_path):
+    """Of a folder, what stands where a tool leaves it; a dialect in the name comes before the look; given files are read as they are."""
+    fixtures = tmp_path / "tests" / "fixtures"
+    fixtures.mkdir(parents=True)
+    history = json.dumps({"messages": [{"role": "user", "content": "t"}], "history": [{"role": "user", "content": "t"}]})
+    for path, text in {fixtures / "SWE-agent.traj": history, fixtures / "plain.json": history, fixtures / "notes.md": "x", tmp_path / "c.json": history, tmp_path / "a b.txt": json.dumps(LINKED[0])}.items():
+        path.write_text(text)
+    read = lambda paths, form="auto": {r.path.rsplit("/", 1)[-1]: r.source for r in files.read_files(spark, paths, form, placed=True).select("path", "activity.source").distinct().collect()}
+    assert read(str(tmp_path)) == {"SWE-agent.traj": "action", "plain.json": "fenced"}
+    assert read([str(fixtures), str(tmp_path / "a b.txt")]) == {"SWE-agent.traj": "action", "plain.json": "fenced", "a%20b.txt": "linked"}
+    (fixtures / "manifest.json").write_text("{}")
+    assert set(read(str(fixtures), "fenced")) == {"SWE-agent.traj", "plain.json"}
