@@ -127,6 +127,42 @@ def sweep(activities: DataFrame, localizations: DataFrame) -> DataFrame:
     return runs.join(sure, "run_id", "left").fillna(0)
 
 
+#: What a sweep adds up, and its shares: name, part, whole.
+SWEPT = ("activities", "actions", "failing_steps", "high_steps", "low_steps", "na_steps", "opaque_shell_actions", "unmapped_actions", "unlinked_actions", "opaque_or_unmapped")
+SHARES = (
+    ("high_rate", "high_steps", "failing_steps"), ("low_rate", "low_steps", "failing_steps"), ("na_rate", "na_steps", "failing_steps"), ("opaque_shell_fraction", "opaque_shell_actions", "actions"),
+    ("unmapped_fraction", "unmapped_actions", "actions"), ("unlinked_fraction", "unlinked_actions", "actions"), ("opaque_or_unmapped_fraction", "opaque_or_unmapped", "activities"),
+)
+
+
+def sweep_runs(activities: DataFrame, results: DataFrame, localizations: DataFrame, sources: DataFrame) -> DataFrame:
+    """A row per run: who it is by ``sources`` (run_id, instance_id, repo, commit; any may lack or be empty) and what SWEPT counts.
+
+    A failing step has the confidence of the break that explains it, NA without one. A run without an instance is one of its own.
+    """
+    action, kind = F.col("kind").isin(*ACTION_KINDS), F.col("kind")
+    first = F.min(F.when(action, F.col("step_index"))).alias("first")
+    runs = activities.groupBy("run_id").agg(first, F.count(F.lit(1)).alias("activities"), F.count_if(action).alias("actions"), F.count_if(kind == "opaque_shell").alias("opaque_shell_actions"), F.count_if(kind == "unmapped").alias("unmapped_actions"), F.count_if(action & F.col("parent_step").isNull()).alias("parentless"))
+    # the first action needs no parent
+    lone = activities.where(action & F.col("parent_step").isNull()).groupBy("run_id", F.col("step_index").alias("first")).agg(F.count(F.lit(1)).alias("excused"))
+    runs = runs.join(lone, ["run_id", "first"], "left").withColumn("unlinked_actions", F.col("parentless") - F.coalesce("excused", F.lit(0)))
+    failing = results.where("status = 'FAIL'").select("run_id", "step_index").distinct()
+    sure = localizations.select("run_id", F.explode(F.array_union(F.array("breaking_step"), "cascade")).alias("step_index"), "confidence")
+    sure = sure.groupBy("run_id", "step_index").agg(F.max("confidence").alias("confidence"))
+    of = lambda c: F.count_if(F.coalesce("confidence", F.lit("NA")) == c)
+    judged = failing.join(sure, ["run_id", "step_index"], "left").groupBy("run_id").agg(F.count(F.lit(1)).alias("failing_steps"), of("HIGH").alias("high_steps"), of("LOW").alias("low_steps"), of("NA").alias("na_steps"))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    out = runs.join(judged, "run_id", "left").join(sources.select("run_id", "instance_id", "repo", "commit"), "run_id", "left").withColumn("opaque_or_unmapped", F.col("opaque_shell_actions") + F.col("unmapped_actions"))
+    instance = F.coalesce(F.nullif("instance_id", F.lit("")), F.concat(F.lit("local:"), "run_id"))
+    return out.select("run_id", instance.alias("instance_id"), said("repo").alias("repo"), said("commit").alias("commit"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in SWEPT])
+
+
+def sweep_totals(runs: DataFrame, *keys: str) -> DataFrame:
+    """Totals and shares of ``sweep_runs`` by keys (an instance, or repo and commit), or over all without any."""
+    out = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.countDistinct(F.when(~F.startswith("instance_id", F.lit("local:")), F.col("instance_id"))).alias("instances"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SWEPT])
+    return out.withColumns({name: F.try_divide(a, b) for name, a, b in SHARES})
+
+
 def source_counts(activities: DataFrame, results: DataFrame) -> DataFrame:
     """Per source: steps, structured share of actions, and edits that G2 could judge."""
     judged = results.where("gate = 'G2' AND status <> 'NA'").select("run_id", "pos", F.lit(1).alias("judged"))

@@ -438,3 +438,44 @@ def source_counts(j: DataFrame) -> DataFrame:
 def sweep_by_source(j: DataFrame) -> DataFrame:
     runs = j.groupBy("run_id").agg(F.first("source").alias("source"))
     return reports.sweep_by(reports.sweep(j, localize.localize(j)), runs, "source").select("source", "runs", "activities", "unlinked_actions")
+
+
+#: Where runs are from, made up from their numbers: some share an instance, some name none, some lack altogether.
+_FROM = """SELECT run_id, CASE WHEN n % 5 = 0 THEN '' ELSE 'i' || CAST(n % 7 AS VARCHAR) END AS instance_id, 'r' || CAST(n % 3 AS VARCHAR) AS repo, CASE WHEN n % 4 <> 1 THEN 'c' || CAST(n % 2 AS VARCHAR) END AS "commit"
+ FROM (SELECT DISTINCT run_id, CAST(substr(run_id, 6) AS BIGINT) AS n FROM j) WHERE n % 11 <> 0"""
+_SWEPT = f"""SELECT run_id, coalesce(nullif(instance_id, ''), 'local:' || run_id) AS instance_id, coalesce(repo, '') AS repo, coalesce("commit", '') AS "commit", activities, actions, coalesce(failing, 0) AS failing_steps, coalesce(high, 0) AS high_steps, coalesce(low, 0) AS low_steps, coalesce(failing - high - low, 0) AS na_steps,
+ opaque AS opaque_shell_actions, unmapped AS unmapped_actions, lone AS unlinked_actions, opaque + unmapped AS opaque_or_unmapped
+ FROM (SELECT run_id, count(*) AS activities, count(*) FILTER (kind IN {ACTIONS}) AS actions, count(*) FILTER (kind = 'opaque_shell') AS opaque, count(*) FILTER (kind = 'unmapped') AS unmapped, count(*) FILTER (kind IN {ACTIONS} AND parent_step IS NULL AND step_index <> first) AS lone
+  FROM j JOIN (SELECT run_id, min(step_index) FILTER (kind IN {ACTIONS}) AS first FROM j GROUP BY run_id) USING (run_id) GROUP BY run_id)
+ LEFT JOIN (SELECT b.run_id, count(*) AS failing, count(*) FILTER (confidence = 'HIGH') AS high, count(*) FILTER (confidence = 'LOW') AS low FROM b LEFT JOIN w ON w.run_id = b.run_id AND w.breaking_step = b.breaking_step GROUP BY b.run_id) USING (run_id) LEFT JOIN s USING (run_id)"""
+_RATES = ", ".join(f"CASE WHEN sum({b}) > 0 THEN sum({a}) / sum({b}) END AS {name}" for name, a, b in reports.SHARES)
+_TOTALS = "SELECT {keys}count(*) AS runs, count(DISTINCT instance_id) FILTER (NOT starts_with(instance_id, 'local:')) AS instances, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in reports.SWEPT) + f", {_RATES} FROM x{{by}}"
+_SWEEP = {**o.GRAPH, **o.BROKEN, **o.PATHS, "s": _FROM, "x": _SWEPT}
+
+
+def _swept(j: DataFrame) -> DataFrame:
+    results, n = materialize(gates.gate_results(j)), F.expr("CAST(substr(run_id, 6) AS BIGINT)")
+    sources = j.select("run_id").distinct().where(n % 11 != 0).select(
+        "run_id", F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("i"), (n % 7).cast("string"))).alias("instance_id"), F.concat(F.lit("r"), (n % 3).cast("string")).alias("repo"), F.when(n % 4 != 1, F.concat(F.lit("c"), (n % 2).cast("string"))).alias("commit"),
+    )
+    return reports.sweep_runs(j, results, localize.localize(j, results), sources)
+
+
+@query(_gates("SELECT * FROM x", **_SWEEP))
+def sweep_by_run(j: DataFrame) -> DataFrame:
+    return _swept(j)
+
+
+@query(_gates(_TOTALS.format(keys="", by=""), **_SWEEP))
+def sweep_report(j: DataFrame) -> DataFrame:
+    return reports.sweep_totals(_swept(j))
+
+
+@query(_gates(_TOTALS.format(keys="instance_id, ", by=" GROUP BY instance_id"), **_SWEEP))
+def sweep_by_instance(j: DataFrame) -> DataFrame:
+    return reports.sweep_totals(_swept(j), "instance_id")
+
+
+@query(_gates(_TOTALS.format(keys='repo, "commit", ', by=' GROUP BY repo, "commit"'), **_SWEEP))
+def sweep_by_commit(j: DataFrame) -> DataFrame:
+    return reports.sweep_totals(_swept(j), "repo", "commit")
