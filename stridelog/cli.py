@@ -49,6 +49,21 @@ def _labels(spark: SparkSession, paths: list[str], activities: DataFrame) -> Dat
     return labels.read_labels(rows.select(stem.alias("run_id"), F.coalesce("config", F.lit("default")).alias("config"), "mistake_step"), activities)
 
 
+def _sweep(spark: SparkSession, read: DataFrame, activities: DataFrame, results: DataFrame, found: DataFrame, manifest: str | None) -> str:
+    """The sweep's report; a manifest says which instance, repository and commit a file's run is of."""
+    empty = "run_id string, instance_id string, repo string, commit string"
+    sources = spark.createDataFrame([], empty)
+    if manifest:
+        said = files.read_manifest(spark, manifest)
+        said = said.select("local_path", *[(F.col(c).cast("string") if c in said.columns else F.lit(None).cast("string")).alias(c) for c in ("instance_id", "repo", "commit")])
+        paths = read.where("activity IS NOT NULL").select("path", "activity.run_id").distinct()
+        listed = files.with_manifest(paths, said).groupBy("run_id")
+        sources = listed.agg(F.max(F.struct("instance_id", "repo", "commit")).alias("s")).select("run_id", "s.*")
+    runs = materialize(reports.sweep_runs(activities, results, found, sources))
+    tables = [("Sweep", (), ()), ("By instance", ("instance_id",), ("instance_id",)), ("By commit", ("repo", "commit"), ("repo", "commit"))]
+    return "\n".join([*(render.markdown(title, reports.sweep_totals(runs, *keys), *order) for title, keys, order in tables), render.markdown("Runs", runs, "run_id")])
+
+
 def _regex(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
     patterns = files.read_patterns(spark, paths[0])
     own = patterns.select("pattern_id", "pattern", F.posexplode("inputs").alias("pos", "input"))
@@ -88,7 +103,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if args.command == "scan":
         return render.tsv(reports.scan(results, found), "run_id", "step_index", "gate"), 0
     if args.command == "sweep":
-        return render.tsv(reports.sweep(a, found), "run_id"), 0
+        return _sweep(spark, read, a, results, found, args.manifest), 0
     if args.command == "coverage":
         return "\n".join([render.tsv(reports.coverage(a), "run_id"), render.tsv(reports.unmapped_types(a), "run_id", "type"), render.tsv(reports.shell_lift(a), "run_id")]), 0
     if args.command == "study":
@@ -108,6 +123,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="*")
     p.add_argument("--format", choices=files.FORMATS, default="auto", help=f"whole-file histories: {', '.join(files.HISTORIES)}")
     p.add_argument("--glob")
+    p.add_argument("--manifest", help="sweep: a JSON document of sources, each with its local_path")
     p.add_argument("--out", default="journals")
     p.add_argument("--explain", action="store_true")
     p.add_argument("--seed", type=int, default=inject.SEED)
