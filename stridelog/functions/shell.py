@@ -1,238 +1,180 @@
-"""Files that a literal shell command surely reads and writes.
+"""Files that a literal shell command surely reads and writes, as expressions.
 
 A command that could mean more than it says (pipes, expansion, several commands)
-has no targets. Words are split as a POSIX shell would, which no built-in does, so
-this runs as one Arrow-batched function over distinct commands.
+has no targets. Words are split as a POSIX shell would. Every argument then becomes
+one letter, so a command's grammar is a regular expression over its letters, and an
+option takes its value by a replacement in them. A command takes time linear in its length.
 """
 
 from __future__ import annotations
 
-import re
-import shlex
 from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TARGETS = "reads array<string>, writes array<string>"
 #: Characters that make a command or a path ambiguous.
 AMBIGUOUS = r"[|&;\n\r$`*?\[{}~]"
-_NOT_PATH = re.compile(r"[$`*?\[\]{}~|;&<>]|://")
+_NOT_PATH = r"[$`*?\[\]{}~|;&<>]|://"
 #: Flags of test runners, without and with a value.
 TEST_FLAGS, TEST_VALUES = ("-q", "-s", "-v", "-x", "--quiet", "--verbose"), ("-k", "-m", "--maxfail", "--tb")
 
+#: Pieces of a word, each possessive: nothing is tried twice and nothing recurses.
+_PLAIN, _SINGLE, _DOUBLE, _ESCAPED = r"""[^ \t\r\n'"\\]++""", r"'[^']*+'", r'"(?:[^"\\]++|\\.)*+"', r"\\."
+_PIECE = rf"{_PLAIN}|{_SINGLE}|{_DOUBLE}|{_ESCAPED}"
+_WORD, _BLANK = f"(?:{_PIECE})++", r"[ \t\r\n]*+"
 
-class Unclear(Exception):
-    """The command's files cannot be told."""
 
+def words_of(command: Column) -> Column:
+    """The words of a command, quotes and escapes resolved; null where a quote or an escape does not end."""
 
-class Reading(NamedTuple):
-    reads: set[str]
-    writes: set[str]
+    def said(p: Column) -> Column:
+        inner = F.substring(p, F.lit(2), F.length(p) - 2)
+        return F.when(p.startswith("'"), inner).when(p.startswith('"'), F.regexp_replace(inner, r'\\(["\\])', "$1")).when(p.startswith("\\"), F.substring(p, F.lit(2), F.lit(2))).otherwise(p)
 
-
-def is_path(word: str, bare_tests: bool = False) -> bool:
-    """A literal path: it has a directory or a suffix, and nothing to expand."""
-    if not word or word in (".", "..") or word[0] == "-" or _NOT_PATH.search(word):
-        return False
-    parts = word.replace("\\", "/").split("/")
-    if len(parts) > 1:
-        return parts[-1] != "..."
-    return (bare_tests and word in ("test", "tests")) or _suffix(word) != ""
-
-
-def _suffix(word: str) -> str:
-    name = word.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]
-    stem, dot, rest = name.rpartition(".")
-    return dot + rest if stem.strip(".") and rest else ""
-
-
-def _paths(words: list[str], bare_tests: bool = False) -> set[str]:
-    if not all(is_path(w, bare_tests) for w in words):
-        raise Unclear
-    return set(words)
-
-
-def _operands(args: list[str], flag: Callable[[str], bool] = lambda a: False, value: Callable[[str, str | None], bool] = lambda a, b: False) -> list[str]:
-    """Arguments left when known flags, and flags with their values, are taken out."""
-    out, rest = [], iter(range(len(args)))
-    for i in rest:
-        follower = args[i + 1] if i + 1 < len(args) else None
-        if value(args[i], follower):
-            if follower is None:
-                raise Unclear
-            next(rest)
-        elif flag(args[i]):
-            continue
-        elif args[i].startswith("-"):
-            raise Unclear
-        else:
-            out.append(args[i])
-    return out
-
-
-def _tests(args: list[str]) -> Reading:
-    flag = lambda a: a == "--" or a in TEST_FLAGS or a.split("=", 1)[0] in TEST_VALUES and "=" in a
-    files = _operands(args, flag, lambda a, _: a in TEST_VALUES)
-    return Reading(_paths([f.split("::", 1)[0] for f in files], bare_tests=True), set())
-
-
-def _reads(args: list[str]) -> Reading:
-    return Reading(_paths(_operands(args)), set())
-
-
-def _ends(args: list[str]) -> Reading:
-    """head and tail: -n N, -nN and -N are counts."""
-
-    files, counted = [], False
-    for a in args:
-        if counted and not a.isdigit():
-            raise Unclear
-        if not (counted or a == "-n" or re.fullmatch(r"-n?\d+", a)):
-            files.append(a)
-        counted = a == "-n" and not counted
-    if counted:
-        raise Unclear
-    return Reading(_paths(files), set())
-
-
-def _writes(*flags: str) -> Callable[[list[str]], Reading]:
-    return lambda args: Reading(set(), _paths(_operands(args, lambda a: a in flags)))
-
-
-def _copy(moves: bool) -> Callable[[list[str]], Reading]:
-    def run(args: list[str]) -> Reading:
-        if len(args) != 2:
-            raise Unclear
-        _paths(_operands(args))
-        source, to = args
-        return Reading({source}, {source, to} if moves else {to})
-
-    return run
+    whole = command.rlike(rf"(?s)\A{_BLANK}(?:{_WORD}{_BLANK})*+\z")
+    raw = F.regexp_extract_all(command, F.lit(f"(?s){_WORD}"), F.lit(0))
+    return F.when(whole, F.transform(raw, lambda w: F.when(w.rlike(r"""['"\\]"""), F.array_join(F.transform(F.regexp_extract_all(w, F.lit(f"(?s){_PIECE}"), F.lit(0)), said), "")).otherwise(w)))
 
 
-def _sed(args: list[str]) -> Reading:
-    """Only in place does sed write; its script is the first operand, unless -e gives one before it."""
-    state = {"in_place": False, "script": False}
-
-    def value(a: str, b: str | None) -> bool:
-        if a == "-e":
-            state["script"] = True
-            return True
-        if a == "-i":
-            state["in_place"] = True
-            return b == ""
-        return False
-
-    def flag(a: str) -> bool:
-        if a.startswith("-i"):
-            state["in_place"] = True
-            return True
-        if a.startswith("-") or state["script"]:
-            return False
-        state["script"] = True
-        return True
-
-    files = _operands(args, flag, value)
-    if not state["in_place"] or not files:
-        return Reading(set(), set())
-    own = _paths(files)
-    return Reading(own, own)
-
-
-def _script(args: list[str], suffixes: tuple[str, ...]) -> Reading:
-    if not args:
-        return Reading(set(), set())
-    if not is_path(args[0]) or _suffix(args[0]) not in suffixes:
-        raise Unclear
-    return Reading({args[0]}, set())
-
-
-def _python(args: list[str]) -> Reading:
-    if args[:1] == ["-m"] and args[1:2] in (["pytest"], ["unittest"]):
-        return _tests(args[2:])
-    while args and args[0] in ("-u", "-B"):
-        args = args[1:]
-    return _script(args, (".py",))
-
-
-def _npm(args: list[str]) -> Reading:
-    after = args[1:] if args[:1] == ["test"] else args[2:] if args[:2] == ["run", "test"] else None
-    if after is None and args:
-        raise Unclear
-    return _tests(after[1:] if after and after[0] == "--" else [])
-
-
-def _go(args: list[str]) -> Reading:
-    if args[:1] != ["test"]:
-        raise Unclear
-    return _tests(args[1:])
-
-
-COMMANDS: dict[str, Callable[[list[str]], Reading]] = {
-    "cat": _reads, "less": _reads, "head": _ends, "tail": _ends, "tee": _writes("-a"), "cp": _copy(False), "mv": _copy(True),
-    "rm": _writes("-f", "-r", "-R", "-rf", "-fr", "-Rf", "-fR"), "touch": _writes(), "mkdir": _writes("-p"), "sed": _sed,
-    "python": _python, "python3": _python, "py": _python, "node": lambda a: _script(a, (".js", ".mjs", ".cjs")),
-    "pytest": _tests, "go": _go, "npm": _npm,
+def is_path(word: Column, bare_tests: bool = False) -> Column:
+    """A literal path: it has a directory or a suffix, and nothing to expand."""
+    named = r"(?s)[/\\]|\A\.*+[^.].*\.[^.]+\z" + (r"|\Atests?\z" if bare_tests else "")
+    return ~word.rlike(rf"(?s)\A-|\A\.{{0,2}}\z|[/\\]\.\.\.\z|{_NOT_PATH}") & word.rlike(named)
+
+
+def _script(suffixes: str) -> Callable[[Column], Column]:
+    """A literal path of a script, by its last part's suffix."""
+    return lambda word: is_path(word) & word.rlike(rf"(?s)(?:\A|[/\\])\.*+[^./\\][^/\\]*\.(?:{suffixes})[/\\]*\z")
+
+
+class Form(NamedTuple):
+    """How commands of one form take their arguments."""
+
+    names: tuple[str, ...]
+    #: a letter for each argument that matches, first wins; then w for an operand, x for anything else
+    letters: tuple[tuple[str, str], ...] = ()
+    #: letters replaced in this order: options take their values, and only operands stay w
+    rewrites: tuple[tuple[str, str], ...] = ()
+    #: what the letters of a clear command are then
+    grammar: str = r"[fw]*+"
+    operand: Callable[[Column], Column] = is_path
+    reads: bool = False
+    writes: bool = False
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return rf"\A(?:{'|'.join(words)})\z"
+
+
+_PYTHON = ("python", "python3", "py")
+FORMS = {
+    "tests": Form((), (("f", rf"\A--\z|{_any(TEST_FLAGS)}|\A(?:{'|'.join(TEST_VALUES)})="), ("v", _any(TEST_VALUES))), (("v.", "ff"),), operand=lambda w: is_path(F.substring_index(w, "::", 1), True), reads=True),
+    "read": Form(("cat", "less"), grammar=r"w*+", reads=True),
+    "ends": Form(("head", "tail"), (("n", r"\A-n\z"), ("d", r"\A\p{Nd}+\z"), ("c", r"\A-n?\p{Nd}+\z")), grammar=r"(?:nd|[cw])*+", reads=True),
+    "tee": Form(("tee",), (("f", r"\A-a\z"),), writes=True),
+    "remove": Form(("rm",), (("f", r"\A-(?:[frR]|rf|fr|Rf|fR)\z"),), writes=True),
+    "touch": Form(("touch",), grammar=r"w*+", writes=True),
+    "folder": Form(("mkdir",), (("f", r"\A-p\z"),), writes=True),
+    "copy": Form(("cp",), grammar="ww", reads=True, writes=True),
+    "move": Form(("mv",), grammar="ww", reads=True, writes=True),
+    # an empty word after -i is its suffix; the first operand is the script unless -e gives one before it; only in place are files written
+    "sed": Form(
+        ("sed",), (("i", r"\A-i\z"), ("I", r"(?s)\A-i."), ("e", r"\A-e\z"), ("E", r"\A\z"), ("-", r"\A-")), (("e.", "ss"), ("iE", "ii"), (r"\A([iI]*+)[wxE]", "$1s")),
+        r"(?=[^iI]*+[iI])[iIsw]*+", reads=True, writes=True,
+    ),
+    "python": Form(_PYTHON, (("u", r"\A-[uB]\z"),), grammar=r"u*+w.*+", operand=_script("py"), reads=True),
+    "node": Form(("node",), grammar=r"w.*+", operand=_script("js|mjs|cjs"), reads=True),
 }
+#: Of these the first operand counts, whatever follows it.
+_FIRST = ("python", "node")
+
+
+def _form(name: Column, args: Column) -> Column:
+    """The form of a command and how many arguments come before those that it is about."""
+    at = lambda i: F.get(args, F.lit(i))
+    pair = lambda form, skip: F.struct(F.lit(form).alias("form"), F.lit(skip).alias("skip"))
+    run = (at(0) == "run") & (at(1) == "test")
+    found = (
+        F.when(name == "pytest", pair("tests", 0)).when((name == "go") & (at(0) == "test"), pair("tests", 1))
+        .when(name.isin(*_PYTHON) & (at(0) == "-m") & at(1).isin("pytest", "unittest"), pair("tests", 2))
+        .when((name == "npm") & (at(0) == "test") & (at(1) == "--"), pair("tests", 2)).when((name == "npm") & run & (at(2) == "--"), pair("tests", 3))
+    )
+    for form, f in FORMS.items():
+        found = found.when(name.isin(*f.names), pair(form, 0)) if f.names else found
+    return found
+
+
+def _letters(f: Form, args: Column) -> Column:
+    def letter(word: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for mark, pattern in f.letters:
+            out = out.when(word.rlike(pattern), mark)
+        return out.when(f.operand(word), "w").otherwise("x")
+
+    return F.array_join(F.transform(args, letter), "")
+
+
+def _by_form(value: Callable[[str, Form], Column]) -> Column:
+    out = F.when(F.lit(False), None)
+    for name, f in FORMS.items():
+        out = out.when(F.col("shell form.form") == name, value(name, f))
+    return out
 
 
-def _redirected(words: list[str]) -> tuple[list[str], set[str]]:
-    """Words without output redirections, and the files those write."""
-    left, writes, rest = [], set(), iter(range(len(words)))
-    for i in rest:
-        word = words[i]
-        if word.startswith("<"):
-            raise Unclear
-        if not word.startswith(">"):
-            left.append(word)
-            continue
-        to = word[2:] if word.startswith(">>") else word[1:]
-        if not to:
-            to = words[next(rest)] if i + 1 < len(words) else ""
-        writes |= _paths([to])
-    return left, writes
-
-
-def targets(command: str | None) -> Reading:
-    """What a command reads and writes; empty where unclear. Redirections stand even if the command is unknown."""
-    none = Reading(set(), set())
-    if not command or not command.strip() or re.search(AMBIGUOUS, command):
-        return none
-    try:
-        words, written = _redirected(shlex.split(command))
-    except (ValueError, Unclear):
-        return none
-    if not words:
-        return Reading(set(), written)
-    name = re.split(r"[/\\]", words[0])[-1].lower().removesuffix(".exe")
-    try:
-        reads, writes = COMMANDS.get(name, _unknown)(words[1:])
-    except Unclear:
-        return Reading(set(), written)
-    return Reading(reads, writes | written)
-
-
-def _unknown(args: list[str]) -> Reading:
-    raise Unclear
-
-
-def shell_targets(commands: pd.Series) -> pd.DataFrame:
-    found = [targets(c) for c in commands]
-    return pd.DataFrame({"reads": [sorted(x.reads) for x in found], "writes": [sorted(x.writes) for x in found]})
+def _operands(name: str, f: Form) -> Column:
+    """The arguments that are operands, where the letters say that the command is clear."""
+    said = F.col("shell letters")
+    for pattern, by in f.rewrites:
+        said = F.regexp_replace(said, pattern, by)
+    clear = said.rlike(rf"\A(?:{f.grammar})\z")
+    each = F.filter(F.arrays_zip(F.col("shell args").alias("word"), F.split(said, "").alias("letter")), lambda z: z["letter"] == "w")
+    words = F.transform(each, lambda z: F.substring_index(z["word"], "::", 1) if name == "tests" else z["word"])
+    return F.when(clear, F.slice(words, 1, 1) if name in _FIRST else words)
+
+
+def _sorted(words: Column) -> Column:
+    return F.array_sort(F.array_distinct(words))
+
+
+def with_shell(rows: DataFrame, command: Column) -> DataFrame:
+    """Adds ``shell``: struct of reads and writes of a command, null where there are none. Redirections stand even if the command is unknown."""
+    none, words = F.array().cast("array<string>"), F.col("shell words")
+    kept = rows.columns
+    # between these steps the plan keeps what is read twice; nothing inside a lambda refers to a column
+    rows = rows.withColumn("shell words", words_of(F.when(~command.rlike(AMBIGUOUS), command)))
+    pairs = F.arrays_zip(words.alias("word"), F.concat(F.array(F.lit("")), words).alias("before"))
+    bare = lambda w: w.isin(">", ">>")
+    to = F.transform(F.filter(F.arrays_zip(words.alias("word"), F.concat(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(F.lit(""))).alias("next")), lambda z: z["word"].startswith(">")), lambda z: F.when(bare(z["word"]), z["next"]).otherwise(F.regexp_replace(z["word"], r"\A>>?", "")))
+    rows = rows.withColumns({"shell to": to, "shell left": F.transform(F.filter(pairs, lambda z: z["word"].isNotNull() & ~z["word"].startswith(">") & ~bare(z["before"])), lambda z: z["word"])})
+    plain = ~F.exists(words, lambda w: w.startswith("<")) & F.forall("shell to", lambda w: is_path(w))
+    rows = rows.withColumn("shell left", F.when(plain, F.col("shell left")))
+    name = F.regexp_replace(F.lower(F.substring_index(F.translate(F.get("shell left", F.lit(0)), "\\", "/"), "/", -1)), r"\.exe\z", "")
+    rows = rows.withColumns({"shell name": name, "shell rest": F.slice("shell left", F.lit(2), F.size("shell left"))})
+    rows = rows.withColumn("shell form", _form(F.col("shell name"), F.col("shell rest")))
+    rows = rows.withColumn("shell args", F.slice("shell rest", F.col("shell form.skip") + 1, F.size("shell rest")))
+    rows = rows.withColumn("shell letters", _by_form(lambda _, f: _letters(f, F.col("shell args"))))
+    rows = rows.withColumn("shell operands", _by_form(_operands))
+    own, form = F.col("shell operands"), F.col("shell form.form")
+    files = lambda does: F.when(form.isin(*[n for n, f in FORMS.items() if getattr(f, does)]), own)
+    reads = F.when(form.isin("copy", "move"), F.slice(own, 1, 1)).otherwise(files("reads"))
+    writes = F.when(form == "copy", F.slice(own, 2, 1)).otherwise(files("writes"))
+    written = F.when(F.col("shell left").isNotNull(), F.col("shell to"))
+    rows = rows.withColumns({"shell reads": _sorted(F.coalesce(reads, none)), "shell writes": _sorted(F.concat(F.coalesce(writes, none), F.coalesce(written, none)))})
+    found = F.when((F.size("shell reads") > 0) | (F.size("shell writes") > 0), F.struct(F.col("shell reads").alias("reads"), F.col("shell writes").alias("writes")))
+    # one row each: a filter on what was found does not pass this, else the plan would repeat every step above inside it
+    return rows.withColumn("shell", F.explode_outer(F.array(found))).select(*[F.col(f"`{c}`") for c in kept], "shell")
 
 
 def with_targets(activities: DataFrame) -> DataFrame:
     """Adds ``shell``: struct of reads and writes for shell and test steps, null where there are none.
 
-    Distinct commands are parsed once. What is ambiguous for sure never leaves the JVM.
+    Recorded runs repeat their commands, so each distinct one is read once; what is ambiguous for sure meets no shuffle.
     """
     shell = F.col("kind").isin("opaque_shell", "test_run") & F.col("command").isNotNull()
     plain = activities.where(shell & ~F.col("command").rlike(AMBIGUOUS)).select(F.col("command").alias("said")).distinct()
-    parsed = plain.select("said", F.pandas_udf(shell_targets, TARGETS)("said").alias("shell")).where((F.size("shell.reads") > 0) | (F.size("shell.writes") > 0))
-    return activities.join(parsed, shell & (F.col("command") == F.col("said")), "left").drop("said")
+    return activities.join(with_shell(plain, F.col("said")).where("shell IS NOT NULL"), shell & (F.col("command") == F.col("said")), "left").drop("said")
 
 
-__all__ = ["COMMANDS", "Reading", "is_path", "shell_targets", "targets", "with_targets"]
+__all__ = ["FORMS", "Form", "is_path", "with_shell", "with_targets", "words_of"]

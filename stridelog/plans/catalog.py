@@ -10,12 +10,12 @@ from ..operators import gates, graph, hashing, inject, labels, levels, localize,
 from ..schema import KINDS
 from ..scratch import materialize
 from ..sources import files
-from . import journal, readings
+from . import commands, journal, readings
 from . import oracle as o
 
 ACTIONS = "('tool_call','file_edit','test_run','opaque_shell','unmapped')"
-QUERIES: dict = dict(readings.QUERIES)
-SQL: dict[str, str] = dict(readings.SQL)
+QUERIES: dict = readings.QUERIES | {"shell_forms": commands.shell_forms}
+SQL: dict[str, str] = readings.SQL | {"shell_forms": commands.SHELL_FORMS_SQL}
 
 
 def query(sql: str | None = None, source=journal.events_journal):

@@ -1,10 +1,10 @@
 """Gates, shell targets, localization and scoring on small hand-made runs."""
 
 import pytest
+from shell_by_hand import is_path, targets
 from pyspark.sql import functions as F
 
 from stridelog import cli
-from stridelog.functions.shell import is_path, targets
 from stridelog.operators import gates, graph, inject, labels, localize, regexdiff, render, reports
 from stridelog.schema import ACTIVITIES, COLUMNS, complete
 from stridelog.sources import files
