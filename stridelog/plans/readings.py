@@ -7,6 +7,7 @@ never sees that text: it says from the events what the activities are.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,6 +96,15 @@ def read(form: str):
     return query
 
 
+def payloads(form: str):
+    """Whole inputs and outputs of each activity, as canonical text."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return files.read_texts(recordings(spark, sf_dir, form), form).select(*[f"activity.{c}" for c in ("run_id", "step_index", "inputs_json", "outputs_json")])
+
+    return query
+
+
 #: A mixed folder: the user's number modulo 8, the form, the file's folder and name around user-N, its end, and what follows the text. 5 has a bad line, 6 is no recording by its place, 7 is known by its look alone.
 PLACES = [
     (0, "calls", "/home/u/.codex/", ".jsonl", ""), (1, "linked", "/home/u/.claude/", ".jsonl", ""), (2, "action", "/w/tests/fixtures/swe-agent-", ".json", ""), (3, "editor", "tests/fixtures/openhands-", ".json", ""),
@@ -176,29 +186,77 @@ _E = "e AS (" + _ORDERED.replace("{events}", "events") + ")"
 _IN, _BEFORE = "OVER (PARTITION BY user_id ORDER BY pos)", "OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _CALL = "OVER (PARTITION BY user_id, k % 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
-CALLS_SQL = f"""WITH {_E}, o AS (SELECT *, t = 'click' OR (t = 'error' AND k % 2 = 1) AS opens, t IN ('signup', 'click') AS turned FROM e),
+_CALLS = f"""WITH {_E}, o AS (SELECT *, t = 'click' OR (t = 'error' AND k % 2 = 1) AS opens, t IN ('signup', 'click') AS turned FROM e),
 m AS (SELECT *, NOT (t = 'purchase' AND coalesce(bool_or(opens) {_CALL}, false)) AS made FROM o),
 s AS (SELECT *, CAST(count(*) FILTER (made) {_IN} - 1 AS INT) AS step FROM m),
 c AS (SELECT *, last_value(CASE WHEN opens THEN step END IGNORE NULLS) {_CALL} AS call FROM s), d AS (SELECT *, CASE WHEN made THEN step ELSE call END AS touched FROM c),
 p AS (SELECT *, CASE WHEN turned THEN lag(touched) OVER (PARTITION BY user_id, turned, k % 3 ORDER BY pos) END AS by_turn, lag(touched) {_IN} AS last FROM d),
-a AS (SELECT user_id, call AS step, max_by(k % 3, pos) AS code, max_by(k, pos) AS n FROM d WHERE NOT made GROUP BY user_id, call)
+a AS (SELECT user_id, call AS step, max_by(k % 3, pos) AS code, max_by(k, pos) AS n FROM d WHERE NOT made GROUP BY user_id, call)"""
+CALLS_SQL = f"""{_CALLS}
 SELECT 'codex-' || substr(sha256('user-' || p.user_id), 1, 16) AS run_id, p.step AS step_index,
  CASE t WHEN 'signup' THEN 'user_msg' WHEN 'view' THEN 'llm_call' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'test_run' ELSE 'opaque_shell' END WHEN 'purchase' THEN 'unmapped' ELSE CASE WHEN k % 2 = 0 THEN 'verdict' ELSE 'file_edit' END END AS kind,
  CASE t WHEN 'click' THEN 'PowerShell' WHEN 'purchase' THEN 'codex_unmapped' WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 'task_complete' ELSE 'apply_patch' END END AS tool_name,
  CASE WHEN t = 'click' THEN 'shell' WHEN t = 'error' AND k % 2 = 1 THEN 'f' || k % 5 || '.py' END AS target, coalesce(by_turn, last) AS parent_step, a.code AS exit_code,
  CASE WHEN t = 'click' AND k % 2 = 0 AND n IS NOT NULL THEN n || ' passed' ELSE '' END AS test_text FROM p LEFT JOIN a ON a.user_id = p.user_id AND a.step = p.step WHERE made"""
 
-LINKED_SQL = f"""WITH {_E}, n AS (SELECT *, CASE t WHEN 'view' THEN 2 WHEN 'purchase' THEN 0 ELSE 1 END AS made, t IN ('view', 'click') AS opens FROM e),
+_LINKED = f"""WITH {_E}, n AS (SELECT *, CASE t WHEN 'view' THEN 2 WHEN 'purchase' THEN 0 ELSE 1 END AS made, t IN ('view', 'click') AS opens FROM e),
 s AS (SELECT *, CAST(sum(made) {_IN} - made AS INT) AS first FROM n),
 c AS (SELECT *, last_value(CASE WHEN opens THEN first + made - 1 END IGNORE NULLS) {_CALL} AS call FROM s), u AS (SELECT *, CASE WHEN made > 0 THEN first ELSE call END AS own FROM c),
 p AS (SELECT *, CASE WHEN t = 'error' OR (t = 'click' AND k % 2 = 0) THEN NULL ELSE lag(own) {_IN} END AS parent FROM u),
 a AS (SELECT user_id, call AS step, max_by(k % 3, pos) AS code, max_by(k, pos) AS n FROM u WHERE t = 'purchase' AND call IS NOT NULL GROUP BY user_id, call),
 r AS (SELECT user_id, first AS step, CASE t WHEN 'signup' THEN 'user_msg' WHEN 'view' THEN 'llm_call' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'test_run' ELSE 'file_edit' END ELSE 'opaque_shell' END AS kind, CASE WHEN t = 'click' THEN CASE WHEN k % 2 = 0 THEN 'Bash' ELSE 'Edit' END END AS tool_name,
-  CASE WHEN t = 'click' THEN CASE WHEN k % 2 = 0 THEN 'shell' ELSE 'f' || k % 5 || '.py' END END AS target, parent FROM p WHERE made > 0
- UNION ALL SELECT user_id, first + 1, 'tool_call', 'Read', 'f' || k % 5 || '.py', parent FROM p WHERE made = 2)
+  CASE WHEN t = 'click' THEN CASE WHEN k % 2 = 0 THEN 'shell' ELSE 'f' || k % 5 || '.py' END END AS target, parent, t, k FROM p WHERE made > 0
+ UNION ALL SELECT user_id, first + 1, 'tool_call', 'Read', 'f' || k % 5 || '.py', parent, t, k FROM p WHERE made = 2)"""
+LINKED_SQL = f"""{_LINKED}
 SELECT 'user-' || r.user_id AS run_id, r.step AS step_index, kind, tool_name, target, parent AS parent_step, CASE WHEN kind = 'test_run' THEN code END AS exit_code, CASE WHEN kind = 'test_run' AND n IS NOT NULL THEN 'done' || chr(10) || n || ' passed' ELSE '' END AS test_text FROM r LEFT JOIN a ON a.user_id = r.user_id AND a.step = r.step"""
 
 
+def _text(template: str) -> str:
+    """SQL for a text in which «...» are expressions."""
+    parts = re.split("[«»]", template)
+    return " || ".join(f"({x})" if i % 2 else f"'{x}'" for i, x in enumerate(parts) if x)
+
+
+def _digest(template: str) -> str:
+    return f"«sha256({_text(template)})»"
+
+
+def _size(template: str) -> str:
+    return f"«length({_text(template)})»"
+
+
+_M = '"text_hash":"' + _digest("m«k»") + '","text_length":' + _size("m«k»")
+#: What a record says of itself: its payload's keys, its types, its place.
+_BASE = '"payload_keys":[{0}],"payload_type":"{1}","record_type":"{2}"{3},"source_index":«pos»'
+
+
+def _base(keys: str, about: str, kind: str, more: str = "") -> str:
+    return _BASE.format(",".join(f'"{x}"' for x in keys.split()), about, kind, more)
+
+
+_CMD, _PATCH, _SAID = "«CASE WHEN k % 2 = 0 THEN 'pytest' ELSE 'ls' END»", "*** Update File: f«k % 5».py", r'"Exit code: «n % 3»\n«n» passed"'
+_LOST = r'{"payload":{"call_id":"c«k % 4»","output":"Exit code: «k % 3»\n«k» passed","type":"function_call_output"},"type":"response_item"}'
+_MESSAGE = '{"content_blocks":1,"content_types":[["output_text",1]],"image_count":0,'
+_CALLS_SAY = {
+    "signup": '{"image_count":0,"local_image_count":0,' + _base("message turn_id type", "user_message", "event_msg") + "," + _M + "}",
+    "click": '{"argument_keys":["cmd"],"arguments_hash":"' + _digest('{"cmd":"' + _CMD + '"}') + '","arguments_kind":"dict","arguments_length":' + _size('{"cmd":"' + _CMD + '"}') + ',"call_id":"c«k % 4»","command":"' + _CMD + '","command_hash":"' + _digest(_CMD) + '","command_length":' + _size(_CMD) + "," + _base("arguments call_id name turn_id type", "function_call", "response_item") + "}",
+    "purchase": _base("call_id output type", "function_call_output", "response_item").replace('"record_type"', '"reason":"unlinked_function_call_output","record_hash":"' + _digest(_LOST) + '","record_type"').join(("{", ',"top_level_keys":["payload","type"]}')),
+    "error": '{"call_id":"c«k % 4»","file_path":"f«k % 5».py","new_string":"<patch-summary:' + _size(_PATCH) + ":«left(sha256(" + _text(_PATCH) + '), 12)»>","old_string":"<patch-before-unavailable:«left(sha256(' + _text(_PATCH) + '), 12)»>","patch_hash":"' + _digest(_PATCH) + '","patch_length":' + _size(_PATCH) + ',"patch_targets":["f«k % 5».py"],' + _base("call_id input name type", "custom_tool_call", "response_item") + "}",
+}
+_ANSWER = '{"call_id":"c«k % 4»","exit_code":«n % 3»,"output":{"hash":"' + _digest(_SAID) + '","keys":[],"kind":"str","length":' + _size(_SAID) + '},"payload_type":"function_call_output"«CASE WHEN t = \'click\' AND k % 2 = 0 THEN \',"result_text":"\' || n || \' passed"\' ELSE \'\' END»}'
+_CALLS_SAY_SQL = " ".join(f"WHEN {'(t, k % 2) = (' + chr(39) + 'error' + chr(39) + ', 1)' if t == 'error' else f't = {chr(39)}{t}{chr(39)}'} THEN {_text(x)}" for t, x in _CALLS_SAY.items())
+CALLS_PAYLOADS_SQL = f"""{_CALLS}, q AS (SELECT p.*, a.n FROM p LEFT JOIN a ON a.user_id = p.user_id AND a.step = p.step WHERE made)
+SELECT 'codex-' || substr(sha256('user-' || user_id), 1, 16) AS run_id, step AS step_index, CASE {_CALLS_SAY_SQL} ELSE '{{}}' END AS inputs_json,
+ CASE WHEN t = 'view' THEN {_text(_MESSAGE + _base("content role type", "message", "response_item", ',"role":"assistant"') + "," + _M + "}")} WHEN t = 'error' AND k % 2 = 0 THEN {_text("{" + _base("type", "task_complete", "event_msg") + "}")} WHEN n IS NOT NULL THEN {_text(_ANSWER)} ELSE '{{}}' END AS outputs_json FROM q"""
+
+_TOP, _BLOCK = '{"exitCode":«n % 3»,"stdout":"«n» passed"}', '{"text_blocks":1,' + _M + "}"
+_RESULT = '{«CASE WHEN kind = \'test_run\' THEN \'"exit_code":\' || n % 3 || \',"result_text":"done\\n\' || n || \' passed",\' ELSE \'\' END»"tool_result":{"content_hash":"' + _digest('"done"') + '","content_kind":"str","content_length":6,"is_error":false},"tool_use_result":{"keys":["exitCode","stdout"],"payload_hash":"' + _digest(_TOP) + '","payload_kind":"dict","payload_length":' + _size(_TOP) + "}}"
+LINKED_PAYLOADS_SQL = f"""{_LINKED}
+SELECT 'user-' || r.user_id AS run_id, r.step AS step_index,
+ CASE kind WHEN 'user_msg' THEN {_text(_BLOCK)} WHEN 'tool_call' THEN {_text('{"file_path":"f«k % 5».py"}')} WHEN 'test_run' THEN '{{"command":"pytest"}}' WHEN 'file_edit' THEN {_text('{"file_path":"f«k % 5».py","new_string":"b","old_string":"a"}')} WHEN 'opaque_shell' THEN '{{"record_type":"summary","top_level_keys":["type","uuid"]}}' ELSE '{{}}' END AS inputs_json,
+ CASE WHEN kind = 'llm_call' THEN {_text(_BLOCK)} WHEN n IS NOT NULL THEN {_text(_RESULT)} ELSE '{{}}' END AS outputs_json FROM r LEFT JOIN a ON a.user_id = r.user_id AND a.step = r.step"""
+
+
 def _history_sql(acts: str, sees: str, kind: str, tool: str, target: str, said: str, ids: str | None, ends: bool = False, code: str = "CAST(NULL AS INT)", name: str = "'user-' || user_id", more: str = "") -> str:
     """``sees`` may refer to pending; ``ids``: rows whose call id later answers may name."""
     ended = "max(CASE WHEN {x} THEN pos END) " + _BEFORE
@@ -244,5 +302,5 @@ MIXED_SQL = " UNION ALL ".join(
 ) + f" UNION ALL SELECT DISTINCT '/data/user-' || user_id || '.jsonl', 'journal', 'ValueError', NULL, {', '.join('NULL' for _ in _REST)} FROM events WHERE user_id % 8 = 5"
 ERRORS_SQL = "SELECT 'ValueError' AS error, count(DISTINCT user_id) AS files FROM events WHERE user_id % 8 = 5 HAVING count(*) > 0"
 
-QUERIES = {"read_mixed": read_mixed, "file_errors": file_errors} | {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat, "read_journal": read_journal, "label_set": label_set}
-SQL = {"read_mixed": MIXED_SQL, "file_errors": ERRORS_SQL, "read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL, "read_journal": JOURNAL_SQL, "label_set": LABELS_SQL}
+QUERIES = {"read_calls_payloads": payloads("calls"), "read_linked_payloads": payloads("linked"), "read_mixed": read_mixed, "file_errors": file_errors} | {f"read_{form}": read(form) for form in RECORDS} | {"read_chat": chat, "read_journal": read_journal, "label_set": label_set}
+SQL = {"read_calls_payloads": CALLS_PAYLOADS_SQL, "read_linked_payloads": LINKED_PAYLOADS_SQL, "read_mixed": MIXED_SQL, "file_errors": ERRORS_SQL, "read_calls": CALLS_SQL, "read_linked": LINKED_SQL, "read_action": ACTION_SQL, "read_editor": EDITOR_SQL, "read_fenced": FENCED_SQL, "read_chat": CHAT_SQL, "read_journal": JOURNAL_SQL, "label_set": LABELS_SQL}
