@@ -44,13 +44,30 @@ def _draw(seed: int):
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), "fault_class", "run_id", F.col("step_index").cast("string")), 256)
 
 
+def least(rows: DataFrame, group: str, draw: str, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each group by ``order``, of which ``draw``, evenly spread hexadecimal digits, is the first key.
+
+    Rows are counted by the draw's first digits, which map-side sums do; the digits at which a group's count passes k are its edge.
+    Below the edge all rows stay, unsorted and where they are; only those that share the edge's digits, one of 65,536 parts, are ranked.
+    ``group`` has few values: one edge each is broadcast. Null groups give no rows; a k below 1 none at all.
+    """
+    rows = materialize(rows.where(F.col(group).isNotNull()).withColumn("digits", F.substring(draw, 1, 4)))
+    counts = rows.groupBy(group, "digits").agg(F.count(F.lit(1)).alias("n"))
+    below = F.sum("n").over(Window.partitionBy(group).orderBy("digits")) - F.col("n")
+    edges = counts.withColumn("below", below).where(F.col("below") < k).groupBy(F.col(group).alias("edge_group")).agg(F.max(F.struct("digits", "below")).alias("edge"))
+    placed = rows.join(F.broadcast(edges), F.col(group) == F.col("edge_group")).drop("edge_group")
+    at_edge = placed.where(F.col("digits") == F.col("edge.digits"))
+    ranked = at_edge.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k - F.col("edge.below"))
+    return placed.where(F.col("digits") < F.col("edge.digits")).unionByName(ranked.drop("rank")).drop("digits", "edge")
+
+
 def sample(candidates: DataFrame, per_class: int = 1000, max_per_run: int = 3, seed: int = SEED) -> DataFrame:
     """At most ``max_per_run`` cases of a class from a run (no cap if not positive), then ``per_class`` of a class."""
     rows = candidates.withColumn("draw", _draw(seed))
     order = [F.col("draw"), F.col("run_id"), F.col("step_index")]
     if max_per_run > 0:
         rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("fault_class", "run_id").orderBy(*order))).where(F.col("nth") <= max_per_run)
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("fault_class").orderBy(*order))).where(F.col("nth") <= per_class)
+    rows = least(rows, "fault_class", "draw", order, per_class)
     return rows.select(F.concat_ws("|", "fault_class", "run_id", F.col("step_index").cast("string")).alias("case_id"), "fault_class", "run_id", "source", "step_index")
 
 
