@@ -45,14 +45,18 @@ def _to_the_end(opening: str, more: str) -> tuple[str, str]:
     return f"(?is){opening}(?:{more}|(?<=({opening}))(.*))", "$1$2"
 
 
-#: How the first three are done.
-_LINEAR = [_to_the_end("<!--", ".*?-->"), _to_the_end("<script", "[^>]*>.*?</script[^>]*>"), _to_the_end("<style", "[^>]*>.*?</style[^>]*>")]
+#: How the first three are done. A comment's opening has no letters: told apart by case it is found by skipping.
+_LINEAR = [(p.replace("(?is)", "(?s)"), by) for p, by in [_to_the_end("<!--", ".*?-->")]] + [ _to_the_end("<script", "[^>]*>.*?</script[^>]*>"), _to_the_end("<style", "[^>]*>.*?</style[^>]*>")]
 #: A character reference: decimal, hexadecimal or by name.
 REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});"
 #: Names of the standard library's table, and what text makes of them.
 NAMED = {name: chr(n) for name, n in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
 #: A single blank is left as it stands.
 BLANKS = [(r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " "), (r" \n[ \n]*|\n[ \n]+", "\n")]
+#: The same matches from one first class, so that most characters cost a single look.
+_BLANKS = [(r"[ \t\r\f](?:[ \t\r\f]+|(?<=[\t\r\f]))", " "), (r"[ \n](?:\n[ \n]*|(?<=\n) [ \n]*)", "\n")]
+#: Looked up in order: the names that pages use most come first.
+_OFTEN = ("amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "middot")
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: A title up to its end, or up to the text's end if it has none.
 TITLE = r"(?is)<title(?:[^>]*>(.*?)</title|.*)"
@@ -69,7 +73,7 @@ def _once(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def decoded(x: Column) -> Column:
     """Character references replaced, each once; unknown names and impossible numbers stay."""
-    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    names = F.from_json(F.lit(json.dumps({k: NAMED[k] for k in _OFTEN} | NAMED)), "map<string,string>")
 
     def character(e: Column) -> Column:
         digits = F.regexp_replace(e, "[&#xX;]", "")
@@ -98,7 +102,7 @@ def text_of_markup(html: Column) -> Column:
     for pattern, by in MARKUP[len(_LINEAR) :]:
         html = _ended(html, pattern, by)
     html = decoded(html)
-    for pattern, by in BLANKS:
+    for pattern, by in _BLANKS:
         html = F.regexp_replace(html, pattern, by)
     return F.btrim(html, F.lit(" \n"))
 
