@@ -16,9 +16,10 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
@@ -27,15 +28,21 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .pieces import Memory
 from .shared import materialize, table, text_of
 
 CAPACITY = 2048
 #: Pieces in a partition: some MB of Python memory.
 PER_PARTITION = 60_000
+#: Strings of the vocabulary that no merge makes.
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Words whose lower case is the same in any table of letters.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Of a sequence id: bins of a partition, partitions of a round. Rounds have the other 15.
 _BIN_BITS, _PARTITION_BITS = 26, 22
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -45,6 +52,9 @@ _PLACED = f"{_PIECES}, sequence_id bigint, offset bigint, final boolean, bins bi
 class _Words:
     """Ids of whole texts by the word-level tokenizer, from remembered words.
 
+    Words of Latin letters are encoded by merges in order of rank, which needs no list
+    of pairs: each string of the vocabulary comes from its own pair (tests prove it).
+
     White space ends every word of this tokenizer, and a run of letters, and what
     marks and punctuation follow it, encode apart; so parts are encoded once and
     joined. Its normalizer composes characters (NFC) before all that: a text that is
@@ -59,6 +69,10 @@ class _Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.simple = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}<|>']*)")
+        # the faster library over the same vocabulary: a word's last byte and the blank that ends it stand for the letter that ends a word
+        byte = {c: b for b, c in byte_alphabet().items()}
+        ranks = {bytes(byte[c] for c in s.removesuffix("</w>")) + b" " * s.endswith("</w>"): i for s, i in vocab.items() if s not in SPECIAL}
+        self.latin = tiktoken.Encoding("own", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
         # words cost a call of the library, parts only their joining: words get the larger memory
         self.words, self.other, self.parts = Memory(self._words), Memory(self._each, 100_000), Memory(self._parts, 200_000)
 
@@ -66,8 +80,24 @@ class _Words:
         return [np.array(x.ids, "<u4").tobytes() for x in self.t.encode_batch_fast(keys, add_special_tokens=False)]
 
     def _words(self, keys: list[str]) -> list[bytes]:
-        """Words of letters in one call; each ends with the token that its end marks."""
-        ids = np.array(self.t.encode_batch_fast([" ".join(keys)], add_special_tokens=False)[0].ids, "<u4")
+        """Words of letters, those of Latin letters by the faster library."""
+        latin = [k for k in keys if LATIN.fullmatch(k)]
+        if not latin:
+            return self._joined(keys, self._by_library)
+        of = dict(zip(latin, self._joined(latin, self._by_ranks), strict=True))
+        others = [k for k in keys if k not in of]
+        of.update(zip(others, self._joined(others, self._by_library) if others else [], strict=True))
+        return [of[k] for k in keys]
+
+    def _by_library(self, text: str) -> list[int]:
+        return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _by_ranks(self, text: str) -> list[int]:
+        return self.latin.encode_ordinary(text.lower() + " ")
+
+    def _joined(self, keys: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
+        """Words in one call; each ends with the token that its end marks."""
+        ids = np.array(encode(" ".join(keys)), "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(keys):  # a letter whose lower case is not a letter
             return self._each(keys)
