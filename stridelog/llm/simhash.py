@@ -17,7 +17,14 @@ of that similarity differ in up to a fourth of their bits, where no segment need
 equal, so buckets are the ``LEAST`` smallest shingle hashes of a document: each of
 the least hashes of a pair's union is shared with a probability of 0.8 or more, so
 all are missed with 0.2**16 at most, and never where fewer than 16 shingles are not
-shared. In the buckets the pigeonring filter, with chains of ``CHAIN`` of 16
+shared. A hash that is among the ``DEPTH`` smallest of over ``cap`` documents is
+common (a licence's line, a quoted passage) and would make a bucket that grows with
+the table, so it is a key of those documents only that hold little else. Where
+``RARE`` of a document's ``DEPTH`` smallest are not common, the ``MORE`` smallest of
+these are its keys: a share r of a pair's union that is not common is shared with
+1 - 0.2 / r or more, and (0.2 / r)**20 times the probability that 36 of 48 are not
+common is below 0.2**16 at any r. Other documents have the ``LEAST`` smallest as
+keys, common or not, and all of the ``DEPTH`` that are not. In the buckets the pigeonring filter, with chains of ``CHAIN`` of 16
 segments, and the full Hamming check (over five deviations beyond the worst pair of
 the similarity) leave candidates; groups of these meet with their texts, and every
 pair in them that is not connected yet is held to the exact similarity.
@@ -58,8 +65,8 @@ NARROW = Scheme(shingle=4, bits=64, segments=5, limit=4)
 WIDE = Scheme(shingle=5, bits=512, segments=16, limit=144)
 CHAIN = 4
 SEED, CAP = 42, 1024
-#: The pipeline's similarity as a fraction, and least hashes.
-SIMILARITY, LEAST = (4, 5), 16
+#: The pipeline's similarity as a fraction; least hashes that are keys, looked at, and keys where some are common; the fraction of these that is rare then.
+SIMILARITY, LEAST, DEPTH, MORE, RARE = (4, 5), 16, 48, 20, (3, 4)
 #: Rows of a block whose rows carry texts.
 TEXT_CAP = 1024
 #: Shingles whose bits are added up at once: counts stay within a byte.
@@ -243,25 +250,45 @@ def shingle_sets(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_id",
                 h = np.unique(shingle_hashes(text, scheme.shingle))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
                 sizes.append(len(h))
-                least.append(h[:LEAST].tobytes())
+                least.append(h[:DEPTH].tobytes())
                 fps.append(_majority(h, scheme.bits))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "k", "digest", "n", "least", "fp"])
 
     return text_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("k"), "text").mapInArrow(run, "doc_id bigint, k bigint, digest binary, n bigint, least binary, fp binary")
 
 
-def _by_least(classes: DataFrame) -> DataFrame:
-    """A row per class and least hash."""
+def _chosen(least: np.ndarray, common: list[int] | None) -> np.ndarray:
+    """A class's keys of its least hashes, of which some are common."""
+    if common is None:
+        return least[:LEAST]
+    rare, (some, of) = ~np.isin(least, common), RARE
+    if of * np.count_nonzero(rare) >= some * len(least):
+        return least[rare][:MORE]
+    return least[rare | (np.arange(len(least)) < LEAST)]
+
+
+def _by_least(classes: DataFrame, cap: int) -> DataFrame:
+    """A row per class and key."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                least = batch.column(1).slice(at, 1000).to_pylist()
+                own = pa.array(np.repeat(np.arange(len(least)), [len(x) // 8 for x in least]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(least), np.int64)), batch.column(0).slice(at, 1000).take(own)], ["bucket", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            row = np.repeat(np.arange(len(least)), [len(x) for x in least])
-            for at in range(0, len(row), 50_000):
-                own = pa.array(row[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(least)[at : at + 50_000]), *[batch.column(c).take(own) for c in (0, 2, 3)]], ["bucket", "node", "n", "fp"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = [_chosen(np.frombuffer(x, np.int64), c) for x, c in zip(part.column(1).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                own = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[part.column(c).take(own) for c in (0, 2, 3)]], ["bucket", "node", "n", "fp"])
 
-    return classes.select("node", "least", "n", "fp").mapInArrow(run, "bucket bigint, node bigint, n bigint, fp binary")
+    each = classes.select("node", "least").mapInArrow(listed, "bucket bigint, node bigint")
+    common = materialize(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > cap).select("bucket"))  # small: the optimizer sees its size
+    held = each.join(common, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("common"))
+    return classes.select("node", "least", "n", "fp").join(held, "node", "left").mapInArrow(run, "bucket bigint, node bigint, n bigint, fp binary")
 
 
 def _candidates(scheme: Scheme):
@@ -334,7 +361,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = WIDE, cap: int = CAP, text
     """
     rows = materialize(shingle_sets(docs, scheme, id_col, text_col))
     classes = _numbered(rows.groupBy("digest", "n", "least", "fp").agg(_first()))
-    groups = components(linked(deal(in_blocks(_by_least(classes), cap)), _candidates(scheme)))
+    groups = components(linked(deal(in_blocks(_by_least(classes, cap), cap)), _candidates(scheme)))
     members = materialize(classes.join(groups, "node").select(F.col("component").alias("bucket"), "node", "n", "fp", F.col("first.doc_id").alias("i"), F.col("first.k").alias("k")))
     texts = text_of(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
     brought = in_blocks(members, text_cap).join(texts, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("tk"))).drop("i", "k", "doc_id", "tk")

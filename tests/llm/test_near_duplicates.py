@@ -77,3 +77,20 @@ def test_stages_take_empty_tables_and_clashing_columns(spark, name):
     got = stage(spark, spark.createDataFrame(rows, clash), "")
     assert got.columns == [c.split()[0] for c in clash.split(", ")] and 1 in {r.doc_id for r in got.collect()}
     assert stage(spark, spark.createDataFrame([], clash), "").count() == 0
+
+
+def test_a_line_of_all_documents_makes_no_pairs_of_blocks(spark, monkeypatch):
+    """Rows compared grow with the documents, not with a common line's documents squared; pairs that hold the line are linked."""
+    rng, rows, n = random.Random(9), {}, 600
+    line = " ".join(f"common{k}" for k in range(20))
+    for i in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows[2 * i] = " ".join(words) + "\n" + line
+        rows[2 * i + 1] = " ".join(["edited" if k in (60, 140) else w for k, w in enumerate(words)]) + "\n" + line
+    for i in range(30):  # almost nothing but the line
+        rows[2 * n + i] = line + f" end{i // 2}" + " twice" * (i % 2)
+    dealt, deal = [], simhash.deal
+    monkeypatch.setattr(simhash, "deal", lambda x: (dealt.append(x.count()), deal(x))[1])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(rows.items()), SCHEMA), cap=16).collect()}
+    assert dealt[0] <= 30 * len(rows)
+    assert got == {k: k - k % 2 if k < 2 * n else 2 * n for k in rows}
