@@ -14,19 +14,25 @@ def label_step(value: Column, length: Column) -> Column:
     return F.when(digits < length, digits)
 
 
-def read_labels(labels: DataFrame, activities: DataFrame) -> DataFrame:
-    """case_id, config, expected_step, expected_gate, exclusion from run_id, config, mistake_step (text)."""
-    lengths = activities.groupBy("run_id").agg(F.count(F.lit(1)).alias("length"))
-    rows = labels.join(lengths, "run_id", "left")
+def _judged(labels: DataFrame, activities: DataFrame, key: str) -> DataFrame:
+    """Labels, by ``key`` against their activities, with expected_step and exclusion."""
+    lengths = activities.groupBy(key).agg(F.count(F.lit(1)).alias("length"))
+    rows = labels.join(lengths, key, "left")
     step = label_step(F.col("mistake_step"), F.coalesce("length", F.lit(0)))
     why = F.when(F.col("length").isNull(), "no run").when(~F.coalesce(F.col("mistake_step").rlike("^[0-9]+$"), F.lit(False)), "step not a number").when(step.isNull(), "step out of range")
-    return rows.select(F.col("run_id").alias("case_id"), "config", step.alias("expected_step"), F.lit(None).cast("string").alias("expected_gate"), why.alias("exclusion"))
+    return rows.select(*labels.columns, step.alias("expected_step"), why.alias("exclusion"))
+
+
+def read_labels(labels: DataFrame, activities: DataFrame) -> DataFrame:
+    """case_id, config, expected_step, expected_gate, exclusion from run_id, config, mistake_step (text)."""
+    return _judged(labels, activities, "run_id").select(F.col("run_id").alias("case_id"), "config", "expected_step", F.lit(None).cast("string").alias("expected_gate"), "exclusion")
 
 
 def label_set(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labelled histories in files (path, value) and their manifest: the runs' activities, and config, row_idx, run_id, expected_step, exclusion, claims of each file.
 
     A file's own config and row_idx come before the manifest's; a row_idx that is no whole number does not count.
+    Files may come to the same run_id; each label is judged by its own file.
     """
     from ..sources.files import read_texts, with_manifest
 
@@ -36,9 +42,8 @@ def label_set(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFra
     rows = own.join(listed, "path").select("path", "value", "mistake_step", "claims", F.coalesce("config", "listed", F.lit("")).alias("config"), F.coalesce("row_idx", "nth", F.lit(0)).cast("bigint").alias("row_idx"))
     rows = rows.withColumn("run_id", F.concat_ws(":", "config", F.col("row_idx").cast("string")))
     read = read_texts(rows.select("path", "value"), "chat").select("path", "activity.*").drop("run_id").join(rows.select("path", "run_id"), "path")
-    activities = read.drop("path")
-    exact = read_labels(rows.select("run_id", "config", "mistake_step"), activities).select(F.col("case_id").alias("run_id"), "expected_step", "exclusion")
-    return activities, rows.select("config", "row_idx", "run_id", "claims").join(exact, "run_id")
+    found = _judged(rows.select("path", "config", "row_idx", "run_id", "claims", "mistake_step"), read, "path")
+    return read.drop("path"), found.select("config", "row_idx", "run_id", "claims", "expected_step", "exclusion")
 
 
 def score(labels: DataFrame, localizations: DataFrame) -> DataFrame:

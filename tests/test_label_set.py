@@ -38,6 +38,15 @@ def test_label_set_from_a_folder(spark, tmp_path):
     assert sorted({r.run_id for r in activities.collect()}) == ["listed:1", "listed:2", "listed:3", "own:7"] and activities.count() == 8
 
 
+def test_labels_of_one_run_id_are_judged_by_their_own_files(spark):
+    history = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    value = lambda n, step: json.dumps({"config": "c", "row_idx": 5, "row": {"history": history * n, "mistake_step": step}})
+    texts = spark.createDataFrame([("/d/one.json", value(1, "1")), ("/d/two.json", value(3, "5")), ("/d/three.json", value(1, "3"))], "path string, value string")
+    activities, found = labels.label_set(texts, spark.createDataFrame([], MANIFEST))
+    assert {(r.run_id, r.expected_step, r.exclusion) for r in found.collect()} == {("c:5", 1, None), ("c:5", 5, None), ("c:5", None, "step out of range")} and found.count() == 3
+    assert activities.count() == 10
+
+
 def test_studies_go_on_past_bad_files(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"run{k}.jsonl").write_text("\n".join(map(json.dumps, cli.DEMO)))
