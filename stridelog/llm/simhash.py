@@ -23,7 +23,8 @@ the table, so it is a key of those documents only that hold little else. Where
 ``RARE`` of a document's ``DEPTH`` smallest are not common, the ``MORE`` smallest of
 these are its keys: a share r of a pair's union that is not common is shared with
 1 - 0.2 / r or more, and (0.2 / r)**20 times the probability that 36 of 48 are not
-common is below 0.2**16 at any r. Other documents have the ``LEAST`` smallest as
+common is below 0.2**16 at any r (taken as independent draws: an estimate, also for
+a pair of one document of this kind and one of the other). Other documents have the ``LEAST`` smallest as
 keys, common or not, and all of the ``DEPTH`` that are not. In the buckets the pigeonring filter, with chains of ``CHAIN`` of 16
 segments, and the full Hamming check (over five deviations beyond the worst pair of
 the similarity) leave candidates; groups of these meet with their texts, and every
